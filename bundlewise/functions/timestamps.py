@@ -6,9 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _BLANKS = " \t\n\r\f\x0b"
-_ZONE = r"(Z|[+-]\d{2}:\d{2})?"
 # the shape nearly all logs have: parsed without any rewriting
-_PLAIN = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}(\.\d+)?)?)?" + _ZONE + r")?$"
+_PLAIN = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})?)?$"
 # the other accepted shapes: any separator, compact date / time / offset, comma fraction
 _LOOSE = (
     r"^(\d{4}-\d{2}-\d{2}|\d{8})(.\d{2}(:?\d{2}(:?\d{2}([.,]\d+)?)?)?"
@@ -16,13 +15,23 @@ _LOOSE = (
 )
 
 
+# fixed values: rewrites of the other shapes to date, T, full time, offset with minutes
+_REWRITES = (
+    (r"^(\d{4})-?(\d{2})-?(\d{2})", "$1-$2-$3"),
+    (r"^(.{10}).(\d{2})", "$1T$2"),
+    (r"^(.{13})(?=$|[Z+-])", "$1:00:00"),
+    (r"^(.{13}):?(\d{2})(?=$|[Z+-])", "$1:$2:00"),
+    (r"^(.{13}):?(\d{2}):?(\d{2})", "$1:$2:$3"),
+    (r",", "."),
+    (r"^(.{19}.*[+-]\d{2}):?(\d{2})$", "$1:$2"),
+    (r"^(.{19}.*[+-]\d{2})$", "$1:00"),
+)
+
+
 def _canonical(text: Column) -> Column:
-    out = F.regexp_replace(text, r"^(\d{4})-?(\d{2})-?(\d{2})", "$1-$2-$3")
-    out = F.regexp_replace(out, r"^(.{10}).(\d{2}):?(\d{2})(?::?(\d{2}))?(.*)$", "$1T$2:$3:$4$5")
-    out = F.regexp_replace(out, r"^(.{16}):([.,Z+-]|$)", "$1:00$2")
-    out = F.regexp_replace(out, r"^(.{10})[^T](\d{2})", "$1T$2")
-    out = F.regexp_replace(out, r",", ".")
-    return F.regexp_replace(out, r"(?<=T.{2,30})([+-]\d{2}):?(\d{2})?$", "$1:$2")
+    for pattern, replacement in _REWRITES:
+        text = F.regexp_replace(text, pattern, replacement)
+    return text
 
 
 def parse_ts(text: Column) -> Column:
@@ -31,10 +40,8 @@ def parse_ts(text: Column) -> Column:
     `try_to_timestamp` alone is too generous (a bare year, a bare time, zone names), hence the shape check.
     """
     trimmed = F.trim(text, F.lit(_BLANKS))
-    tidy = _canonical(trimmed)
-    tidy = F.when(tidy.rlike(r":$"), F.concat(tidy, F.lit("00"))).otherwise(tidy)
     return F.when(trimmed.rlike(_PLAIN), F.try_to_timestamp(trimmed)).when(
-        trimmed.rlike(_LOOSE), F.try_to_timestamp(tidy)
+        trimmed.rlike(_LOOSE), F.try_to_timestamp(_canonical(trimmed))
     )
 
 
