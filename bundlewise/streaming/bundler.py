@@ -13,11 +13,12 @@ from bundlewise.operators.bundles import BATCH_MAX, IDLE_SECONDS
 from bundlewise.operators.correlate import bundle_line
 from bundlewise.streaming.run import DRAIN_KEY, with_state_store
 
-ROW = "us bigint, seq bigint, line string"
+ROW = "us bigint, seq bigint, line string, buffered boolean"
 OUTPUT = (
     "trace_id string, first_us bigint, last_us bigint, first_seq bigint, last_seq bigint, "
     "n_logs bigint, reason string, log_text string"
 )
+_COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
 
 
 class Bundler(StatefulProcessor):
@@ -25,7 +26,8 @@ class Bundler(StatefulProcessor):
 
     `hold`: rows wait until the watermark has passed them and are then taken in (us, seq) order, so that the
     bundles do not depend on how the input was cut into micro-batches. Without it rows count as they arrive.
-    State per trace is the open bundle (fewer than `batch_max` rows) and the rows still waiting.
+    State per trace is the open bundle (fewer than `batch_max` rows) and the rows still waiting; a trace has at
+    most one timer.
     """
 
     def __init__(self, idle_us: int, batch_max: int, hold: bool) -> None:
@@ -35,32 +37,36 @@ class Bundler(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", ROW)
-        self.open = handle.getListState("open", ROW)
+        self.rows = handle.getListState("rows", ROW)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         if key[0] == DRAIN_KEY:
+            for _ in rows:
+                pass
             return
+        held = [tuple(r) for r in self.rows.get()]
+        if held:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
         fresh = []
         for pdf in rows:
             fresh.extend(zip(pdf["us"].tolist(), pdf["seq"].tolist(), pdf["line"].tolist()))
-        waiting = [tuple(r) for r in self.waiting.get()] + fresh
-        yield from self._advance(key, waiting, timerValues.getCurrentWatermarkInMs() * 1000)
+        yield from self._advance(key, held, fresh, timerValues.getCurrentWatermarkInMs() * 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        waiting = [tuple(r) for r in self.waiting.get()]
-        yield from self._advance(key, waiting, timerValues.getCurrentWatermarkInMs() * 1000)
+        held = [tuple(r) for r in self.rows.get()]
+        yield from self._advance(key, held, [], timerValues.getCurrentWatermarkInMs() * 1000)
 
     def close(self) -> None:
         pass
 
-    def _advance(self, key, waiting: list[tuple], watermark_us: int) -> Iterator[pd.DataFrame]:
-        waiting.sort(key=lambda r: (r[0], r[1]))
+    def _advance(self, key, held: list[tuple], fresh: list[tuple], watermark_us: int) -> Iterator[pd.DataFrame]:
+        buffer = [r[:3] for r in held if r[3]]
+        waiting = sorted([r[:3] for r in held if not r[3]] + fresh, key=lambda r: r[:2])
         # a row at the watermark may still be followed by one of the same instant
-        due = len(waiting) if not self.hold else next(
-            (i for i, r in enumerate(waiting) if r[0] >= watermark_us), len(waiting)
-        )
-        buffer = [tuple(r) for r in self.open.get()]
+        due = len(waiting)
+        if self.hold:
+            due = next((i for i, r in enumerate(waiting) if r[0] >= watermark_us), due)
         done: list[tuple[str, list[tuple]]] = []
         for row in waiting[:due]:
             if buffer and row[0] - buffer[-1][0] >= self.idle_us:
@@ -70,40 +76,30 @@ class Bundler(StatefulProcessor):
             if len(buffer) >= self.batch_max:
                 done.append(("batch_full", buffer))
                 buffer = []
-        rest = waiting[due:]
         # nothing older than the watermark can still arrive, so an old enough buffer is closed
         if buffer and watermark_us - buffer[-1][0] >= self.idle_us:
             done.append(("idle", buffer))
             buffer = []
-        self._store(self.waiting, rest)
-        self._store(self.open, buffer)
-        self._set_timer(buffer, rest)
+        self._keep(buffer, waiting[due:], bool(held))
         if done:
             yield pd.DataFrame(
                 [
                     (key[0], b[0][0], b[-1][0], b[0][1], b[-1][1], len(b), reason, "\n".join(r[2] for r in b))
                     for reason, b in done
                 ],
-                columns=["trace_id", "first_us", "last_us", "first_seq", "last_seq", "n_logs", "reason", "log_text"],
+                columns=_COLUMNS,
             )
 
-    def _store(self, state, rows: list[tuple]) -> None:
-        if rows:
-            state.put(rows)
-        else:
-            state.clear()
-
-    def _set_timer(self, buffer: list[tuple], rest: list[tuple]) -> None:
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        at = []
-        if rest:
-            at.append(rest[0][0])
-        if buffer:
-            at.append(buffer[-1][0] + self.idle_us)
-        if at:
+    def _keep(self, buffer: list[tuple], waiting: list[tuple], stored: bool) -> None:
+        left = [(*r, True) for r in buffer] + [(*r, False) for r in waiting]
+        if left:
+            self.rows.put(left)
+            due = [waiting[0][0]] if waiting else []
+            due += [buffer[-1][0] + self.idle_us] if buffer else []
             # first whole millisecond at which the earliest of them is decided
-            self.handle.registerTimer(min(at) // 1000 + 1)
+            self.handle.registerTimer(min(due) // 1000 + 1)
+        elif stored:
+            self.rows.clear()
 
 
 def bundle_stream(
