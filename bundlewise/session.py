@@ -4,8 +4,14 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import bundlewise
+
+# functions that run in Python workers travel with the job, so the executors need no copy of this package
+cloudpickle.register_pickle_by_value(bundlewise)
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings the results depend on; sizing is left to the cluster."""
@@ -13,7 +19,6 @@ def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
-    spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
@@ -30,6 +35,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.python.unix.domain.socket.enabled", "true")
         .getOrCreate()
     )
+    spark.sparkContext.setLogLevel("ERROR")
     return prepare(spark)
 
 
