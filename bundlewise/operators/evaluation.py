@@ -116,7 +116,9 @@ def eval_report(results: DataFrame, by: str = "version") -> DataFrame:
     ok = F.col("error").isNull()
 
     def mean(name: str, default: float | None = 0.0) -> Column:
-        m = round_exact(F.avg(F.when(ok, F.col(name))), 3)
+        # the inputs have three decimals: their decimal sum is exact in whatever order tasks deliver them
+        value = F.when(ok, F.col(name).cast("decimal(18,3)"))
+        m = round_exact(F.sum(value).cast("double") / F.nullif(F.count(value), F.lit(0)), 3)
         return (m if default is None else F.coalesce(m, F.lit(default))).alias(f"mean_{name}")
 
     return results.groupBy(by).agg(

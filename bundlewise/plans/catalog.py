@@ -33,7 +33,7 @@ from bundlewise.sources import stores as S
 from bundlewise.streaming.aggregates import counter_stream, session_stream, spend_stream
 from bundlewise.streaming.bundler import bundle_stream
 from bundlewise.streaming.ingest import accepted, decoded_stream
-from bundlewise.streaming.run import DRAIN_KEY, run_folder, run_to_end, with_drain_row
+from bundlewise.streaming.run import DRAIN_KEY, run_and_drain, run_folder, run_to_end
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -414,40 +414,35 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     return run_to_end(out, run_folder(spark, "ingest"))
 
 
+def _drained(spark: SparkSession, sf: str, stream: DataFrame, build, margin_us: int, key: str) -> DataFrame:
+    out = run_and_drain(stream, build, run_folder(spark, "stream"), _last_us(spark, sf), margin_us, key)
+    return out.where(F.col(key) != DRAIN_KEY) if key in out.columns else out
+
+
 def stream_bundles(spark: SparkSession, sf: str) -> DataFrame:
-    folder = run_folder(spark, "bundles")
-    logs = _stream_logs(spark, sf)
-    drained = with_drain_row(logs, folder, _last_us(spark, sf), 4 * IDLE_SECONDS * 1_000_000, "trace_id")
-    out = run_to_end(bundle_stream(drained, IDLE_SECONDS, BATCH_MAX), folder)
-    return out.where(F.col("trace_id") != DRAIN_KEY).select(
+    build = lambda logs: bundle_stream(logs, IDLE_SECONDS, BATCH_MAX)
+    out = _drained(spark, sf, _stream_logs(spark, sf), build, 4 * IDLE_SECONDS * 1_000_000, "trace_id")
+    return out.select(
         "trace_id", "first_us", "last_us", "first_seq", "last_seq", "n_logs", "reason", F.md5("log_text").alias("text_hash")
     )
 
 
 def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    folder = run_folder(spark, "sessions")
-    logs = _stream_logs(spark, sf)
-    drained = with_drain_row(logs, folder, _last_us(spark, sf), 4 * IDLE_SECONDS * 1_000_000, "trace_id")
-    out = run_to_end(session_stream(drained, IDLE_SECONDS, f"{IDLE_SECONDS} seconds"), folder)
-    return out.where(F.col("trace_id") != DRAIN_KEY)
+    build = lambda logs: session_stream(logs, IDLE_SECONDS, f"{IDLE_SECONDS} seconds")
+    return _drained(spark, sf, _stream_logs(spark, sf), build, 4 * IDLE_SECONDS * 1_000_000, "trace_id")
 
 
 def stream_daily_spend(spark: SparkSession, sf: str) -> DataFrame:
-    folder = run_folder(spark, "spend")
     calls = X.table_stream(spark, sf, "events").selectExpr(*X.CALL_FIELDS)
-    calls = calls.select("ts", "model", "prompt_tokens", "completion_tokens", "service")
-    last = _last_us(spark, sf)
-    drained = with_drain_row(calls, folder, last, 5 * DAY_US, "service")
-    out = run_to_end(spend_stream(drained), folder)
+    calls = calls.select("ts", "model", "prompt_tokens", "completion_tokens")
+    # the drain record has no tokens, so its own day has no spend
+    out = _drained(spark, sf, calls, spend_stream, 5 * DAY_US, "model")
     return out.where(F.col("spent").isNotNull()).select("day", _e8("spent").alias("spent_e8"), "n_calls")
 
 
 def stream_counters(spark: SparkSession, sf: str) -> DataFrame:
-    folder = run_folder(spark, "counters")
     logs = X.table_stream(spark, sf, "events").selectExpr(*X.LOG_FIELDS, "cast(ts as timestamp) as ts").select("ts", "source")
-    drained = with_drain_row(logs, folder, _last_us(spark, sf), DAY_US, "source")
-    out = run_to_end(counter_stream(drained), folder)
-    return out.where(F.col("source") != DRAIN_KEY)
+    return _drained(spark, sf, logs, counter_stream, DAY_US, "source")
 
 
 def queries() -> dict[str, Query]:

@@ -70,6 +70,12 @@ def _r(x: str, digits: int) -> str:
     return f"cast(printf('%.{digits}f', {x}) as double)"
 
 
+def _mean3(x: str) -> str:
+    """Mean of values with three decimals over succeeded cases."""
+    ok = "filter (where error is null)"
+    return _r(f"cast(sum(cast({x} as decimal(18,3))) {ok} as double)/nullif(count({x}) {ok},0)", 3)
+
+
 def _cos(a: str, b: str) -> str:
     dot = f"list_sum(list_transform(range(1, len({a})+1), lambda i: cast({a}[i] as double)*cast({b}[i] as double)))"
     norm = lambda v: f"sqrt(list_sum(list_transform({v}, lambda x: cast(x as double)*cast(x as double))))"
@@ -272,12 +278,12 @@ def oracle_sql() -> dict[str, str]:
               select f.*, a.pairwise_cos, a.category_agreement from finals f left join agreed a on a.case_id=f.case_id)
             select version, count(*) as n_cases, count(*) filter (where error is null) as n_succeeded,
               count(*) filter (where error is null and both_score>=0.7::double) as n_passing,
-              coalesce({_r('avg(both_score) filter (where error is null)', 3)},0.0) as mean_score,
-              coalesce({_r('avg(keyword_score) filter (where error is null)', 3)},0.0) as mean_keyword_score,
-              {_r('avg(embedding_score) filter (where error is null)', 3)} as mean_embedding_score,
-              {_r('avg(pairwise_cos) filter (where error is null)', 3)} as mean_agreement_pairwise_cos,
-              {_r('avg(category_agreement) filter (where error is null)', 3)} as mean_agreement_category,
-              coalesce({_r('avg(latency_s) filter (where error is null)', 3)},0.0) as mean_latency_s
+              coalesce({_mean3('both_score')},0.0) as mean_score,
+              coalesce({_mean3('keyword_score')},0.0) as mean_keyword_score,
+              {_mean3('embedding_score')} as mean_embedding_score,
+              {_mean3('pairwise_cos')} as mean_agreement_pairwise_cos,
+              {_mean3('category_agreement')} as mean_agreement_category,
+              coalesce({_mean3('latency_s')},0.0) as mean_latency_s
             from r group by 1""",
         "compare_versions": f"""with {RUNS}, each_run as (select case_id, run_idx, version, text, err as error, latency_s, vector from runs),
             {_scored('each_run')}, a as (select concat('case',case_id) as id, both_score as s from finals where run_idx=0),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,11 +34,15 @@ def run_to_end(stream: DataFrame, folder: str, mode: str = "append") -> DataFram
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-def with_drain_row(stream: DataFrame, folder: str, last_us: int, margin_us: int, key: str) -> DataFrame:
-    """Append one record far enough in the future to move the watermark past all open state.
+def run_and_drain(
+    stream: DataFrame, build: Callable[[DataFrame], DataFrame], folder: str, last_us: int, margin_us: int, key: str
+) -> DataFrame:
+    """Run `build(stream)` to the end of its input, then close what is still open by event time.
 
-    A stream that ends never closes its last bundles by event time. The record comes from its own one-row file
-    source, carries `DRAIN_KEY` in `key`, and must be filtered from the output.
+    A stream that ends never closes its last windows: nothing moves the watermark past them. So a second, at
+    first empty file source is united with the stream; after the input is used up it receives one record
+    `margin_us` past the last time, with `DRAIN_KEY` in `key`, and the query resumes from its checkpoint.
+    The record must be filtered from the output.
     """
     spark = stream.sparkSession
     late = F.timestamp_micros(F.lit(last_us + margin_us))
@@ -47,9 +52,14 @@ def with_drain_row(stream: DataFrame, folder: str, last_us: int, margin_us: int,
             for f in stream.schema.fields
         ]
     )
-    row.write.mode("overwrite").parquet(f"{folder}/drain")
-    drain = spark.readStream.schema(stream.schema).parquet(f"{folder}/drain")
-    return stream.unionByName(drain)
+    row.limit(0).write.mode("overwrite").parquet(f"{folder}/drain")
+
+    def drained() -> DataFrame:
+        return build(stream.unionByName(spark.readStream.schema(stream.schema).parquet(f"{folder}/drain")))
+
+    run_to_end(drained(), folder)
+    row.write.mode("append").parquet(f"{folder}/drain")
+    return run_to_end(drained(), folder)
 
 
 def with_state_store(spark: SparkSession) -> None:
