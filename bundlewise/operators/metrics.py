@@ -40,23 +40,25 @@ def latency_histogram(calls: DataFrame, by: Sequence[str] = (), latency: str = "
     return agg.select(*by, "count", "sum", F.inline(F.array(*rows)))
 
 
-def nth_smallest(values: DataFrame, by: Sequence[str], value: str, n: str, digits: float = 1000.0) -> DataFrame:
-    """Exact order statistic per group from (by, value, cnt, n): the n-th smallest counting multiplicity.
+def quantile_value(values: DataFrame, by: Sequence[str], value: str, fraction: float, digits: float = 1000.0) -> DataFrame:
+    """Exact value at rank max(floor(fraction * n), 1) per group, from distinct values with their count `cnt`.
 
-    First the buckets of width 1/digits are summed up to find the one that holds the n-th value, then only
-    that bucket's distinct values are ranked, so no group is sorted as a whole.
+    First buckets of width 1/digits are summed up to find the one that holds the rank, then only that bucket's
+    values are ordered, so no group is sorted as a whole.
     """
     key = list(by)
-    upto = Window.partitionBy(*key).rowsBetween(Window.unboundedPreceding, 0)
+    group = Window.partitionBy(*key)
+    upto = group.rowsBetween(Window.unboundedPreceding, 0)
     binned = values.withColumn("_b", F.floor(F.col(value) * digits))
-    bins = binned.groupBy(*key, "_b").agg(F.sum("cnt").alias("cnt"), F.max(n).alias("_n"))
-    bins = bins.withColumn("_upto", F.sum("cnt").over(upto.orderBy("_b")))
-    hit = bins.where((F.col("_upto") >= F.col("_n")) & (F.col("_upto") - F.col("cnt") < F.col("_n")))
-    hit = hit.select(*key, "_b", (F.col("_n") - (F.col("_upto") - F.col("cnt"))).alias("_need"))
-    inside = binned.select(*key, "_b", value, "cnt").join(hit, [*key, "_b"])
-    inside = inside.withColumn("_upto", F.sum("cnt").over(upto.orderBy(value)))
-    return inside.where((F.col("_upto") >= F.col("_need")) & (F.col("_upto") - F.col("cnt") < F.col("_need"))).select(
-        *key, F.col(value).alias("nth")
+    bins = binned.groupBy(*key, "_b").agg(F.sum("cnt").alias("cnt"))
+    rank = F.greatest(F.floor(F.sum("cnt").over(group) * F.lit(fraction)), F.lit(1))
+    bins = bins.select("*", rank.alias("_rank"), F.sum("cnt").over(upto.orderBy("_b")).alias("_upto"))
+    before = F.col("_upto") - F.col("cnt")
+    hit = bins.where((F.col("_upto") >= F.col("_rank")) & (before < F.col("_rank")))
+    hit = hit.select(*key, "_b", (F.col("_rank") - before).alias("_need"))
+    inside = binned.join(hit, [*key, "_b"]).withColumn("_upto", F.sum("cnt").over(upto.orderBy(value)))
+    return inside.where((F.col("_upto") >= F.col("_need")) & (before < F.col("_need"))).select(
+        *key, F.col(value).alias("value_at_rank")
     )
 
 
@@ -69,9 +71,8 @@ def latency_summary(calls: DataFrame, by: Sequence[str], latency: str = "latency
     present = calls.where(F.col(latency).isNotNull())
     totals = present.groupBy(*key).agg(F.count("*").alias("n"), F.avg(latency).alias("mean_s"))
     distinct = present.groupBy(*key, latency).agg(F.count("*").alias("cnt"))
-    rank = F.greatest(F.floor(F.col("n") * F.lit(0.95)), F.lit(1))
-    ranked = distinct.join(totals.select(*key, rank.alias("_rank")), key)
-    p95 = nth_smallest(ranked, key, latency, "_rank")
+    p95 = quantile_value(distinct, key, latency, 0.95)
+    rate = F.lit(1.0) / F.nullif("mean_s", F.lit(0.0))
     return totals.join(p95, key).select(
-        *key, "n", "mean_s", F.col("nth").alias("p95_s"), (F.lit(1.0) / F.nullif("mean_s", F.lit(0.0))).alias("rate_per_s")
+        *key, "n", "mean_s", F.col("value_at_rank").alias("p95_s"), rate.alias("rate_per_s")
     )

@@ -29,7 +29,7 @@ TIE_BLOCK = 1 << 20
 class Cells:
     """Width of a cell in microseconds; `tie_block` > 0 also cuts equal timestamps by blocks of the tiebreak.
 
-    `rows` is the row count of the input where it was found small as a whole, else NULL.
+    `rows` is the row count of the input, where it was counted.
     """
 
     width: int
@@ -53,27 +53,29 @@ class Cells:
 def choose_cells(df: DataFrame, keys: Sequence[str], us: str = "us", max_rows: int = MAX_CELL_ROWS) -> Cells:
     """The widest cell whose fullest instance holds at most `max_rows`, from counts over (keys, us).
 
-    Counts are taken per second with map-side combine and then rolled up, so a hot key never meets in one task;
-    one row reaches the driver. Input that is small as a whole needs no such detail.
+    Counts per day settle most inputs. Otherwise counts per second are rolled up. All counts use map-side
+    combine, so a hot key never meets in one task, and one row reaches the driver.
     """
-    rows = df.count()
-    if rows <= max_rows:
-        return Cells(DAY, rows=rows)
     by = [F.col(k) for k in keys]
+    days = df.groupBy(*by, floor_bucket(us, DAY).alias("_b")).agg(F.count("*").alias("n"))
+    day = days.agg(F.max("n").alias("most"), F.sum("n").alias("rows")).first()
+    rows = day["rows"] or 0
+    if (day["most"] or 0) <= max_rows:
+        return Cells(DAY, rows=rows)
     level = df.groupBy(*by, floor_bucket(us, SECOND).alias("_b")).agg(F.count("*").alias("n"))
     level = level.withColumn("m_second", F.col("n"))
     names = ["m_second"]
-    for name, ratio in (("m_minute", 60), ("m_hour", 60), ("m_day", 24)):
-        level = level.groupBy(*by, floor_bucket("_b", ratio).alias("_p")).agg(
+    for name in ("m_minute", "m_hour"):
+        level = level.groupBy(*by, floor_bucket("_b", 60).alias("_p")).agg(
             F.sum("n").alias("n"), *[F.max(m).alias(m) for m in names]
         )
         level = level.withColumnRenamed("_p", "_b").withColumn(name, F.col("n"))
         names.append(name)
     top = level.agg(*[F.max(m).alias(m) for m in names]).first()
-    for name, width in (("m_day", DAY), ("m_hour", HOUR), ("m_minute", MINUTE), ("m_second", SECOND)):
-        if (top[name] or 0) <= max_rows:
-            return Cells(width)
-    return Cells(1, TIE_BLOCK)
+    for name, width in (("m_hour", HOUR), ("m_minute", MINUTE), ("m_second", SECOND)):
+        if top[name] <= max_rows:
+            return Cells(width, rows=rows)
+    return Cells(1, TIE_BLOCK, rows)
 
 
 def carry_in(

@@ -9,8 +9,18 @@ from bundlewise import schemas
 from bundlewise.functions.timestamps import iso_utc, month_key
 
 
+def _by_partition(rows: DataFrame, column: str) -> DataFrame:
+    """Rows laid out for a partitioned write.
+
+    The rebalance hint lets adaptive execution cut a busy partition into many files of the advisory size and
+    gather small ones, whatever share of the rows one partition holds. Sorting by trace gives the files narrow
+    min/max statistics for look-ups.
+    """
+    return rows.hint("rebalance", column).sortWithinPartitions(column, "trace_id")
+
+
 def write_raw_logs(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").partitionBy("day").parquet(path)
+    _by_partition(rows, "day").write.mode("append").partitionBy("day").parquet(path)
 
 
 def read_raw_logs(spark: SparkSession, path: str) -> DataFrame:
@@ -23,15 +33,15 @@ def analysis_rows(analyses: DataFrame, created_at: str = "created_at") -> DataFr
 
 
 def write_analyses(analyses: DataFrame, path: str) -> None:
-    """Append one batch; new months become new partitions by themselves.
+    """Append one batch; new months become new partitions by themselves."""
+    rows = _by_partition(analysis_rows(analyses), "created_month")
+    rows.write.mode("append").partitionBy("created_month").parquet(path)
 
-    Rows are spread by month and id, so that a busy month is written by many tasks and yet each task
-    opens few files.
-    """
-    rows = analysis_rows(analyses)
-    rows.repartition("created_month", F.pmod(F.xxhash64("trace_id"), F.lit(64))).write.mode("append").partitionBy(
-        "created_month"
-    ).parquet(path)
+
+def append_analyses_table(analyses: DataFrame, table: str) -> None:
+    """The same into a catalog table, whose months can be dropped as metadata."""
+    rows = _by_partition(analysis_rows(analyses), "created_month")
+    rows.write.mode("append").partitionBy("created_month").format("parquet").saveAsTable(table)
 
 
 def read_analyses(spark: SparkSession, path: str) -> DataFrame:
@@ -44,14 +54,13 @@ def drop_before(analyses: DataFrame, month: str) -> DataFrame:
     return analyses.where(F.col("created_month") >= month)
 
 
-def expired_months(spark: SparkSession, path: str, month: str) -> DataFrame:
-    """Partitions retention would drop: a directory-level question, answered from the partition column alone."""
-    return read_analyses(spark, path).where(F.col("created_month") < month).select("created_month").distinct()
-
-
-def apply_retention(spark: SparkSession, path: str, kept_path: str, month: str) -> None:
-    """Write the kept months as a new table version; readers switch to it when the job has succeeded."""
-    drop_before(read_analyses(spark, path), month).write.mode("overwrite").partitionBy("created_month").parquet(kept_path)
+def drop_old_months(spark: SparkSession, table: str, month: str) -> list[str]:
+    """Drop all partitions of a catalog table before `month`; no row is read. Returns the dropped months."""
+    listed = [r[0].split("=", 1)[1] for r in spark.sql(f"show partitions {table}").collect()]
+    old = sorted(m for m in listed if m < month)
+    for m in old:
+        spark.sql(f"alter table {table} drop if exists partition (created_month = '{m}')")
+    return old
 
 
 def latest_analysis(analyses: DataFrame) -> DataFrame:
@@ -105,11 +114,3 @@ def write_eval_results(cases: DataFrame, aggregate: DataFrame, path: str) -> Non
 
 def read_eval_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.json(f"{path}/cases"), spark.read.json(f"{path}/aggregate")
-
-
-def deduplicated(rows: DataFrame, key: list[str], batch: str = "batch_id") -> DataFrame:
-    """Rows of an append-only sink that a retried micro-batch may have written twice: first batch wins."""
-    first = rows.groupBy(*key).agg(F.min_by(F.struct(*[c for c in rows.columns if c not in key]), batch).alias("row"))
-    return first.select(*key, "row.*")
-
-

@@ -26,8 +26,8 @@ class Bundler(StatefulProcessor):
 
     `hold`: rows wait until the watermark has passed them and are then taken in (us, seq) order, so that the
     bundles do not depend on how the input was cut into micro-batches. Without it rows count as they arrive.
-    State per trace is the open bundle (fewer than `batch_max` rows) and the rows still waiting; a trace has at
-    most one timer.
+    State per trace is the open bundle (fewer than `batch_max` rows) and the rows still waiting, which span no
+    more than the watermark delay.
     """
 
     def __init__(self, idle_us: int, batch_max: int, hold: bool) -> None:
@@ -44,25 +44,32 @@ class Bundler(StatefulProcessor):
             for _ in rows:
                 pass
             return
-        held = [tuple(r) for r in self.rows.get()]
-        if held:
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t)
-        fresh = []
-        for pdf in rows:
-            fresh.extend(zip(pdf["us"].tolist(), pdf["seq"].tolist(), pdf["line"].tolist()))
-        yield from self._advance(key, held, fresh, timerValues.getCurrentWatermarkInMs() * 1000)
+        if self.hold:
+            # waiting rows are only appended here; they are read once, when the watermark has passed the first
+            first = None
+            for pdf in rows:
+                fresh = [(*r, False) for r in _tuples(pdf)]
+                if not fresh:
+                    continue
+                self.rows.appendList(fresh)
+                low = min(r[0] for r in fresh)
+                first = low if first is None else min(first, low)
+            if first is not None:
+                self._wake(first)
+            return
+        arrived = [r for pdf in rows for r in _tuples(pdf)]
+        yield from self._advance(key, arrived, timerValues.getCurrentWatermarkInMs() * 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = [tuple(r) for r in self.rows.get()]
-        yield from self._advance(key, held, [], timerValues.getCurrentWatermarkInMs() * 1000)
+        yield from self._advance(key, [], timerValues.getCurrentWatermarkInMs() * 1000)
 
     def close(self) -> None:
         pass
 
-    def _advance(self, key, held: list[tuple], fresh: list[tuple], watermark_us: int) -> Iterator[pd.DataFrame]:
+    def _advance(self, key, arrived: list[tuple], watermark_us: int) -> Iterator[pd.DataFrame]:
+        held = [tuple(r) for r in self.rows.get()]
         buffer = [r[:3] for r in held if r[3]]
-        waiting = sorted([r[:3] for r in held if not r[3]] + fresh, key=lambda r: r[:2])
+        waiting = sorted([r[:3] for r in held if not r[3]] + arrived, key=lambda r: r[:2])
         # a row at the watermark may still be followed by one of the same instant
         due = len(waiting)
         if self.hold:
@@ -80,7 +87,12 @@ class Bundler(StatefulProcessor):
         if buffer and watermark_us - buffer[-1][0] >= self.idle_us:
             done.append(("idle", buffer))
             buffer = []
-        self._keep(buffer, waiting[due:], bool(held))
+        if due or done:
+            self._keep(buffer, waiting[due:], bool(held))
+        if waiting[due:]:
+            self._wake(waiting[due][0])
+        if buffer:
+            self._wake(buffer[-1][0] + self.idle_us)
         if done:
             yield pd.DataFrame(
                 [
@@ -94,13 +106,17 @@ class Bundler(StatefulProcessor):
         left = [(*r, True) for r in buffer] + [(*r, False) for r in waiting]
         if left:
             self.rows.put(left)
-            due = [waiting[0][0]] if waiting else []
-            due += [buffer[-1][0] + self.idle_us] if buffer else []
-            # first whole millisecond at which the earliest of them is decided
-            self.handle.registerTimer(min(due) // 1000 + 1)
         elif stored:
             self.rows.clear()
 
+    def _wake(self, us: int) -> None:
+        """Timer at the first whole millisecond past `us`; one that fires in vain changes nothing."""
+        self.handle.registerTimer(us // 1000 + 1)
+
+
+def _tuples(pdf: pd.DataFrame) -> list[tuple]:
+    return list(zip(pdf["us"].tolist(), pdf["seq"].tolist(), pdf["line"].tolist()))
+
 
 def bundle_stream(
     logs: DataFrame,

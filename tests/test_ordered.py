@@ -66,7 +66,7 @@ def test_cell_width_follows_the_fullest_cell(spark):
     burst = spread.unionByName(spark.range(4000).selectExpr("'b' as key", "id * 2500 as us", "id as seq"))
     assert choose_cells(burst, ["key"], max_rows=500).width == SECOND
     same = spread.unionByName(spark.range(900).selectExpr("'b' as key", "5L as us", "id as seq"))
-    assert choose_cells(same, ["key"], max_rows=800) == Cells(1, 1 << 20)
+    assert choose_cells(same, ["key"], max_rows=800) == Cells(1, 1 << 20, 1900)
 
 
 def test_no_window_group_exceeds_the_bound_for_a_single_hot_instant(spark):

@@ -107,6 +107,27 @@ def test_analyses_by_month_latest_and_retention(spark, folder):
     assert S.read_analyses(spark, folder).count() == 5
 
 
+def test_dropping_old_months_of_a_catalog_table(spark):
+    name = "analyses_retention_test"
+    spark.sql(f"drop table if exists {name}")
+    S.append_analyses_table(_analyses(spark), name)
+    S.append_analyses_table(_analyses(spark).where("id = 4"), name)
+    assert S.drop_old_months(spark, name, "2026-04") == ["2025-12", "2026-03"]
+    assert sorted(r.id for r in spark.table(name).collect()) == [2, 3]
+    spark.sql(f"drop table {name}")
+
+
+def test_a_hot_month_is_written_by_several_tasks(spark, folder):
+    rows = spark.range(0, 200_000, 1, 8).selectExpr("id", "concat('t', id) as trace_id", "sha2(cast(id as string), 512) as analysis", "timestamp'2026-05-06' as created_at")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4MB")
+    try:
+        S.write_analyses(rows, folder)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    back = S.read_analyses(spark, folder)
+    assert back.count() == 200_000 and len(back.inputFiles()) > 2
+
+
 def test_columns_added_later_are_null_in_older_files(spark, folder):
     S.write_analyses(_analyses(spark).where("id = 1"), folder)
     S.write_analyses(_analyses(spark).where("id = 2").withColumn("category", F.lit("db")), folder)

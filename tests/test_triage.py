@@ -1,0 +1,51 @@
+import tempfile
+
+from bundlewise.operators.evaluation import attach_vectors
+from bundlewise.plans.triage import default_prompts, run_batch, stub_analyzer
+from bundlewise.sources.stores import latest_analysis, read_analyses, read_raw_logs
+
+ROWS = [
+    ("a", "2026-05-06T10:00:00Z", "ERROR", "x"),
+    ("b", "2026-05-06T10:00:30Z", "ERROR", "y"),
+    ("", "2026-05-06T13:00:00Z", "INFO", "z"),
+    (None, "2026-05-06T10:00:00Z", "INFO", "w"),
+]
+
+
+def test_one_call_per_bundle_and_all_tables_written(spark, make_logs):
+    folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    seen = run_batch(make_logs(ROWS), default_prompts(spark), stub_analyzer, f"{folder}/raw", f"{folder}/analyses")
+    assert (seen["windows_correlated"], seen["calls_ok"], seen["calls_error"], seen["attempts"]) == (3, 3, 0, 3)
+    # an empty trace id is analysed but not stored as a raw log
+    assert read_raw_logs(spark, f"{folder}/raw").count() == 2
+    rows = {r.trace_id: r for r in latest_analysis(read_analyses(spark, f"{folder}/analyses")).collect()}
+    assert rows["a"].root_cause == "2 of 2 lines are errors" and rows["a"].category == "upstream"
+    assert rows["a"].evidence == '["2026-05-06T10:00:00Z","2026-05-06T10:00:30Z"]'
+    assert rows[""].evidence is None and rows[""].confidence == "low"
+
+
+def test_a_failing_bundle_does_not_stop_the_others(spark, make_logs):
+    def analyzer():
+        def analyze(system, user, version):
+            if "ERROR: x" in user:
+                raise ValueError("no")
+            return {"raw_text": "free text", "model": "m"}
+
+        return analyze
+
+    folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    seen = run_batch(
+        make_logs(ROWS), default_prompts(spark), analyzer, f"{folder}/raw", f"{folder}/analyses", f"{folder}/failed",
+        version="v1", window_seconds=5, pause=0.0,
+    )
+    assert (seen["calls_ok"], seen["calls_error"]) == (2, 1)
+    stored = read_analyses(spark, f"{folder}/analyses").collect()
+    assert {(r.trace_id, r.analysis, r.category) for r in stored} == {("b", "free text", None), ("", "free text", None)}
+    failed = spark.read.parquet(f"{folder}/failed/failed").collect()
+    assert [(r.trace_id, r.error) for r in failed] == [("a", "no")]
+
+
+def test_vectors_are_attached_by_text(spark):
+    cache = spark.createDataFrame([("m", "x", [1.0])], "model string, text string, vector array<double>")
+    rows = spark.createDataFrame([("x",), ("y",)], "text string")
+    assert {r.text: r.v for r in attach_vectors(rows, cache, "text", "v").collect()} == {"x": [1.0], "y": None}
