@@ -287,11 +287,14 @@ def triage_counters(spark: SparkSession, sf: str) -> DataFrame:
     bounds = C.trace_bounds(C.correlatable(logs)).withColumn("day", utc_day(F.timestamp_micros("first_us")))
     outcomes = G.retry_outcomes(X.attempts(spark, sf), ["bundle"], F.col("ok"), 3)
     outcomes = outcomes.withColumn("day", utc_day(F.timestamp_micros("us")))
+    by_request = C.trace_bounds(C.correlatable(X.requests(spark, sf)), scope=["request_id"])
+    by_request = by_request.withColumn("day", utc_day(F.timestamp_micros("first_us")))
     none = F.lit("")
     return M.counters(
         {
             "logs_ingested": (valid, F.col("source")),
             "windows_correlated": (bounds, none),
+            "results": (by_request, F.col("request_id")),
             "calls": (calls.withColumn("day", utc_day(F.col("ts"))), F.col("status")),
             "raw_logs_persisted": (valid, none),
             "bundle_retries": (outcomes.where("outcome = 'retry'"), none),

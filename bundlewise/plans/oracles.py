@@ -246,6 +246,7 @@ def oracle_sql() -> dict[str, str]:
         "triage_counters": f"""with {LOGS}, {CALLS}, {ATTEMPTS}, j as (select *, strftime(make_timestamp(us),'%Y-%m-%d') as day from judged)
             select {day} as day, 'logs_ingested' as metric, source as label, count(*) as n from valid group by 1,3
             union all select strftime(make_timestamp(first_us),'%Y-%m-%d'), 'windows_correlated', '', count(*) from bounds group by 1
+            union all select {day}, 'results', substr(ts_text,1,10), count(distinct trace_id) from valid group by 1,3
             union all select day, 'calls', status, count(*) from costed group by 1,3
             union all select {day}, 'raw_logs_persisted', '', count(*) from valid group by 1
             union all select day, 'bundle_retries', '', count(*) from j where outcome='retry' group by 1

@@ -7,7 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bundlewise.functions.timestamps import micros, parse_ts, utc_day
+from bundlewise import schemas
+from bundlewise.functions.timestamps import parse_ts, utc_day
 
 KNOWN_KEYS = ("trace_id", "level", "message", "timestamp")
 MAX_LOGS_PER_REQUEST = 5000
@@ -136,5 +137,35 @@ def within_request_limit(logs: DataFrame, request: str, limit: int = MAX_LOGS_PE
     return logs.join(refused, request, "left_anti")
 
 
-def with_micros(logs: DataFrame) -> DataFrame:
-    return logs.withColumn("us", micros(parse_ts(F.col("timestamp"))))
+def request_logs(requests: DataFrame, limit: int = MAX_LOGS_PER_REQUEST) -> tuple[DataFrame, DataFrame]:
+    """(logs, refused) of batch requests with `request_id, window_seconds, logs`.
+
+    A request without logs, with more than `limit`, or with a log that lacks its timestamp, message or trace id
+    is refused as a whole. A missing level is INFO. `seq` is the position in the request.
+    """
+    incomplete = F.exists(
+        "logs", lambda e: e["timestamp"].isNull() | e["message"].isNull() | e["trace_id"].isNull()
+    )
+    n = F.coalesce(F.size("logs"), F.lit(0))
+    checked = requests.withColumn(
+        "refused",
+        F.when(n < 1, "no logs").when(n > limit, f"too many logs (max {limit})").when(incomplete, "incomplete log"),
+    )
+    logs = (
+        checked.where("refused is null")
+        .select("request_id", "window_seconds", F.posexplode("logs").alias("seq", "e"))
+        .select(
+            "request_id",
+            "window_seconds",
+            F.col("seq").cast("bigint").alias("seq"),
+            "e.trace_id",
+            "e.timestamp",
+            F.coalesce("e.level", F.lit("INFO")).alias("level"),
+            "e.message",
+        )
+    )
+    return logs, checked.where("refused is not null").select("request_id", "refused")
+
+
+def read_requests(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(schemas.REQUEST).json(path)

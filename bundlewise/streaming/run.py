@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from bundlewise.session import checkpoint_root
 
@@ -62,6 +63,12 @@ def run_and_drain(
     return run_to_end(drained(), folder)
 
 
+def open_buffers(query: StreamingQuery) -> int:
+    """Rows held in state by the last finished batch, from the query's own progress."""
+    progress = query.lastProgress
+    return sum(op.numRowsTotal for op in progress.stateOperators) if progress else 0
+
+
 def with_state_store(spark: SparkSession) -> None:
     """State in RocksDB: larger than memory, checkpointed with the query."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)

@@ -49,3 +49,73 @@ def test_vectors_are_attached_by_text(spark):
     cache = spark.createDataFrame([("m", "x", [1.0])], "model string, text string, vector array<double>")
     rows = spark.createDataFrame([("x",), ("y",)], "text string")
     assert {r.text: r.v for r in attach_vectors(rows, cache, "text", "v").collect()} == {"x": [1.0], "y": None}
+
+
+def _request(rid, logs, window=None):
+    return (rid, window, logs)
+
+
+def test_requests_are_refused_whole_and_keep_their_own_window(spark):
+    from bundlewise import schemas
+    from bundlewise.plans.triage import analyzed_bundles
+    from bundlewise.sources.logs import request_logs
+
+    log = lambda t, s, **k: {"trace_id": t, "timestamp": f"2026-05-06T10:00:{s:02d}Z", "message": "m", "level": None, **k}
+    rows = [
+        _request("near", [log("a", 0), log("b", 30)], 10),
+        _request("wide", [log("a", 0), log("b", 30)], 0),
+        _request("minus", [log("a", 0), log("a", 4)], -3),
+        _request("empty", []),
+        _request("big", [log("a", i) for i in range(4)]),
+        _request("bad", [log("a", 0), {"trace_id": "a", "timestamp": "2026-05-06T10:00:00Z", "message": None, "level": None}]),
+    ]
+    requests = spark.createDataFrame(rows, schemas.REQUEST)
+    logs, refused = request_logs(requests, limit=3)
+    assert {r.request_id: r.refused for r in refused.collect()} == {
+        "empty": "no logs", "big": "too many logs (max 3)", "bad": "incomplete log",
+    }
+    done = analyzed_bundles(logs, default_prompts(spark), stub_analyzer, window_seconds="window_seconds", scope=["request_id"])
+    got = {(r.request_id, r.trace_id): r for r in done.collect()}
+    assert {k: (r.n_logs, r.n_own) for k, r in got.items()} == {
+        ("near", "a"): (1, 1), ("near", "b"): (1, 1), ("wide", "a"): (2, 1), ("wide", "b"): (2, 1), ("minus", "a"): (0, 0),
+    }
+    assert "INFO: m" in got["near", "a"].log_text
+
+
+def test_evaluation_job(spark):
+    from bundlewise import schemas
+    from bundlewise.plans.evaluate import run_eval
+
+    log = lambda t, s, m: {"trace_id": t, "timestamp": f"2026-05-06T10:{s:02d}:00Z", "level": "ERROR", "message": m}
+    cases = spark.createDataFrame(
+        [
+            ("pool", [log("late", 30, "other"), log("lead", 0, "pool gone")], ["pool"], ["cpu"], "pool gone"),
+            ("down", [log("x", 0, "poison")], ["pool"], [], "gold"),
+        ],
+        schemas.EVAL_CASE,
+    )
+
+    def analyzer():
+        def analyze(system, user, version, seed, temperature):
+            if "poison" in user:
+                raise ValueError("down")
+            return {"raw_text": "pool gone" if seed < 3 else "cpu", "model": "m"}
+
+        return analyze
+
+    def embedder():
+        return lambda texts: [[1.0, 0.0] if "pool" in t else [0.0, 1.0] for t in texts]
+
+    scored, report, new = run_eval(cases, default_prompts(spark), analyzer, "v1", runs=3, make_embedder=embedder, pause=0.0)
+    got = {r.case_id: r for r in scored.collect()}
+    assert (got["pool"].trace_id, got["pool"].case_score, got["pool"].pairwise_cos) == ("lead", 1.0, 0.333)
+    assert (got["down"].error, got["down"].embedding_score, got["down"].pairwise_cos) == ("down", None, None)
+    assert sorted(r.text for r in new.collect()) == ["cpu", "gold", "pool gone"]
+    row = report.first()
+    assert (row.n_cases, row.n_succeeded, row.n_passing, row.mean_score, row.runs) == (2, 1, 1, 1.0, 3)
+    _, plain, none = run_eval(cases, default_prompts(spark), analyzer, "v1", scorer="keyword", pause=0.0)
+    assert none is None and plain.first().mean_embedding_score is None
+    with_cache, _, again = run_eval(
+        cases, default_prompts(spark), analyzer, "v1", cache=new, make_embedder=embedder, pause=0.0
+    )
+    assert again.count() == 0 and with_cache.where("case_score = 1.0").count() == 1
