@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -18,7 +17,7 @@ OUTPUT = (
     "trace_id string, first_us bigint, last_us bigint, first_seq bigint, last_seq bigint, "
     "n_logs bigint, reason string, log_text string"
 )
-_COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
+Bundle = Row(*[c.split()[0] for c in OUTPUT.split(", ")])
 
 
 class Bundler(StatefulProcessor):
@@ -39,34 +38,26 @@ class Bundler(StatefulProcessor):
         self.handle = handle
         self.rows = handle.getListState("rows", ROW)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         if key[0] == DRAIN_KEY:
             for _ in rows:
                 pass
             return
+        arrived = [(r.us, r.seq, r.line) for r in rows]
         if self.hold:
             # waiting rows are only appended here; they are read once, when the watermark has passed the first
-            first = None
-            for pdf in rows:
-                fresh = [(*r, False) for r in _tuples(pdf)]
-                if not fresh:
-                    continue
-                self.rows.appendList(fresh)
-                low = min(r[0] for r in fresh)
-                first = low if first is None else min(first, low)
-            if first is not None:
-                self._wake(first)
-            return
-        arrived = [r for pdf in rows for r in _tuples(pdf)]
-        yield from self._advance(key, arrived, timerValues.getCurrentWatermarkInMs() * 1000)
+            self.rows.appendList([(*r, False) for r in arrived])
+            self._wake(min(arrived)[0])
+        else:
+            yield from self._advance(key, arrived, timerValues.getCurrentWatermarkInMs() * 1000)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         yield from self._advance(key, [], timerValues.getCurrentWatermarkInMs() * 1000)
 
     def close(self) -> None:
         pass
 
-    def _advance(self, key, arrived: list[tuple], watermark_us: int) -> Iterator[pd.DataFrame]:
+    def _advance(self, key, arrived: list[tuple], watermark_us: int) -> Iterator[Row]:
         held = [tuple(r) for r in self.rows.get()]
         buffer = [r[:3] for r in held if r[3]]
         waiting = sorted([r[:3] for r in held if not r[3]] + arrived, key=lambda r: r[:2])
@@ -93,14 +84,9 @@ class Bundler(StatefulProcessor):
             self._wake(waiting[due][0])
         if buffer:
             self._wake(buffer[-1][0] + self.idle_us)
-        if done:
-            yield pd.DataFrame(
-                [
-                    (key[0], b[0][0], b[-1][0], b[0][1], b[-1][1], len(b), reason, "\n".join(r[2] for r in b))
-                    for reason, b in done
-                ],
-                columns=_COLUMNS,
-            )
+        for reason, b in done:
+            text = "\n".join(r[2] for r in b)
+            yield Bundle(key[0], b[0][0], b[-1][0], b[0][1], b[-1][1], len(b), reason, text)
 
     def _keep(self, buffer: list[tuple], waiting: list[tuple], stored: bool) -> None:
         left = [(*r, True) for r in buffer] + [(*r, False) for r in waiting]
@@ -114,10 +100,6 @@ class Bundler(StatefulProcessor):
         self.handle.registerTimer(us // 1000 + 1)
 
 
-def _tuples(pdf: pd.DataFrame) -> list[tuple]:
-    return list(zip(pdf["us"].tolist(), pdf["seq"].tolist(), pdf["line"].tolist()))
-
-
 def bundle_stream(
     logs: DataFrame,
     idle_seconds: int = IDLE_SECONDS,
@@ -135,10 +117,9 @@ def bundle_stream(
         "trace_id",
         "ts",
         F.unix_micros("ts").alias("us"),
-        # no NULL may reach pandas, where it would turn the column into doubles
-        F.coalesce("seq", F.lit(-1)).alias("seq"),
-        F.coalesce(bundle_line(), F.lit("")).alias("line"),
+        "seq",
+        bundle_line().alias("line"),
     )
-    return rows.groupBy("trace_id").transformWithStateInPandas(
+    return rows.groupBy("trace_id").transformWithState(
         Bundler(idle_seconds * 1_000_000, batch_max, hold), OUTPUT, "append", "EventTime"
     )
