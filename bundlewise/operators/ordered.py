@@ -9,12 +9,13 @@ distribution of keys and timestamps, down to a single microsecond that is then c
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bundlewise.functions.timestamps import floor_bucket
+from bundlewise.session import cut_lineage
 
 SECOND = 1_000_000
 MINUTE = 60 * SECOND
@@ -29,12 +30,14 @@ TIE_BLOCK = 1 << 20
 class Cells:
     """Width of a cell in microseconds; `tie_block` > 0 also cuts equal timestamps by blocks of the tiebreak.
 
-    `rows` is the row count of the input, where it was counted.
+    `rows` is the row count of the input, where it was counted, and `counts` the rows `n` per key and cell, where
+    they were kept.
     """
 
     width: int
     tie_block: int = 0
     rows: int | None = None
+    counts: DataFrame | None = field(default=None, compare=False, repr=False)
 
     def tag(self, df: DataFrame, us: str = "us", tie: str = "seq") -> DataFrame:
         block = floor_bucket(tie, self.tie_block) if self.tie_block else F.lit(0).cast("bigint")
@@ -50,31 +53,38 @@ class Cells:
         return ()
 
 
-def choose_cells(df: DataFrame, keys: Sequence[str], us: str = "us", max_rows: int = MAX_CELL_ROWS) -> Cells:
+def _counts(df: DataFrame, keys: Sequence[str], bucket: Column) -> DataFrame:
+    return df.groupBy(*keys, bucket.alias("_c"), F.lit(0).cast("bigint").alias("_q")).agg(F.count("*").alias("n"))
+
+
+def _coarser(counts: DataFrame, keys: Sequence[str], ratio: int, maxes: Sequence[str] = ()) -> DataFrame:
+    return counts.groupBy(*keys, floor_bucket("_c", ratio).alias("_p"), "_q").agg(
+        F.sum("n").alias("n"), *[F.max(m).alias(m) for m in maxes]
+    ).withColumnRenamed("_p", "_c")
+
+
+def choose_cells(
+    df: DataFrame, keys: Sequence[str], us: str = "us", max_rows: int = MAX_CELL_ROWS, keep_counts: bool = False
+) -> Cells:
     """The widest cell whose fullest instance holds at most `max_rows`, from counts over (keys, us).
 
     Counts per day settle most inputs. Otherwise counts per second are rolled up. All counts use map-side
-    combine, so a hot key never meets in one task, and one row reaches the driver.
+    combine, so a hot key never meets in one task, and one row reaches the driver. `keep_counts` checkpoints
+    the counts, which saves later scans of the input where they are few (few keys).
     """
-    by = [F.col(k) for k in keys]
-    days = df.groupBy(*by, floor_bucket(us, DAY).alias("_b")).agg(F.count("*").alias("n"))
+    keep = cut_lineage if keep_counts else lambda counts: counts
+    days = keep(_counts(df, keys, floor_bucket(us, DAY)))
     day = days.agg(F.max("n").alias("most"), F.sum("n").alias("rows")).first()
     rows = day["rows"] or 0
     if (day["most"] or 0) <= max_rows:
-        return Cells(DAY, rows=rows)
-    level = df.groupBy(*by, floor_bucket(us, SECOND).alias("_b")).agg(F.count("*").alias("n"))
-    level = level.withColumn("m_second", F.col("n"))
-    names = ["m_second"]
-    for name in ("m_minute", "m_hour"):
-        level = level.groupBy(*by, floor_bucket("_b", 60).alias("_p")).agg(
-            F.sum("n").alias("n"), *[F.max(m).alias(m) for m in names]
-        )
-        level = level.withColumnRenamed("_p", "_b").withColumn(name, F.col("n"))
-        names.append(name)
-    top = level.agg(*[F.max(m).alias(m) for m in names]).first()
+        return Cells(DAY, 0, rows, days if keep_counts else None)
+    seconds = keep(_counts(df, keys, floor_bucket(us, SECOND)))
+    minutes = _coarser(seconds.withColumn("m_second", F.col("n")), keys, 60, ["m_second"])
+    hours = _coarser(minutes.withColumn("m_minute", F.col("n")), keys, 60, ["m_second", "m_minute"])
+    top = hours.agg(F.max("m_second").alias("m_second"), F.max("m_minute").alias("m_minute"), F.max("n").alias("m_hour")).first()
     for name, width in (("m_hour", HOUR), ("m_minute", MINUTE), ("m_second", SECOND)):
         if top[name] <= max_rows:
-            return Cells(width, rows=rows)
+            return Cells(width, 0, rows, _coarser(seconds, keys, width // SECOND) if keep_counts else None)
     return Cells(1, TIE_BLOCK, rows)
 
 
@@ -121,15 +131,18 @@ def running_sums(
     cells: Cells | None = None,
     us: str = "us",
     tie: str = "seq",
+    totals: DataFrame | None = None,
 ) -> DataFrame:
     """Inclusive running sums per key in (us, tie) order, exact, with no key confined to one task.
 
     Keys must not be NULL. One shuffle of the rows on (keys, cell); the carried sums are one row per cell.
+    `totals`, the sums per (keys, _c, _q), may be given where they are known already.
     """
     cells = cells or choose_cells(df, keys, us)
     tagged = cells.tag(df, us, tie)
     cell = [*keys, "_c", "_q"]
-    totals = tagged.groupBy(*cell).agg(*[F.sum(e).alias(n) for n, e in sums.items()])
+    if totals is None:
+        totals = tagged.groupBy(*cell).agg(*[F.sum(e).alias(n) for n, e in sums.items()])
     carried = carry_in(totals, keys, cells.parents, sums=list(sums)).select(*cell, *[f"in_{n}" for n in sums])
     upto = Window.partitionBy(*cell).orderBy(us, tie).rowsBetween(Window.unboundedPreceding, 0)
     local = tagged.select("*", *[F.sum(e).over(upto).alias(f"_l_{n}") for n, e in sums.items()])
