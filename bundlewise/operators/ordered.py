@@ -100,8 +100,10 @@ def carry_in(
     Adds `in_<name>`: 0 for sums and NULL for maxes when nothing came before.
     """
     group = [*keys, "_p"] if parents else list(keys)
-    src = cells.withColumn("_p", floor_bucket("_c", parents[0])) if parents else cells
-    before = Window.partitionBy(*group).orderBy("_c", "_q").rowsBetween(Window.unboundedPreceding, -1)
+    # the filter is what the join below implies; stated here, both readers of the shuffle get it
+    src = cells.withColumn("_p", floor_bucket("_c", parents[0])).where("_p is not null") if parents else cells
+    order = Window.partitionBy(*group).orderBy("_c", "_q")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
     out = src.select(
         "*",
         *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"in_{s}") for s in sums],
@@ -109,8 +111,17 @@ def carry_in(
     )
     if not parents:
         return out
-    totals = src.groupBy(*group).agg(*[F.sum(s).alias(s) for s in sums], *[F.max(m).alias(m) for m in maxes])
-    totals = totals.withColumnRenamed("_p", "_c").withColumn("_q", F.lit(0).cast("bigint"))
+    # the totals of a group are read off its last row: the same shuffle serves both, a second aggregate would not
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    totals = src.select(
+        "*",
+        F.lead("_c").over(order).isNull().alias("_last"),
+        *[F.sum(s).over(upto).alias(f"in_{s}") for s in sums],
+        *[F.max(m).over(upto).alias(f"in_{m}") for m in maxes],
+    )
+    totals = totals.where("_last").select(
+        *keys, F.col("_p").alias("_c"), F.lit(0).cast("bigint").alias("_q"), *[F.col(f"in_{n}").alias(n) for n in (*sums, *maxes)]
+    )
     up = carry_in(totals, keys, parents[1:], sums, maxes).select(
         *keys,
         F.col("_c").alias("_p"),
