@@ -60,7 +60,7 @@ def messages_of(events: DataFrame) -> DataFrame:
     """Broker-like messages: JSON text with an extra key, some truncated and some not objects."""
     record = "to_json(named_struct('timestamp', timestamp, 'level', level, 'message', message, 'trace_id', trace_id, 'user', user_id))"
     return events.selectExpr(*LOG_FIELDS, "user_id").selectExpr(
-        "'debug.logs' as topic",
+        "'app.logs' as topic",
         "cast(user_id % 8 as int) as partition",
         "seq as offset",
         f"case when seq%101=0 then substring({record},1,20) when seq%103=0 then '[1, 2]' else {record} end as value",
@@ -94,7 +94,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Offsets are the event ids: rising per partition, with holes as on a compacted topic."""
     return table(spark, sf_dir, "events").selectExpr(
-        "'debug.logs' as topic",
+        "'app.logs' as topic",
         "user_id%8 as part",
         "event_id as off",
         f"concat('u',user_id,'-',{US} div 3600000000) as trace_id",

@@ -122,7 +122,7 @@ ATTEMPTS = f"""attempts as (select user_id as k, event_id as seq, {US} as us, ev
 outcomes as (select k as bundle, seq, us, record, ok, cast(case when ok then 0 else (streak-1)%4+1 end as bigint) as attempt from streaks),
 judged as (select *, case when ok then 'ok' when attempt>3 then 'dead_letter' else 'retry' end as outcome from outcomes)"""
 
-LEDGER = f"""ledger as (select 'debug.logs' as topic, user_id%8 as part, event_id as off, concat('u',user_id,'-',{US} // 3600000000) as trace_id,
+LEDGER = f"""ledger as (select 'app.logs' as topic, user_id%8 as part, event_id as off, concat('u',user_id,'-',{US} // 3600000000) as trace_id,
   not (({US} // 3600000000)>=474000 and ({US} // 3600000000)%7=0) as done from events)"""
 
 LINE = "concat('[',ts_text,'] ',coalesce(level,'?'),': ',coalesce(message,''))"
@@ -291,7 +291,7 @@ def oracle_sql() -> dict[str, str]:
             b as (select concat('case',case_id) as id, both_score as s from finals where run_idx=1),
             j as (select coalesce(a.id,b.id) as id, a.s as a, b.s as b, b.s-a.s as d from a full join b on a.id=b.id)
             select id, a, b, {_r('d', 6)} as delta, case when d is null then '?' when d>0.05::double then '↑' when d<-0.05::double then '↓' else ' ' end as marker from j""",
-        "stream_ingest": f"""with {LOGS} select 'debug.logs' as topic, cast(user_id%8 as int) as partition, seq as "offset", 
+        "stream_ingest": f"""with {LOGS} select 'app.logs' as topic, cast(user_id%8 as int) as partition, seq as "offset", 
             case when {BROKEN} then null else trace_id end as trace_id,
             case when {BROKEN} then 'not a json object' when trace_id is null then 'missing trace_id'
             when ts_text='not-a-time' then 'unreadable timestamp' else 'accepted' end as outcome from logs""",

@@ -27,7 +27,7 @@ def _iso(us):
 
 def _message(offset, trace, us, **extra):
     value = {"timestamp": _iso(us), "level": "ERROR", "message": f"m{offset}", "trace_id": trace, **extra}
-    return {"topic": "debug.logs", "partition": 0, "offset": offset, "value": json.dumps(value)}
+    return {"topic": "app.logs", "partition": 0, "offset": offset, "value": json.dumps(value)}
 
 
 class Feed:
