@@ -215,7 +215,7 @@ def failure_incidents(
     An incident opens at its threshold-th failure and is closed by the next success (`closed_us` NULL: still open).
     Calls need `us` and `seq`.
     """
-    runs = run_positions(calls.withColumn("_ok", ok), keys, restart=F.col("_ok"), cells=cells)
+    runs = run_positions(calls.withColumn("_ok", ok), keys, restart="_ok", cells=cells)
     # a run starts at a success; its failures follow. Run 0 has no success in front.
     streak = F.col("run_pos") - F.when(F.col("run_id") > 0, 1).otherwise(0)
     failed = ~F.col("_ok")
@@ -241,7 +241,7 @@ def retry_outcomes(
     The failure after `max_retries` retries goes to the dead letters and the count starts over, as it does
     after a success.
     """
-    runs = run_positions(attempts.withColumn("_ok", ok), keys, restart=F.col("_ok"), cells=cells)
+    runs = run_positions(attempts.withColumn("_ok", ok), keys, restart="_ok", cells=cells)
     streak = F.col("run_pos") - F.when(F.col("run_id") > 0, 1).otherwise(0)
     attempt = F.when(F.col("_ok"), F.lit(0)).otherwise(F.pmod(streak - 1, F.lit(max_retries + 1)) + 1)
     outcome = F.when(F.col("_ok"), "ok").when(F.col("attempt") > max_retries, "dead_letter").otherwise("retry")

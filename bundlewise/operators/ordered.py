@@ -41,7 +41,8 @@ class Cells:
 
     def tag(self, df: DataFrame, us: str = "us", tie: str = "seq") -> DataFrame:
         block = floor_bucket(tie, self.tie_block) if self.tie_block else F.lit(0).cast("bigint")
-        return df.withColumn("_c", floor_bucket(us, self.width)).withColumn("_q", block)
+        # the joins on cells imply the filter; stated here, all readers of the tagged rows share one shuffle
+        return df.select("*", floor_bucket(us, self.width).alias("_c"), block.alias("_q")).where("_c is not null")
 
     @property
     def parents(self) -> tuple[int, ...]:
@@ -165,34 +166,34 @@ def run_positions(
     df: DataFrame,
     keys: Sequence[str],
     gap_us: int | None = None,
-    restart: Column | None = None,
+    restart: str | None = None,
     cells: Cells | None = None,
     us: str = "us",
     tie: str = "seq",
 ) -> DataFrame:
     """Cut each key's ordered rows into runs and number them: adds `run_id` and `run_pos` (1-based).
 
-    A run starts at a row that lies at least `gap_us` after the row before it, or at a row where `restart` holds.
-    The first row of a key starts a run under `gap_us`; under `restart` alone the rows before the first restart
-    form run 0.
+    A run starts at a row that lies at least `gap_us` after the row before it, or at a row where the boolean
+    column `restart` holds. The first row of a key starts a run under `gap_us`; under `restart` alone the rows
+    before the first restart form run 0.
     """
     cells = cells or choose_cells(df, keys, us)
     cell = [*keys, "_c", "_q"]
     flag = F.coalesce(restart, F.lit(False)) if restart is not None else F.lit(False)
-    tagged = cells.tag(df, us, tie).withColumn("_flag", flag)
+    tagged = cells.tag(df, us, tie)
 
     order = Window.partitionBy(*cell).orderBy(us, tie)
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     local = tagged.withColumn("_i", F.row_number().over(order)).withColumn("_prev", F.lag(us).over(order))
     wide = (F.col(us) - F.col("_prev") >= gap_us) if gap_us is not None else F.lit(False)
     # the first row of a cell is settled later, from the cell before it
-    local = local.withColumn("_cut", (F.col("_i") > 1) & (F.col("_flag") | F.coalesce(wide, F.lit(False))))
+    local = local.withColumn("_cut", (F.col("_i") > 1) & (flag | F.coalesce(wide, F.lit(False))))
 
     totals = local.groupBy(*cell).agg(
         F.count("*").alias("n"),
         F.min(us).alias("first_us"),
         F.max(us).alias("last_us"),
-        F.max(F.when(F.col("_i") == 1, F.col("_flag"))).alias("first_flag"),
+        F.max(F.when(F.col("_i") == 1, flag)).alias("first_flag"),
         F.sum(F.col("_cut").cast("bigint")).alias("cuts"),
         F.max(F.when(F.col("_cut"), F.col("_i"))).alias("last_cut"),
     )

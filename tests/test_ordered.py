@@ -47,7 +47,7 @@ def test_running_sums_equal_a_sequential_scan(spark, cells):
 def test_run_positions_equal_a_sequential_scan(spark, cells, gap, use_flag):
     rows = _rows(11)
     df = spark.createDataFrame(rows, SCHEMA)
-    got = run_positions(df, ["key"], gap_us=gap, restart=F.col("flag") if use_flag else None, cells=cells)
+    got = run_positions(df, ["key"], gap_us=gap, restart="flag" if use_flag else None, cells=cells)
     got = {r.seq: (r.run_id, r.run_pos) for r in got.collect()}
     for group in _by_key(rows).values():
         run, pos, last = 0, 0, None
