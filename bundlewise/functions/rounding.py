@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """Bind a value once; a plain expression would be copied wherever it is used."""
-    return F.transform(F.array(value), use)[0]
+from bundlewise.functions.binding import let
 
 
 def round_exact(x: Column, digits: int) -> Column:
@@ -26,13 +21,13 @@ def round_exact(x: Column, digits: int) -> Column:
         return wide - (wide - v)
 
     def rounded(v: Column) -> Column:
-        return _let(
+        return let(
             F.struct(halves(v).alias("high"), F.floor(v * scale).cast("double").alias("k")),
-            lambda s: _let(
+            lambda s: let(
                 (s["high"] * (2 * scale) - (2 * s["k"] + 1)) + (v - s["high"]) * (2 * scale),
                 lambda side: s["k"]
                 + F.when((side > 0) | ((side == 0) & (F.pmod(s["k"], F.lit(2.0)) == 1)), 1.0).otherwise(0.0),
             ),
         )
 
-    return _let(x.cast("double"), lambda d: F.signum(d) * _let(F.abs(d), rounded) / scale)
+    return let(x.cast("double"), lambda d: F.signum(d) * let(F.abs(d), rounded) / scale)
