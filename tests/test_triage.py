@@ -15,7 +15,7 @@ ROWS = [
 def test_one_call_per_bundle_and_all_tables_written(spark, make_logs):
     folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     seen = run_batch(make_logs(ROWS), default_prompts(spark), stub_analyzer, f"{folder}/raw", f"{folder}/analyses")
-    assert (seen["windows_correlated"], seen["calls_ok"], seen["calls_error"], seen["attempts"]) == (3, 3, 0, 3)
+    assert (seen["windows_correlated"], seen["calls_ok"], seen["calls_error"], seen["attempts"], seen["raw_logs_saved"]) == (3, 3, 0, 3, 1)
     # an empty trace id is analysed but not stored as a raw log
     assert read_raw_logs(spark, f"{folder}/raw").count() == 2
     rows = {r.trace_id: r for r in latest_analysis(read_analyses(spark, f"{folder}/analyses")).collect()}
@@ -45,6 +45,15 @@ def test_a_failing_bundle_does_not_stop_the_others(spark, make_logs):
     assert [(r.trace_id, r.error) for r in failed] == [("a", "no")]
 
 
+def test_raw_log_failure_does_not_stop_the_job(spark, make_logs):
+    folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    with open(f"{folder}/raw", "w") as f:
+        f.write("a file where the table should be")
+    seen = run_batch(make_logs(ROWS), default_prompts(spark), stub_analyzer, f"{folder}/raw", f"{folder}/analyses")
+    assert (seen["raw_logs_saved"], seen["calls_ok"]) == (0, 3)
+    assert read_analyses(spark, f"{folder}/analyses").count() == 3
+
+
 def test_vectors_are_attached_by_text(spark):
     cache = spark.createDataFrame([("m", "x", [1.0])], "model string, text string, vector array<double>")
     rows = spark.createDataFrame([("x",), ("y",)], "text string")
