@@ -6,6 +6,8 @@ under its own names, so extra columns of the input, whatever they are called, ne
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -76,3 +78,8 @@ def _arrow(kind: DataType) -> pa.DataType:
 def frozen(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the cluster's shared folder; later reads survive lost executors."""
     return cut_lineage(df)
+
+
+def worker_store() -> dict:
+    """A dict that lives as long as the Python worker, across tasks; functions shipped by value have no lasting globals."""
+    return sys.modules.setdefault("_bundlewise_worker_store", types.ModuleType("_bundlewise_worker_store")).__dict__

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from bundlewise.llm import byte_bpe as op10
 from bundlewise.llm import decontaminate as op8
 
 QUERIES = {
     "op8_decontamination": op8.op8_decontamination,
+    "op10_byte_bpe": op10.op10_byte_bpe,
 }
 ORACLES = {
     "op8_decontamination": op8.OP8_SQL,
