@@ -5,8 +5,10 @@ from __future__ import annotations
 from bundlewise.llm import byte_bpe as op10
 from bundlewise.llm import decontaminate as op8
 from bundlewise.llm import pages as op4
+from bundlewise.llm import toxicity as op5
 
 QUERIES = {
+    "op5_toxicity": op5.op5_toxicity,
     "op4_html_extraction": op4.op4_html_extraction,
     "op8_decontamination": op8.op8_decontamination,
     "op10_byte_bpe": op10.op10_byte_bpe,
