@@ -6,9 +6,11 @@ from bundlewise.llm import byte_bpe as op10
 from bundlewise.llm import decontaminate as op8
 from bundlewise.llm import pages as op4
 from bundlewise.llm import toxicity as op5
+from bundlewise.llm import sharding as op7
 from bundlewise.llm import quality as op6
 
 QUERIES = {
+    "op7_hilbert_sharding": op7.op7_hilbert_sharding,
     "op6_quality_rules": op6.op6_quality_rules,
     "op5_toxicity": op5.op5_toxicity,
     "op4_html_extraction": op4.op4_html_extraction,
