@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,6 +13,93 @@ from bundlewise.llm.common import frozen
 
 #: Set elements on one side of a search task; larger families are searched in tiles.
 TILE = 400_000
+#: Hashes in one bucket of the search for shared ones, about; the number of buckets follows the corpus.
+BUCKET = 3_000_000
+
+
+def _bucket_rows(posted: Iterable[tuple[int, np.ndarray]], buckets: int) -> pa.Table:
+    """A batch's posted hashes by bucket: (bucket, singles, owners, multi, local key, local count).
+
+    A hash that several owners of the batch have is shared for sure: those owners are counted here, and the hash goes
+    out once, without owners. So a hash everybody has costs one entry a batch.
+    """
+    own: dict[int, np.ndarray] = {}
+    for k, s in posted:
+        if len(s):
+            own.setdefault(k, s)
+    kept = [(s, k) for k, s in own.items()]
+    if not kept:
+        return pa.table({c: pa.array([], t) for c, t in _BUCKET_COLUMNS})
+    h = np.concatenate([s for s, _ in kept])
+    owner = np.repeat(np.arange(len(kept)), [len(s) for s, _ in kept])
+    key = np.array([k for _, k in kept], np.int64)
+    order = np.argsort(h, kind="stable")
+    h, owner = h[order], owner[order]
+    first = np.concatenate(([True], h[1:] != h[:-1]))
+    group = np.cumsum(first) - 1
+    shared = np.bincount(group)[group] > 1
+    bucket = (h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)  # sorted, as h is
+    edge = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+    rows: dict[str, list] = {c: [] for c, _ in _BUCKET_COLUMNS}
+    for b in np.unique(bucket).tolist():
+        a, z = int(edge[b]), int(edge[b + 1])
+        s, o, hb = shared[a:z], owner[a:z], h[a:z]
+        texts, times = np.unique(o[s], return_counts=True)
+        rows["bucket"].append(int(b))
+        rows["singles"].append(hb[~s].tobytes())
+        rows["owners"].append(key[o[~s]].tobytes())
+        rows["multi"].append(hb[s & first[a:z]].tobytes())
+        rows["local"].append(key[texts].tobytes())
+        rows["times"].append(times.astype(np.int64).tobytes())
+    return pa.table({c: pa.array(rows[c], t) for c, t in _BUCKET_COLUMNS})
+
+
+_BUCKET_COLUMNS = [("bucket", pa.int32()), *[(c, pa.binary()) for c in ("singles", "owners", "multi", "local", "times")]]
+_BUCKET_DDL = "bucket int, singles binary, owners binary, multi binary, local binary, times binary"
+
+
+def _count_bucket(rows: pa.Table, least: int) -> pa.Table:
+    """(kind, key, n): shared hashes by owner (kind 0), and hashes with at least `least` entries (kind 1)."""
+
+    def joined(c: str, kind) -> np.ndarray:
+        return np.frombuffer(b"".join(x.as_py() for x in rows.column(c)), kind)
+
+    single, owner, multi = joined("singles", np.uint64), joined("owners", np.int64), joined("multi", np.uint64)
+    order = np.lexsort((owner, single))
+    single, owner = single[order], owner[order]
+    # an owner met in several batches (exact copies) is one
+    if len(single):
+        new = np.concatenate(([True], (single[1:] != single[:-1]) | (owner[1:] != owner[:-1])))
+        single, owner = single[new], owner[new]
+    several = np.unique(multi)
+    values, group, times = np.unique(single, return_inverse=True, return_counts=True)
+    shared = (times > 1) | np.isin(values, several)
+    keys = [owner[shared[group]], joined("local", np.int64)]
+    weights = np.concatenate([np.ones(len(keys[0]), np.int64), joined("times", np.int64)])
+    key, at = np.unique(np.concatenate(keys), return_inverse=True)
+    count = np.bincount(at, weights=weights, minlength=len(key)).astype(np.int64)
+    every, times = np.unique(np.concatenate([joined("singles", np.uint64), np.repeat(multi, 2)]), return_counts=True)
+    often = times >= least
+    return pa.table({
+        "kind": pa.array(np.concatenate([np.zeros(len(key), np.int32), np.ones(int(often.sum()), np.int32)])),
+        "key": pa.array(np.concatenate([key, every[often].view(np.int64)])),
+        "n": pa.array(np.concatenate([count, times[often].astype(np.int64)])),
+    })
+
+
+def shared_keys(given: DataFrame, post: Callable[[list], Iterable[tuple[int, np.ndarray]]], total: int, least: int) -> DataFrame:
+    """Find the hashes that more than one owner posts: (kind, key, n) as `_count_bucket` gives them.
+
+    `given` has one column; `post` yields (owner, distinct hashes) from the values of a batch. About `total` hashes are
+    posted, which sets the number of buckets. The shuffle carries packed hashes and owners, 16 bytes each.
+    """
+    buckets = max(min(-(-total // BUCKET), 1 << 20), given.sparkSession.sparkContext.defaultParallelism * 2)
+
+    def deal(batches):
+        for batch in batches:
+            yield from _bucket_rows(post(batch.column(0).to_pylist()), buckets).to_batches()
+
+    return given.mapInArrow(deal, _BUCKET_DDL).groupBy("bucket").applyInArrow(lambda t: _count_bucket(t, least), "kind int, key bigint, n bigint")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +11,6 @@ from bundlewise.llm.common import frozen, map_arrow, table
 from bundlewise.llm.shingles import key_of, shingle_sets, words_of
 
 SIZE, PERCENT = 5, 80
-#: Prefix shingles in one bucket of the candidate search, about; the number of buckets follows the corpus.
-BUCKET = 3_000_000
 #: Shingles that make up at least this share of all prefix shingles rank last; there can be no more than its inverse.
 FREQUENT = 1 / 50_000
 
@@ -48,89 +45,15 @@ def describe(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
     return map_arrow(given, {"t": given["t"]}, "k1 bigint, k2 bigint, n_shingles bigint", make, keep=["doc_id"]).select("row.doc_id", "k1", "k2", "n_shingles")
 
 
-def _bucket_rows(sets: list[np.ndarray], keys: list[int], buckets: int, percent: int) -> pa.Table:
-    """A batch's prefixes by bucket of shingle hash: (bucket, singles, owners, multi, local key, local count).
-
-    A shingle that several texts of the batch have is shared for sure: those texts are counted here, and the shingle goes
-    out once, without owners. So a shingle everybody has costs one entry a batch.
-    """
-    seen, kept = set(), []
-    for s, k in zip(sets, keys):
-        if len(s) and k not in seen:
-            seen.add(k)
-            kept.append((s[: prefix_length(len(s), percent)], k))
-    if not kept:
-        return pa.table({c: pa.array([], t) for c, t in _BUCKET_COLUMNS})
-    h = np.concatenate([s for s, _ in kept])
-    owner = np.repeat(np.arange(len(kept)), [len(s) for s, _ in kept])
-    key = np.array([k for _, k in kept], np.int64)
-    order = np.argsort(h, kind="stable")
-    h, owner = h[order], owner[order]
-    first = np.concatenate(([True], h[1:] != h[:-1]))
-    group = np.cumsum(first) - 1
-    shared = np.bincount(group)[group] > 1
-    bucket = (h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)  # sorted, as h is
-    edge = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-    rows: dict[str, list] = {c: [] for c, _ in _BUCKET_COLUMNS}
-    for b in np.unique(bucket).tolist():
-        a, z = int(edge[b]), int(edge[b + 1])
-        s, o, hb = shared[a:z], owner[a:z], h[a:z]
-        texts, times = np.unique(o[s], return_counts=True)
-        rows["bucket"].append(int(b))
-        rows["singles"].append(hb[~s].tobytes())
-        rows["owners"].append(key[o[~s]].tobytes())
-        rows["multi"].append(hb[s & first[a:z]].tobytes())
-        rows["local"].append(key[texts].tobytes())
-        rows["times"].append(times.astype(np.int64).tobytes())
-    return pa.table({c: pa.array(rows[c], t) for c, t in _BUCKET_COLUMNS})
-
-
-_BUCKET_COLUMNS = [("bucket", pa.int32()), *[(c, pa.binary()) for c in ("singles", "owners", "multi", "local", "times")]]
-_BUCKET_DDL = "bucket int, singles binary, owners binary, multi binary, local binary, times binary"
-
-
-def _count_bucket(rows: pa.Table, least: int) -> pa.Table:
+def candidates(docs: DataFrame, text: str, total: int, size: int, percent: int) -> DataFrame:
     """(kind, key, n): shared prefix shingles by text (kind 0), and frequent shingles with their entries (kind 1)."""
 
-    def joined(c: str, kind) -> np.ndarray:
-        return np.frombuffer(b"".join(x.as_py() for x in rows.column(c)), kind)
-
-    single, owner, multi = joined("singles", np.uint64), joined("owners", np.int64), joined("multi", np.uint64)
-    order = np.lexsort((owner, single))
-    single, owner = single[order], owner[order]
-    # a text met in several batches (exact copies) is one owner
-    if len(single):
-        new = np.concatenate(([True], (single[1:] != single[:-1]) | (owner[1:] != owner[:-1])))
-        single, owner = single[new], owner[new]
-    several = np.unique(multi)
-    values, group, times = np.unique(single, return_inverse=True, return_counts=True)
-    shared = (times > 1) | np.isin(values, several)
-    keys = [owner[shared[group]], joined("local", np.int64)]
-    weights = np.concatenate([np.ones(len(keys[0]), np.int64), joined("times", np.int64)])
-    key, at = np.unique(np.concatenate(keys), return_inverse=True)
-    count = np.bincount(at, weights=weights, minlength=len(key)).astype(np.int64)
-    every, times = np.unique(np.concatenate([joined("singles", np.uint64), np.repeat(multi, 2)]), return_counts=True)
-    often = times >= least
-    return pa.table({
-        "kind": pa.array(np.concatenate([np.zeros(len(key), np.int32), np.ones(int(often.sum()), np.int32)])),
-        "key": pa.array(np.concatenate([key, every[often].view(np.int64)])),
-        "n": pa.array(np.concatenate([count, times[often].astype(np.int64)])),
-    })
+    def post(texts: list[bytes | None]):
+        w = [words_of(x) for x in texts]
+        for words, s in zip(w, shingle_sets(w, size)):
+            yield key_of(words)[0], s[: prefix_length(len(s), percent)]
 
-
-def candidates(docs: DataFrame, text: str, total: int, size: int, percent: int) -> DataFrame:
-    """(kind, key, n) of `_count_bucket` over all buckets; the shuffle carries packed prefixes, about 16 bytes a shingle."""
-    buckets = int(min(max(1, -(-total // BUCKET)), 1 << 20))
-    buckets = max(buckets, docs.sparkSession.sparkContext.defaultParallelism * 2)
-    least = max(32, int(total * FREQUENT))
-
-    def deal(batches):
-        for batch in batches:
-            w = [words_of(x) for x in batch.column("t").to_pylist()]
-            yield from _bucket_rows(shingle_sets(w, size), [key_of(x)[0] for x in w], buckets, percent).to_batches()
-
-    packed = docs.select(docs[text].cast("binary").alias("t")).mapInArrow(deal, _BUCKET_DDL)
-    return packed.groupBy("bucket").applyInArrow(lambda t: _count_bucket(t, least), "kind int, key bigint, n bigint")
+    return linking.shared_keys(docs.select(docs[text].cast("binary").alias("t")), post, total, max(32, int(total * FREQUENT)))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:

@@ -6,11 +6,13 @@ from bundlewise.llm import byte_bpe as op10
 from bundlewise.llm import decontaminate as op8
 from bundlewise.llm import ngram_join as op3
 from bundlewise.llm import pages as op4
+from bundlewise.llm import paragraphs as op1
 from bundlewise.llm import toxicity as op5
 from bundlewise.llm import sharding as op7
 from bundlewise.llm import quality as op6
 
 QUERIES = {
+    "op1_substring_dedup": op1.op1_substring_dedup,
     "op3_ngram_join": op3.op3_ngram_join,
     "op7_hilbert_sharding": op7.op7_hilbert_sharding,
     "op6_quality_rules": op6.op6_quality_rules,
