@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bundlewise.llm import byte_bpe as op10
+from bundlewise.llm import byte_dedup as op9
 from bundlewise.llm import decontaminate as op8
 from bundlewise.llm import ngram_join as op3
 from bundlewise.llm import pages as op4
@@ -12,6 +13,7 @@ from bundlewise.llm import sharding as op7
 from bundlewise.llm import quality as op6
 
 QUERIES = {
+    "op9_suffix_array_dedup": op9.op9_suffix_array_dedup,
     "op1_substring_dedup": op1.op1_substring_dedup,
     "op3_ngram_join": op3.op3_ngram_join,
     "op7_hilbert_sharding": op7.op7_hilbert_sharding,
