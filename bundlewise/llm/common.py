@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import sys
 import types
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
-from bundlewise.session import cut_lineage, prepare
+from bundlewise.session import checkpoint_root, cut_lineage, prepare
 
 ASCII_SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -80,6 +81,13 @@ def frozen(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the cluster's shared folder: compressed, and read by column."""
+    path = f"{checkpoint_root(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def worker_store() -> dict:
     """A dict that lives as long as the Python worker, across tasks; functions shipped by value have no lasting globals."""
     return sys.modules.setdefault("_bundlewise_worker_store", types.ModuleType("_bundlewise_worker_store")).__dict__
