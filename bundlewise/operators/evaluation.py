@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,6 @@ from bundlewise.functions.rounding import round_exact
 from bundlewise.functions.scoring import DELTA_THRESHOLD, PASS_SCORE, blended_score, cosine, keyword_scores, unit
 
 # runs of a case whose vectors are added up in one step
-RUN_CHUNK = 64
 
 
 def primary_run(runs: DataFrame) -> DataFrame:
@@ -64,43 +65,33 @@ def case_scores(cases: DataFrame, mode: str = "both") -> DataFrame:
     return scored.withColumn("passed", F.col("case_score") >= PASS_SCORE)
 
 
-def run_agreement(runs: DataFrame) -> DataFrame:
+def run_agreement(runs: DataFrame, by: Sequence[str] = ("case_id",)) -> DataFrame:
     """Mean pairwise cosine and share of equal categories over all pairs of runs of a case.
 
-    Runs: `case_id, run_idx, text, category, vector`. Pairs with an empty text, or with a missing category, do
-    not enter the respective mean; without any pair it is NULL.
+    Runs: `case_id, run_idx, text, category, vector`; add `version` to `by` where a table holds several versions of a
+    case. Pairs with an empty text, or with a missing category, do not enter the respective mean; without any pair it
+    is NULL. Each row is a run, whatever its `run_idx`.
 
     No pair is ever formed. With unit vectors u the sum over pairs is (|sum u|^2 - sum |u|^2) / 2, and equal
-    categories are counted by n(n-1)/2 per category, so the work is linear and a case with very many runs is
-    summed in chunks by many tasks. Vectors of different length count as cosine 0: they fall in different sums.
+    categories are counted by n(n-1)/2 per category, so the work is linear. Vectors are added up axis by axis before
+    the shuffle, so a case with very many runs is summed by many tasks. Vectors of different length count as cosine 0:
+    they fall in different sums.
     """
     spoken = F.coalesce(F.col("text"), F.lit("")) != ""
-    basis = runs.where(spoken & (F.size("vector") > 0)).select(
-        "case_id", F.expr(f"run_idx div {RUN_CHUNK}").alias("chunk"), F.size("vector").alias("dim"), unit(F.col("vector")).alias("u")
-    )
-    added = F.aggregate(
-        F.slice("us", 2, RUN_CHUNK), F.col("us")[0], lambda acc, v: F.zip_with(acc, v, lambda x, y: x + y)
-    )
+    case = F.struct(*by).alias("_case")
     square = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)
-    chunks = basis.groupBy("case_id", "dim", "chunk").agg(
-        F.collect_list("u").alias("us"), F.sum(square(F.col("u"))).alias("own")
-    )
-    chunks = chunks.select("case_id", "dim", "own", added.alias("s"))
-    axes = chunks.select("case_id", "dim", "own", F.posexplode("s").alias("axis", "x"))
-    sums = axes.groupBy("case_id", "dim", "axis").agg(
-        F.sum("x").alias("x"), F.sum(F.when(F.col("axis") == 0, F.col("own"))).alias("own")
-    )
-    cos = sums.groupBy("case_id").agg(((F.sum(F.col("x") * F.col("x")) - F.sum("own")) / 2).alias("cos_sum"))
-
-    totals = runs.groupBy("case_id").agg(F.count("*").alias("n_runs"), F.count_if(spoken).alias("m"))
-    kinds = runs.where("category is not null").groupBy("case_id", "category").agg(F.count("*").alias("k"))
-    kinds = kinds.groupBy("case_id").agg(
-        F.sum(F.col("k") * (F.col("k") - 1) / 2).alias("same"), F.sum("k").alias("named")
-    )
+    basis = runs.where(spoken & (F.size("vector") > 0)).select(case, F.size("vector").alias("dim"), unit(F.col("vector")).alias("u"))
+    axes = basis.select("_case", "dim", square(F.col("u")).alias("own"), F.posexplode("u").alias("axis", "x"))
+    sums = axes.groupBy("_case", "dim", "axis").agg(F.sum("x").alias("x"), F.sum(F.when(F.col("axis") == 0, F.col("own"))).alias("own"))
+    cos = sums.groupBy("_case").agg(((F.sum(F.col("x") * F.col("x")) - F.sum("own")) / 2).alias("cos_sum"))
+
+    totals = runs.groupBy(case).agg(F.count("*").alias("n_runs"), F.count_if(spoken).alias("m"))
+    kinds = runs.where("category is not null").groupBy(case, "category").agg(F.count("*").alias("k"))
+    kinds = kinds.groupBy("_case").agg(F.sum(F.col("k") * (F.col("k") - 1) / 2).alias("same"), F.sum("k").alias("named"))
     pairs = lambda c: F.col(c) * (F.col(c) - 1) / 2
-    joined = totals.join(cos, "case_id", "left").join(kinds, "case_id", "left")
+    joined = totals.join(cos, "_case", "left").join(kinds, "_case", "left")
     return joined.select(
-        "case_id",
+        "_case.*",
         "n_runs",
         F.when(F.col("m") > 1, round_exact(F.coalesce("cos_sum", F.lit(0.0)) / pairs("m"), 3)).alias("pairwise_cos"),
         F.when(F.col("named") > 1, round_exact(F.col("same") / pairs("named"), 3)).alias("category_agreement"),

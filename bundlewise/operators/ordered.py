@@ -136,6 +136,16 @@ def carry_in(
     return out.drop("_p")
 
 
+def _with_key(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """The keys as one struct: unlike bare columns, structs with NULL inside are equal to one another in a join."""
+    return (df.withColumn("_k", F.struct(*keys)), ["_k"]) if keys else (df, [])
+
+
+def without_instant(df: DataFrame, us: str = "us") -> DataFrame:
+    """The rows no ordered operator can place, with the reason: a scan over time leaves them out."""
+    return df.where(F.col(us).isNull()).withColumn("reject_reason", F.lit(f"{us} is missing"))
+
+
 def running_sums(
     df: DataFrame,
     keys: Sequence[str],
@@ -147,11 +157,15 @@ def running_sums(
 ) -> DataFrame:
     """Inclusive running sums per key in (us, tie) order, exact, with no key confined to one task.
 
-    Keys must not be NULL. One shuffle of the rows on (keys, cell); the carried sums are one row per cell.
+    A NULL key is a key like any. One shuffle of the rows on (keys, cell); the carried sums are one row per cell.
+    Rows without an instant are left out, see `without_instant`.
     `totals`, the sums per (keys, _c, _q), may be given where they are known already.
     """
     cells = cells or choose_cells(df, keys, us)
-    tagged = cells.tag(df, us, tie)
+    if totals is not None:
+        totals = _with_key(totals, keys)[0]
+    keyed, keys = _with_key(df, keys)
+    tagged = cells.tag(keyed, us, tie)
     cell = [*keys, "_c", "_q"]
     if totals is None:
         totals = tagged.groupBy(*cell).agg(*[F.sum(e).alias(n) for n, e in sums.items()])
@@ -175,12 +189,14 @@ def run_positions(
 
     A run starts at a row that lies at least `gap_us` after the row before it, or at a row where the boolean
     column `restart` holds. The first row of a key starts a run under `gap_us`; under `restart` alone the rows
-    before the first restart form run 0.
+    before the first restart form run 0. A NULL key is a key like any; rows without an instant are left out, see
+    `without_instant`.
     """
     cells = cells or choose_cells(df, keys, us)
+    keyed, keys = _with_key(df, keys)
     cell = [*keys, "_c", "_q"]
     flag = F.coalesce(restart, F.lit(False)) if restart is not None else F.lit(False)
-    tagged = cells.tag(df, us, tie)
+    tagged = cells.tag(keyed, us, tie)
 
     order = Window.partitionBy(*cell).orderBy(us, tie)
     upto = order.rowsBetween(Window.unboundedPreceding, 0)

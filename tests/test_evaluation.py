@@ -1,8 +1,6 @@
-import itertools
-import math
 import random
-import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,21 +10,24 @@ from bundlewise.operators import evaluation as E
 RUN = "case_id string, run_idx bigint, version string, text string, category string, err string, latency_s double, vector array<double>"
 
 
-def _cos(a, b):
-    if not a or not b or len(a) != len(b):
-        return 0.0
-    na, nb = math.sqrt(sum(x * x for x in a)), math.sqrt(sum(x * x for x in b))
-    return sum(x * y for x, y in zip(a, b)) / (na * nb) if na and nb else 0.0
+def test_cosine_is_symmetric_blind_to_scale_and_bounded(spark):
+    rng = np.random.default_rng(7)
+    a, b = rng.normal(size=(40, 6)), rng.normal(size=(40, 6))
+    scale = rng.uniform(0.01, 90, size=40)
+    rows = [(x.tolist(), y.tolist(), (x * k).tolist(), (-x).tolist()) for x, y, k in zip(a, b, scale)]
+    df = spark.createDataFrame(rows, "a array<double>, b array<double>, k array<double>, m array<double>")
+    got = df.select(*[cosine(F.col(x), F.col(y)).alias(x + y) for x, y in ("ab", "ba", "kb", "aa", "am")]).collect()
+    want = (a * b).sum(axis=1) / np.linalg.norm(a, axis=1) / np.linalg.norm(b, axis=1)
+    for r, w in zip(got, want):
+        assert r.ab == pytest.approx(w) == r.ba == pytest.approx(r.kb)
+        assert r.aa == pytest.approx(1.0) and r.am == pytest.approx(-1.0) and abs(r.ab) <= 1 + 1e-12
 
 
-@pytest.mark.parametrize(
-    "a,b,want",
-    [([0.5, -2.0], [0.5, -2.0], 1.0), ([3.0, 0.0], [0.0, 2.0], 0.0), ([2.0, 1.0], [-4.0, -2.0], -1.0), ([], [7.0], 0.0),
-     ([0.0, 0.0], [5.0, 1.0], 0.0), ([1.0], [1.0, 2.0], 0.0), (None, [1.0], 0.0)],
-)
-def test_cosine(spark, a, b, want):
-    df = spark.createDataFrame([(a, b)], "a array<double>, b array<double>")
-    assert df.select(cosine(F.col("a"), F.col("b"))).first()[0] == pytest.approx(want, abs=1e-9)
+def test_cosine_without_a_direction_is_zero(spark):
+    given = [[], [0.0] * 3, [1.0, 2.0, 3.0], [1.0], None]
+    pairs = [(x, y) for x in given for y in given if not (x == y and x and any(x))]
+    df = spark.createDataFrame(pairs, "a array<double>, b array<double>")
+    assert {r[0] for r in df.select(cosine(F.col("a"), F.col("b"))).collect()} == {0.0}
 
 
 def test_keyword_scores(spark):
@@ -41,43 +42,46 @@ def test_keyword_scores(spark):
     assert rows[2].keyword_score == 0.7  # no anti keywords: that part is lost
 
 
-def _runs(spark, case, texts, categories, vectors):
-    rows = [(case, i, "v", t, c, None, 0.0, vectors.get(t)) for i, (t, c) in enumerate(zip(texts, categories))]
-    return spark.createDataFrame(rows, RUN)
-
-
-@pytest.mark.parametrize(
-    "texts,categories,vectors,cos,cat",
-    [
-        (["single"], ["auth"], {}, None, None),
-        (["s"] * 4, ["auth"] * 4, {"s": [0.6, 0.8]}, 1.0, 1.0),
-        (["p", "q"], ["auth", "kafka"], {"p": [2.0, 0.0], "q": [0.0, 3.0]}, 0.0, 0.0),
-        (["p", "q", "q"], ["x", "y", "y"], {"p": [2.0, 0.0], "q": [1.0, 0.0]}, 1.0, 0.333),
-        (["p", ""], [None, "x"], {"p": [2.0, 0.0]}, None, None),
-        (["a", "b"], ["db", "db"], {"a": [1.0, 0.0], "b": [1.0]}, 0.0, 1.0),
-        (["a", "z"], [None, None], {"a": [1.0, 0.0], "z": [0.0, 0.0]}, 0.0, None),
-    ],
-)
-def test_agreement_examples(spark, texts, categories, vectors, cos, cat):
-    row = E.run_agreement(_runs(spark, "c", texts, categories, vectors)).first()
-    assert (row.pairwise_cos, row.category_agreement) == (cos, cat)
-
-
-def test_agreement_without_pairs_equals_the_pairwise_mean(spark):
-    """More runs than one chunk holds, vectors of two lengths, empty texts and missing categories."""
-    rng = random.Random(1)
+def _pairwise(rows):
+    """(mean cosine, share of equal categories) over all pairs, by a matrix of dot products per vector length."""
+    spoken = [r for r in rows if r[3]]
+    n, total = len(spoken), 0.0
+    for size in {len(r[7] or ()) for r in spoken} - {0}:
+        m = np.array([r[7] for r in spoken if len(r[7] or ()) == size])
+        norm = np.linalg.norm(m, axis=1, keepdims=True)
+        u = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+        total += np.triu(u @ u.T, 1).sum()
+    named = np.array([r[4] for r in rows if r[4] is not None], dtype=object)
+    same = np.triu(named[:, None] == named[None, :], 1).sum() if len(named) else 0
+    pairs = lambda k: k * (k - 1) / 2
+    return total / pairs(n) if n > 1 else None, same / pairs(len(named)) if len(named) > 1 else None
+
+
+@pytest.mark.parametrize("indexes", ["unique", "repeated", "missing"])
+def test_agreement_equals_the_mean_over_pairs(spark, indexes):
+    """Vectors of two lengths and of none, empty texts, missing categories, many runs under one index."""
+    rng = random.Random(indexes)
     rows = []
-    for case, n in (("big", 150), ("small", 5)):
+    for case, n in (("big", 230), ("small", 5), ("two", 2), ("one", 1), (None, 90)):
         for i in range(n):
-            text = "" if rng.random() < 0.1 else f"t{rng.randrange(40)}"
-            rows.append((case, i, "v", text, rng.choice(["a", "b", None]), None, 0.0, [rng.gauss(0, 1) for _ in range(rng.choice([3, 4]))]))
+            text = "" if rng.random() < 0.1 else f"t{i}"
+            vector = rng.choice([[rng.gauss(1, 1) for _ in range(rng.choice([3, 4]))], [rng.gauss(0, 1)] * 3, [0.0, 0.0, 0.0], None])
+            index = {"unique": i, "repeated": i // 80, "missing": None}[indexes]
+            rows.append((case, index, "v", text, rng.choice(["a", "b", None]), None, 0.0, vector))
     got = {r.case_id: r for r in E.run_agreement(spark.createDataFrame(rows, RUN)).collect()}
-    for case in ("big", "small"):
-        mine = [r for r in rows if r[0] == case]
-        sims = [_cos(a[7], b[7]) for a, b in itertools.combinations(mine, 2) if a[3] and b[3]]
-        cats = [a[4] == b[4] for a, b in itertools.combinations(mine, 2) if a[4] and b[4]]
-        assert got[case].pairwise_cos == pytest.approx(statistics.fmean(sims), abs=6e-4)
-        assert got[case].category_agreement == round(statistics.fmean(cats), 3)
+    assert set(got) == {"big", "small", "two", "one", None}
+    for case, row in got.items():
+        cos, cat = _pairwise([r for r in rows if r[0] == case])
+        assert row.pairwise_cos == (None if cos is None else pytest.approx(cos, abs=6e-4))
+        assert row.category_agreement == (None if cat is None else pytest.approx(cat, abs=6e-4))
+
+
+def test_agreement_of_equal_runs_is_full_however_many(spark):
+    rows = [("c", i % 35, f"v{i % 2}", "same", "x", None, 0.0, [0.3, 0.4]) for i in range(140)]
+    runs = spark.createDataFrame(rows, RUN)
+    assert E.run_agreement(runs).first()["pairwise_cos"] == 1.0
+    by_version = E.run_agreement(runs, by=("case_id", "version")).collect()
+    assert sorted((r.version, r.n_runs, r.pairwise_cos, r.category_agreement) for r in by_version) == [("v0", 70, 1.0, 1.0), ("v1", 70, 1.0, 1.0)]
 
 
 def test_primary_run_and_the_error_that_counts(spark):
@@ -124,10 +128,20 @@ def test_report_means_run_over_succeeded_cases(spark):
     assert (empty.mean_score, empty.mean_keyword_score, empty.mean_embedding_score, empty.mean_latency_s) == (0.0, 0.0, None, 0.0)
 
 
-def test_comparison_markers_and_threshold(spark):
+def test_comparison_says_which_way_each_case_went(spark):
+    rng = random.Random(8)
+    score = lambda: {f"c{k}": rng.randrange(0, 1001) / 1000 for k in rng.sample(range(90), 60)}
+    a, b = score(), score()
+    for k in list(set(a) & set(b))[:12]:  # some small steps, and steps of just the threshold in binary fractions
+        b[k] = a[k] + rng.choice([0.0, 0.001, -0.001])
+    a["edge"], b["edge"] = 0.25, 0.5
     side = lambda d: spark.createDataFrame(list(d.items()), "id string, case_score double")
-    a, b = side({"up": 0.25, "down": 0.75, "same": 0.61, "left": 0.1}), side({"up": 0.5, "down": 0.125, "same": 0.64, "right": 0.2})
-    got = {r.id: r for r in E.compare_versions(a, b).collect()}
-    assert {k: r.marker for k, r in got.items()} == {"up": "↑", "down": "↓", "same": " ", "left": "?", "right": "?"}
-    assert got["left"].delta is None and got["up"].delta == 0.25
-    assert E.compare_versions(a, b, threshold=0.02).where("id = 'same'").first().marker == "↑"
+    got = {r.id: r for r in E.compare_versions(side(a), side(b), threshold=0.25).collect()}
+    assert set(got) == set(a) | set(b)
+    for k, r in got.items():
+        if k not in a or k not in b:
+            assert (r.marker, r.delta) == ("?", None)
+        else:
+            step = b[k] - a[k]
+            assert r.delta == step and r.marker == {(True, False): "↑", (False, True): "↓"}.get((step > 0.25, step < -0.25), " ")
+    assert got["edge"].marker == " "
