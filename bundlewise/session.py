@@ -40,11 +40,18 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a private one only where none is named (tests)."""
+    """The shared folder named by the cluster.
+
+    Where none is named, a local master (tests) gets a folder of its own. A cluster gets an error: its executors would
+    each write to their own disk.
+    """
     root = spark.conf.get("spark.checkpoint.dir", "")
     if not root:
         root = spark.sparkContext.getCheckpointDir() or ""
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("name a folder all executors share in spark.checkpoint.dir")
         root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)

@@ -64,17 +64,15 @@ def drop_old_months(spark: SparkSession, table: str, month: str) -> list[str]:
 
 
 def latest_analysis(analyses: DataFrame) -> DataFrame:
-    """Newest analysis per trace (and part); equal times are settled by the higher id.
+    """Newest analysis per trace; equal times are settled by the higher id.
 
-    An aggregate rather than a window: map-side combine keeps one row per trace and task, so a trace
-    analysed very often does not pile up anywhere.
+    Only (trace, time, id) is aggregated, combined before the shuffle, so a trace analysed very often does not pile up
+    anywhere; the wide rows are then looked up. A row stored twice under one id counts once.
     """
-    key = [c for c in ("trace_id", "part") if c in analyses.columns]
-    rest = [c for c in analyses.columns if c not in key]
-    newest = analyses.groupBy(*key).agg(
-        F.max_by(F.struct(*rest), F.struct("created_at", "id")).alias("row")
-    )
-    return newest.select(*key, "row.*")
+    stamp = F.struct("created_at", "id")
+    newest = analyses.groupBy(F.struct("trace_id").alias("_k")).agg(F.max(stamp).alias("_at"))
+    keyed = analyses.withColumn("_k", F.struct("trace_id")).withColumn("_at", stamp)
+    return keyed.join(newest, ["_k", "_at"], "left_semi").dropDuplicates(["_k", "_at"]).drop("_k", "_at")
 
 
 def analysis_of(analyses: DataFrame, trace_id: str) -> DataFrame:

@@ -1,7 +1,11 @@
 import tempfile
 
+import pytest
+from pyspark.sql import functions as F
+
 from bundlewise.operators.evaluation import attach_vectors
-from bundlewise.plans.triage import default_prompts, run_batch, stub_analyzer
+from bundlewise.plans.triage import default_prompts, run_batch, stub_analyzer, whole_bundles
+from bundlewise.session import checkpoint_root
 from bundlewise.sources.stores import latest_analysis, read_analyses, read_raw_logs
 
 ROWS = [
@@ -128,3 +132,80 @@ def test_evaluation_job(spark):
         cases, default_prompts(spark), analyzer, "v1", cache=new, make_embedder=embedder, pause=0.0
     )
     assert again.count() == 0 and with_cache.where("case_score = 1.0").count() == 1
+
+
+def test_a_long_bundle_is_one_call_and_one_row(spark):
+    """Longer than the text of several parts; analysed again with fewer lines, the newer analysis alone is the latest."""
+    folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+
+    def counting_analyzer():
+        return lambda system, user, version: {"raw_text": f"{len(user)} characters", "model": "m"}
+
+    def logs(n):
+        return spark.range(n).selectExpr(
+            "id as seq", "'big' as trace_id", "date_format(timestamp_micros(1778061600000000 + id * 1000), \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'\") as timestamp",
+            "'INFO' as level", "concat('line ', id) as message",
+        )
+
+    for n, day in ((40_000, "2026-06-01"), (100, "2026-06-02")):
+        seen = run_batch(
+            logs(n), default_prompts(spark), counting_analyzer, f"{folder}/raw", f"{folder}/analyses", version="v1", pause=0.0,
+            created_at=F.to_timestamp(F.lit(day)),
+        )
+        assert (seen["windows_correlated"], seen["attempts"]) == (1, 1)
+    stored = read_analyses(spark, f"{folder}/analyses").orderBy("created_at").collect()
+    assert [r.log_text.count("\n") + 1 for r in stored] == [40_000, 100]
+    assert [r.log_text.count("\n") + 1 for r in latest_analysis(read_analyses(spark, f"{folder}/analyses")).collect()] == [100]
+    assert len({r.id for r in stored}) == 2
+    assert stored[0].log_text.endswith("line 39999") and "line 20000\n" in stored[0].log_text
+    with pytest.raises(Exception, match="max_lines is 30000"):
+        whole_bundles(logs(40_000), max_lines=30_000).collect()
+
+
+def test_no_logs_make_no_bundles(spark, make_logs):
+    folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    seen = run_batch(make_logs(ROWS).limit(0), default_prompts(spark), stub_analyzer, f"{folder}/raw", f"{folder}/analyses")
+    assert (seen["windows_correlated"], seen["calls_ok"], seen["attempts"]) == (0, 0, 0)
+
+
+def test_an_unknown_prompt_version_is_never_silent(spark, make_logs):
+    folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    with pytest.raises(ValueError, match="v9"):
+        run_batch(make_logs(ROWS), default_prompts(spark), stub_analyzer, f"{folder}/raw", f"{folder}/analyses", version="v9")
+    asked = F.when(F.col("trace_id") == "a", "v9").otherwise("v3")
+    seen = run_batch(
+        make_logs(ROWS), default_prompts(spark), stub_analyzer, f"{folder}/raw2", f"{folder}/analyses2", f"{folder}/failed", version=asked
+    )
+    assert (seen["windows_correlated"], seen["calls_ok"], seen["calls_error"]) == (3, 2, 1)
+    assert [(r.trace_id, r.error) for r in spark.read.parquet(f"{folder}/failed/failed").collect()] == [("a", "unknown prompt version: v9")]
+
+
+def test_a_second_run_does_not_read_the_first_ones_answers(spark, make_logs):
+    folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    for _ in range(2):
+        run_batch(make_logs(ROWS), default_prompts(spark), stub_analyzer, f"{folder}/raw", f"{folder}/analyses", f"{folder}/failed")
+    assert read_analyses(spark, f"{folder}/analyses").count() == 6
+    assert latest_analysis(read_analyses(spark, f"{folder}/analyses")).count() == 3
+
+
+class _Cluster:
+    """What checkpoint_root asks of a session, with the master of a cluster."""
+
+    def __init__(self, folder=""):
+        self.conf = {"spark.checkpoint.dir": folder} if folder else {}
+        self.sparkContext = self
+        self.master, self.folder = "spark://host:7077", None
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+
+def test_a_cluster_names_its_shared_folder(spark):
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_root(_Cluster())
+    named = _Cluster("hdfs:///shared")
+    assert checkpoint_root(named) == "hdfs:///shared" == named.folder
+    assert checkpoint_root(spark)
