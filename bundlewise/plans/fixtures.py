@@ -72,21 +72,24 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model answers in three wordings; the cause is the whole text of a document on one line, so all answers differ."""
     cat = "case doc_id%5 when 0 then 'db' when 1 then ' Auth ' when 2 then 'cache' when 3 then 'disk' else 'other' end"
     conf = "case when n_chars%3=0 then 'High' when n_chars%3=1 then 'low' else 'medium' end"
+    cause = r"trim(regexp_replace(coalesce(text, ''), r'[ \t\n\r\f\x0b\x1c-\x1e\x{85}\x{2028}\x{2029}]+', ' '))"
     return (
         table(spark, sf_dir, "documents")
-        .selectExpr("doc_id", "source", f"{cat} as cat", f"{conf} as conf")
+        .selectExpr("doc_id", f"{cat} as cat", f"{conf} as conf", f"{cause} as cause")
+        .selectExpr("*", "to_json(named_struct('root_cause', cause)) as boxed")
         .selectExpr(
             "doc_id",
             "concat('v',doc_id%3+1) as version",
             """case when doc_id%13=0 then 'not parseable'
-               when doc_id%3=1 then concat('Category :  ',cat,chr(10),'root_cause: ',source,' failed',chr(10),'noise line',chr(10),
+               when doc_id%3=1 then concat('Category :  ',cat,chr(10),'root_cause: ',cause,chr(10),'noise line',chr(10),
                  'evidence: ',case when doc_id%4<2 then 'a, b' else '["a","b"]' end,chr(10),'confidence: ',conf)
-               when doc_id%3=2 then concat('{"category":"',cat,'","root_cause":"',source,' failed","evidence":',
+               when doc_id%3=2 then concat('{"category":"',cat,'",',substring(boxed,2,length(boxed)-2),',"evidence":',
                  case doc_id%4 when 0 then '["a","b"]' when 1 then '"a, b"' when 2 then '[]' else '5' end,
                  ',"confidence":',case when doc_id%5=0 then '3' else concat('"',conf,'"') end,'}')
-               else concat('free text ',source) end as raw_text""",
+               else concat('free text ',cause) end as raw_text""",
         )
     )
 
@@ -138,13 +141,14 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = table(spark, sf_dir, "conversations").where("role = 'assistant'")
     first = said.groupBy("conv_id").agg(F.min("turn").alias("first_turn"))
     vectors = vector_table(spark, sf_dir)
+    n_vectors = vectors.count()  # ids are 0 to n-1; runs are spread over all of them
     rows = said.join(first, "conv_id").selectExpr(
         "conv_id as case_id",
         "(turn - first_turn) div 2 as run_idx",
         "concat('v',conv_id%2+2) as version",
         "case when turn=3 then '' else text end as text",
         "case when turn=3 then 'timeout' end as err",
-        "(conv_id*8+turn)%500 as vec_id",
+        f"pmod((conv_id*8+turn)*7919, {n_vectors}) as vec_id",
         "(length(text)%40)/10.0D as latency_s",
     )
     return rows.join(vectors, "vec_id", "left").selectExpr(
@@ -161,12 +165,15 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gold answer per case: the first user turn, its words as keywords, its vector."""
     said = table(spark, sf_dir, "conversations").where("role = 'user'")
     first = said.groupBy("conv_id").agg(F.min_by("text", "turn").alias("gold"))
+    vectors = vector_table(spark, sf_dir)
+    n_vectors = vectors.count()
+    # every third word is expected, every fifth is not
     rows = first.selectExpr(
         "conv_id as case_id",
         "gold",
-        "slice(split(gold, ' '), 1, 3) as expected_keywords",
-        "case when conv_id%10=0 then cast(array() as array<string>) else slice(split(gold, ' '), 4, 2) end as anti_keywords",
-        "(conv_id*8)%500 as gold_vec_id",
+        "filter(split(gold, ' '), (w, i) -> i % 3 = 0) as expected_keywords",
+        "case when conv_id%10=0 then cast(array() as array<string>) else filter(split(gold, ' '), (w, i) -> i % 5 = 1) end as anti_keywords",
+        f"pmod(conv_id*8*7919, {n_vectors}) as gold_vec_id",
     )
-    vectors = vector_table(spark, sf_dir).selectExpr("vec_id as gold_vec_id", "vector as gold_vector")
+    vectors = vectors.selectExpr("vec_id as gold_vec_id", "vector as gold_vector")
     return rows.join(vectors, "gold_vec_id", "left").drop("gold_vec_id")

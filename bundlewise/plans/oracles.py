@@ -34,8 +34,9 @@ costed as (select c.*, strftime(ts,'%Y-%m-%d') as day,
     cast(pt*coalesce(i,250)+ct*coalesce(o,1000) as bigint) as cost_e8
   from calls c left join prices p on c.model = p.model)"""
 
-ANSWERS = """answers as (
-  select doc_id, doc_id%3 as kind, doc_id%13=0 as bad, concat('v',doc_id%3+1) as version, source,
+ANSWERS = r"""answers as (
+  select doc_id, doc_id%3 as kind, doc_id%13=0 as bad, concat('v',doc_id%3+1) as version,
+    trim(regexp_replace(coalesce(text, ''), '[ \t\n\r\f\x0b\x1c-\x1e\x{85}\x{2028}\x{2029}]+', ' ', 'g')) as cause,
     case doc_id%5 when 0 then 'db' when 1 then ' Auth ' when 2 then 'cache' when 3 then 'disk' else 'other' end as cat,
     case when n_chars%3=0 then 'High' when n_chars%3=1 then 'low' else 'medium' end as conf
   from documents),
@@ -46,17 +47,17 @@ RUNS = """runs as (
   select c.*, v.embedding as vector, case when case_id%9=0 then null else concat('c', v.label) end as category from (
     select conv_id as case_id, row_number() over (partition by conv_id order by turn)-1 as run_idx,
       concat('v',conv_id%2+2) as version, case when turn=3 then '' else text end as text,
-      case when turn=3 then 'timeout' end as err, (conv_id*8+turn)%500 as vec_id, (length(text)%40)/10.0 as latency_s
+      case when turn=3 then 'timeout' end as err, (conv_id*8+turn)*7919%(select count(*) from embeddings) as vec_id, (length(text)%40)/10.0 as latency_s
     from conversations where role='assistant') c
   left join embeddings v on v.vec_id = c.vec_id),
 gold as (
   select g.*, v.embedding as gold_vector from (
-    select conv_id as case_id, arg_min(text, turn) as gold, (conv_id*8)%500 as gold_vec_id
+    select conv_id as case_id, arg_min(text, turn) as gold, conv_id*8*7919%(select count(*) from embeddings) as gold_vec_id
     from conversations where role='user' group by 1) g
   left join embeddings v on v.vec_id = g.gold_vec_id),
 keyed as (
-  select *, string_split(gold,' ')[1:3] as expected,
-    case when case_id%10=0 then []::varchar[] else string_split(gold,' ')[4:5] end as anti_w from gold),
+  select *, list_filter(string_split(gold,' '), lambda w, i: i%3=1) as expected,
+    case when case_id%10=0 then []::varchar[] else list_filter(string_split(gold,' '), lambda w, i: i%5=2) end as anti_w from gold),
 prime as (
   select case_id, count(*) as n_runs, max(case when run_idx=0 then version end) as version,
     max(case when run_idx=0 then text end) as text, max(case when run_idx=0 then category end) as category,
@@ -135,17 +136,17 @@ TEXTS = f"""texts as (
     coalesce(string_agg('"'||ts_text||'"', ',' order by l.us, l.seq) filter (where level='ERROR'), '') as packed
   from bounds b join valid l on l.us between b.first_us-60000000 and b.last_us+60000000 group by 1)"""
 
-KV_FIELDS = """doc_id, trim(cat) as category, concat(source,' failed') as root_cause, cast(null as varchar) as next_step,
+KV_FIELDS = """doc_id, trim(cat) as category, cause as root_cause, cast(null as varchar) as next_step,
   'a|b' as evidence, conf as confidence"""
-JS_FIELDS = """doc_id, cat as category, concat(source,' failed') as root_cause, cast(null as varchar) as next_step,
+JS_FIELDS = """doc_id, cat as category, cause as root_cause, cast(null as varchar) as next_step,
   case doc_id%4 when 2 then '' when 3 then null else 'a|b' end as evidence, case when doc_id%5<>0 then conf end as confidence"""
 NO_FIELDS = "cast(null as varchar) as category, cast(null as varchar) as root_cause, cast(null as varchar) as next_step, cast(null as varchar) as evidence, cast(null as varchar) as confidence"
 
 ENRICHED = f"""enriched as (
-  select doc_id, version, lower(trim(cat)) as category, concat(source,' failed') as root_cause, cast(null as varchar) as next_step,
+  select doc_id, version, lower(trim(cat)) as category, cause as root_cause, cast(null as varchar) as next_step,
     '["a","b"]' as evidence, lower(conf) as confidence from kv
   union all
-  select doc_id, version, lower(trim(cat)), concat(source,' failed'), null,
+  select doc_id, version, lower(trim(cat)), cause, null,
     case when doc_id%4<2 then '["a","b"]' end, case when doc_id%5<>0 then lower(conf) end from js
   union all
   select doc_id, version, {NO_FIELDS} from answers where kind=0 or bad)"""
@@ -167,8 +168,8 @@ def oracle_sql() -> dict[str, str]:
             concat('{{"user":',user_id,'}}') as payload, {day} as day from valid where not {BROKEN}""",
         "ingest_by_source": f"with {LOGS} select source, count(*) as n from logs group by 1",
         "client_key": """select event_id as seq, case event_id%4 when 0 then concat('10.0.0.',user_id) when 3 then 'unknown' else concat('h',user_id) end as client from events""",
-        "oversize_requests": f"with {LOGS} select substr(ts_text,1,10) as request_id, count(*) as n_logs, count(*)>330 as is_oversize from logs group by 1",
-        "accepted_requests": f"with {LOGS} select substr(ts_text,1,10) as request_id, count(*) as n, cast(sum(seq) as bigint) as seqs from logs group by 1 having count(*)<=330",
+        "oversize_requests": f"with {LOGS} select substr(ts_text,1,10) as request_id, count(*) as n_logs, count(*)>(select count(*)//count(distinct substr(ts_text,1,10)) from logs) as is_oversize from logs group by 1",
+        "accepted_requests": f"with {LOGS} select substr(ts_text,1,10) as request_id, count(*) as n, cast(sum(seq) as bigint) as seqs from logs group by 1 having count(*)<=(select count(*)//count(distinct substr(ts_text,1,10)) from logs)",
         "trace_bounds": f"with {LOGS} select *, first_us-60000000 as lo_us, last_us+60000000 as hi_us from bounds",
         "correlate_bundles": f"""with {LOGS} select b.trace_id, row_number() over (partition by b.trace_id order by l.us, l.seq) as pos, l.seq,
             l.trace_id=b.trace_id as is_own, l.trace_id as log_trace_id
