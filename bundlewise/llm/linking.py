@@ -14,7 +14,7 @@ from bundlewise.llm.common import frozen
 #: Set elements on one side of a search task; larger families are searched in tiles.
 TILE = 400_000
 #: Hashes in one bucket of the search for shared ones, about; the number of buckets follows the corpus.
-BUCKET = 3_000_000
+BUCKET = 1_000_000
 
 
 def _bucket_rows(posted: Iterable[tuple[int, np.ndarray]], buckets: int) -> pa.Table:
@@ -238,17 +238,14 @@ def link(sets: DataFrame, postings: DataFrame, percent: int = 80, tile: int = TI
     leaves a task: only a root and a sum for each set do.
     """
     family = families(postings)
-    member = sets.join(family, "id")
+    member = sets.select("id", "size").join(family, "id")
     parts = member.groupBy("root").agg(F.greatest(F.lit(1), F.ceil(F.sum("size") / tile)).cast("int").alias("parts"), F.count("*").alias("n")).where("n > 1")
-    split = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    placed = member.join(parts.drop("n"), "root").withColumn("own", split)
-    # each part meets every part, itself included, once
-    tiles = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    tiles = tiles.select(
-        "id", "weight", "elements", F.col("root").alias("family"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-        (F.col("own") > F.col("other")).cast("int").alias("side"),
-    )
-    # tiles (i, j) hold part i on side 0 and part j on side 1
+    placed = frozen(member.join(parts.drop("n"), "root").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")))
+    # each part meets every part, itself included, once: tile (i, j) holds part i on side 0 and part j on side 1
+    tiles = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        "id", F.col("root").alias("family"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side")
+    )
+    tiles = sets.select("id", "weight", "elements").join(tiles, "id")
     run = tiles.groupBy("family", "i", "j").applyInArrow(lambda t: _tile(t, percent), "id bigint, root bigint, n_links bigint")
     found = frozen(run)
     summed = found.groupBy("id").agg(F.sum("n_links").alias("n_links")).where("n_links > 0")

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bundlewise.llm import linking
-from bundlewise.llm.common import frozen, map_arrow, table
+from bundlewise.llm.common import frozen, lower_ascii, map_arrow, table, words
 from bundlewise.llm.shingles import key_of, shingle_sets, words_of
 
 SIZE, PERCENT = 5, 80
@@ -31,18 +32,19 @@ def expected(n: int, percent: int) -> int:
 
 
 def describe(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
-    """(doc_id, k1, k2, n_shingles): the 128-bit key of the word sequence, and the size of the shingle set."""
+    """(doc_id, key, k1, n_shingles): the 128-bit key of the word sequence, its first half, and the size of the shingle set."""
 
     def make():
         def step(texts):
             w = [words_of(x) for x in texts.to_pylist()]
             keys = [key_of(x) for x in w]
-            return [k[0] for k in keys], [k[1] for k in keys], [len(s) for s in shingle_sets(w, size)]
+            whole = [b"".join(x.to_bytes(8, "little", signed=True) for x in k) for k in keys]
+            return whole, [k[0] for k in keys], [len(s) for s in shingle_sets(w, size)]
 
         return step
 
     given = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].cast("binary").alias("t"))
-    return map_arrow(given, {"t": given["t"]}, "k1 bigint, k2 bigint, n_shingles bigint", make, keep=["doc_id"]).select("row.doc_id", "k1", "k2", "n_shingles")
+    return map_arrow(given, {"t": given["t"]}, "key binary, k1 bigint, n_shingles bigint", make, keep=["doc_id"]).select("row.doc_id", "key", "k1", "n_shingles")
 
 
 def candidates(docs: DataFrame, text: str, total: int, size: int, percent: int) -> DataFrame:
@@ -50,12 +52,81 @@ def candidates(docs: DataFrame, text: str, total: int, size: int, percent: int)
 
     def post(texts: list[bytes | None]):
         w = [words_of(x) for x in texts]
-        for words, s in zip(w, shingle_sets(w, size)):
-            yield key_of(words)[0], s[: prefix_length(len(s), percent)]
+        for own, s in zip(w, shingle_sets(w, size)):
+            yield key_of(own)[0], s[: prefix_length(len(s), percent)]
 
     return linking.shared_keys(docs.select(docs[text].cast("binary").alias("t")), post, total, max(32, int(total * FREQUENT)))
 
 
+def rare_first(sets: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
+    """(h, id): the prefixes of `sets` in the order of frequency, for sets that may have a partner.
+
+    Each set learns how many sets have its shingles; the frequent ones, known already, stay out of that shuffle, so no
+    shingle in it has very many owners. A set with too few shared shingles has no partner. Of the others the shingles of
+    their own come first, then rare ones, then frequent ones: few sets meet by chance, in a common passage, say.
+    """
+    total = sets.agg(F.sum("size").alias("n")).first()["n"] or 0
+    buckets = max(min(-(-total // linking.BUCKET), 1 << 20), sets.sparkSession.sparkContext.defaultParallelism * 2)
+    packed = "bucket int, hs binary, ids binary"
+
+    def deal(batches):
+        for batch in batches:
+            own = [np.frombuffer(x, np.uint64) for x in batch.column("elements").to_pylist()]
+            h = np.concatenate(own) if own else np.zeros(0, np.uint64)
+            ids = np.repeat(batch.column("id").to_numpy(), [len(x) for x in own])
+            if len(frequent):
+                rare = ~np.isin(h, frequent)
+                h, ids = h[rare], ids[rare]
+            order = np.argsort(h, kind="stable")
+            h, ids = h[order], ids[order]
+            edge = np.searchsorted((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+            full = np.flatnonzero(np.diff(edge)).tolist()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(full, pa.int32()), pa.array([h[edge[b] : edge[b + 1]].tobytes() for b in full], pa.binary()),
+                 pa.array([ids[edge[b] : edge[b + 1]].tobytes() for b in full], pa.binary())],
+                names=["bucket", "hs", "ids"],
+            )
+
+    def owners(rows: pa.Table) -> pa.Table:
+        h = np.frombuffer(b"".join(x.as_py() for x in rows.column("hs")), np.uint64)
+        ids = np.frombuffer(b"".join(x.as_py() for x in rows.column("ids")), np.int64)
+        _, group, times = np.unique(h, return_inverse=True, return_counts=True)
+        times = times[group]
+        h, ids, times = h[times > 1], ids[times > 1], times[times > 1]
+        order = np.argsort(ids, kind="stable")
+        h, ids, times = h[order], ids[order], times[order].astype(np.int32)
+        cut = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else np.zeros(0, np.int64)
+        ends = np.append(cut[1:], len(ids)).tolist()
+        cut = cut.tolist()
+        return pa.table({
+            "id": pa.array(ids[cut], pa.int64()),
+            "hs": pa.array([h[x:y].tobytes() for x, y in zip(cut, ends)], pa.binary()),
+            "times": pa.array([times[x:y].tobytes() for x, y in zip(cut, ends)], pa.binary()),
+        })
+
+    shared = sets.select("id", "elements").mapInArrow(deal, packed).groupBy("bucket").applyInArrow(owners, "id bigint, hs binary, times binary")
+    # of one set: a row from each bucket at most
+    known = shared.groupBy("id").agg(F.collect_list(F.struct("hs", "times")).alias("shared"))
+
+    def make():
+        def step(sizes, often, shared):
+            out = []
+            for n, last, rows in zip(sizes.to_pylist(), often.to_pylist(), shared.to_pylist()):
+                h = np.frombuffer(b"".join(r["hs"] for r in rows or ()), np.int64)
+                times = np.frombuffer(b"".join(r["times"] for r in rows or ()), np.int32)
+                need = -(-n * percent // 100)
+                alone = n - len(h) - len(last)
+                lead = np.concatenate([h[np.lexsort((h, times))], np.array(last, np.int64)])
+                out.append(lead[: max(n - need + 1 - alone, 0)])
+            return (pa.array(out, pa.list_(pa.int64())),)
+
+        return step
+
+    asked = sets.select("id", "size", "often").join(known, "id", "left")
+    leads = map_arrow(asked, {"n": F.col("size"), "o": F.col("often"), "s": F.col("shared")}, "lead array<bigint>", make, keep=["id"])
+    return frozen(leads.select(F.explode("lead").alias("h"), F.col("row.id").alias("id")))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id, n_links (documents linked directly).
 
@@ -63,45 +134,42 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     2. Candidates: each class posts the shingles of its prefix (least hashes first). A class with a partner is sure to
        share a known number of them; the others, nearly all of a normal corpus, are done. Packed prefixes are all that
        is shuffled, and a shingle that is everywhere costs one entry per batch of texts.
-    3. Candidates post their prefix again, now with frequent shingles last, so that a common passage joins no families;
-       families are searched by T-occurrence (see `linking`). Exact: the prefix rules lose no pair.
+    3. Candidates learn how frequent their shingles are, and post prefixes of the rarest (see `rare_first`). Sets with a
+       posted shingle in common form families, which are searched by T-occurrence (see `linking`). Exact: the prefix
+       rules lose no pair.
 
     Nulls: a null text has no words, its set is empty and it is linked with nothing; a null doc_id has a null
     component_id and is not linked. Texts without words link with nothing, not with each other. Repeated rows are links
     of one another. An empty table gives an empty result.
     """
     about = frozen(describe(docs, doc_id, text, size))
-    classes = about.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.count("*").alias("weight"), F.first("n_shingles").alias("size"))
+    classes = about.where("n_shingles > 0 and doc_id is not null").groupBy("key", "k1").agg(F.min("doc_id").alias("id"), F.count("*").alias("weight"), F.max("n_shingles").alias("size"))
     classes = frozen(classes)
     total = about.agg(F.sum((F.col("n_shingles") * (100 - percent) / 100 + F.col("n_shingles") / 10 + 1).cast("bigint")).alias("s")).first()["s"] or 0
-    counted = frozen(candidates(docs, text, total, size, percent))
+    counted = frozen(candidates(docs, text, total, size, percent).groupBy("kind", "key").agg(F.sum("n").alias("n")))
     smallest = F.ceil(F.col("size") * percent / 100)
     sure = F.greatest(F.lit(1), F.floor(smallest / 10))
-    shared = counted.where("kind = 0").groupBy(F.col("key").alias("k1")).agg(F.sum("n").alias("shared"))
-    chosen = classes.join(shared, "k1").where(F.col("shared") >= sure).select("id", "k1", "k2", "weight")
-    frequent = np.sort(np.array([r["key"] for r in counted.where("kind = 1").select("key").distinct().collect()], np.int64).view(np.uint64))  # at most 1 / FREQUENT
+    shared = counted.where("kind = 0").select(F.col("key").alias("k1"), F.col("n").alias("shared"))
+    chosen = classes.join(shared, "k1").where(F.col("shared") >= sure).select("id", "key", "weight")
+    frequent = np.sort(np.array([r["key"] for r in counted.where("kind = 1").select("key").collect()], np.int64).view(np.uint64))  # at most 1 / FREQUENT
 
     given = docs.select(docs[doc_id].cast("bigint").alias("id"), docs[text].cast("binary").alias("t"))
 
     def make():
-        def step(texts, k1, k2):
-            w = [words_of(x) for x in texts.to_pylist()]
-            same = [key_of(x) == (a, b) for x, a, b in zip(w, k1.to_pylist(), k2.to_pylist())]
-            sets = shingle_sets(w, size)
-            lead = []
-            for s in sets:
-                last = np.isin(s, frequent) if len(frequent) else np.zeros(len(s), bool)
-                ranked = np.concatenate([s[~last], s[last]])
-                lead.append(ranked[: len(s) - -(-len(s) * percent // 100) + 1].view(np.int64))
-            return same, [len(s) for s in sets], [s.tobytes() for s in sets], lead
+        def step(texts):
+            sets = shingle_sets([words_of(x) for x in texts.to_pylist()], size)
+            often = [s[np.isin(s, frequent)].view(np.int64) if len(frequent) else np.zeros(0, np.int64) for s in sets]
+            return [len(s) for s in sets], [s.tobytes() for s in sets], often
 
         return step
 
-    taken = map_arrow(given.join(chosen, "id"), {"t": F.col("t"), "k1": F.col("k1"), "k2": F.col("k2")}, "same boolean, size bigint, elements binary, lead array<bigint>", make, keep=["id", "weight"])
-    sets = frozen(taken.where("same").select("row.id", "row.weight", "size", "elements", "lead").dropDuplicates(["id"]))
-    linked = linking.link(sets.drop("lead"), sets.select(F.explode("lead").alias("h"), "id"), percent)
-    known = classes.join(linked, "id", "left").select("k1", "k2", F.coalesce("root", "id").alias("component_id"), "weight", F.coalesce("n_links", F.lit(0)).alias("n"))
-    out = about.join(known, ["k1", "k2"], "left")
+    # one text of each class; the join has dealt the rows out by id, so this shuffles nothing
+    sequence = F.unhex(F.md5(F.concat_ws(" ", words(lower_ascii(F.col("t").cast("string"))))))
+    taken = given.join(chosen, "id").where(sequence == F.col("key")).dropDuplicates(["id"])
+    sets = frozen(map_arrow(taken, {"t": F.col("t")}, "size bigint, elements binary, often array<bigint>", make, keep=["id", "weight"]).select("row.id", "row.weight", "size", "elements", "often"))
+    linked = linking.link(sets.drop("often"), rare_first(sets, frequent, percent), percent)
+    known = classes.join(linked, "id", "left").select("key", F.coalesce("root", "id").alias("component_id"), "weight", F.coalesce("n_links", F.lit(0)).alias("n"))
+    out = about.join(known, "key", "left")
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
     return out.select(
         "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
