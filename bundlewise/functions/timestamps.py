@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_BLANKS = " \t\n\r\f\x0b"
+_BLANKS = " \t\n\r\f\x0b\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 # the shape nearly all logs have: parsed without any rewriting
 _PLAIN = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})?)?$"
-# the other accepted shapes: any separator, compact date / time / offset, comma fraction
-_LOOSE = (
-    r"^(\d{4}-\d{2}-\d{2}|\d{8})(.\d{2}(:?\d{2}(:?\d{2}([.,]\d+)?)?)?"
-    r"(Z|[+-]\d{2}(:?\d{2})?)?)?$"
-)
+# the other accepted shapes: any separator, compact date / time / offset, comma fraction; time and offset each keep to
+# one style, with colons or without
+_SECONDS = r"\d{2}([.,]\d+)?"
+_TIME = rf"(\d{{2}}(:\d{{2}}(:{_SECONDS})?)?|\d{{2}}\d{{2}}({_SECONDS})?)"
+_OFFSET = r"(Z|[+-]\d{2}(:\d{2}(:\d{2})?|\d{2}(\d{2})?)?)"
+_LOOSE = rf"^(\d{{4}}-\d{{2}}-\d{{2}}|\d{{8}})(.{_TIME}{_OFFSET}?)?$"
 
 
 # fixed values: rewrites of the other shapes to date, T, full time, offset with minutes
@@ -23,6 +24,7 @@ _REWRITES = (
     (r"^(.{13}):?(\d{2})(?=$|[Z+-])", "$1:$2:00"),
     (r"^(.{13}):?(\d{2}):?(\d{2})", "$1:$2:$3"),
     (r",", "."),
+    (r"^(.{19}[^+-]*[+-]\d{2}):?(\d{2}):?(\d{2})$", "$1:$2:$3"),
     (r"^(.{19}.*[+-]\d{2}):?(\d{2})$", "$1:$2"),
     (r"^(.{19}.*[+-]\d{2})$", "$1:00"),
 )

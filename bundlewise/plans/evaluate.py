@@ -53,6 +53,8 @@ def run_eval(
     agreement. Each distinct text is embedded once, and only if the cache lacks it. Answers are checkpointed:
     the analyzer is called once per case and run.
     """
+    if prompts.where(F.col("version") == version).isEmpty():
+        raise ValueError(f"unknown prompt version: {version}")
     bundles = first_bundles(cases, window_seconds)
     asked, _ = render_prompts(bundles, prompts, window_seconds, version)
     asked = asked.select("*", F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("seed"), F.lit(temperature).alias("temperature"))

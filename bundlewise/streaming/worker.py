@@ -31,6 +31,8 @@ class BundleWorker:
         max_retries: int = MAX_BUNDLE_RETRIES,
         pause: float = 1.0,
     ) -> None:
+        if prompts.where(F.col("version") == version).isEmpty():
+            raise ValueError(f"unknown prompt version: {version}")
         self.root = root
         self.prompts = prompts
         self.make_analyzer = make_analyzer
@@ -86,5 +88,7 @@ class BundleWorker:
     def _read(self, spark: SparkSession, name: str, batch_id: int) -> DataFrame | None:
         try:
             return spark.read.parquet(self._path(name, batch_id))
-        except AnalysisException:
-            return None
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":  # the first batch, or one without failures
+                return None
+            raise

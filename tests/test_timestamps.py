@@ -19,9 +19,13 @@ GOOD = {
     "2026-05-06T10:00:00,5": datetime(2026, 5, 6, 10, 0, 0, 500000),
     "2026-05-06T10:00:00.123456789Z": datetime(2026, 5, 6, 10, 0, 0, 123456),
     "2026-05-06T10:00:00-02": datetime(2026, 5, 6, 12),
+    "2026-05-06T10:00:00+05:30:15": datetime(2026, 5, 6, 4, 29, 45),
+    "2026-05-06T100000.5-013010": datetime(2026, 5, 6, 11, 30, 10, 500000),
+    "\u00a02026-05-06T10:00\u3000": datetime(2026, 5, 6, 10),
     "1969-12-31T23:59:59.999999Z": datetime(1969, 12, 31, 23, 59, 59, 999999),
 }
 BAD = ["", "2026", "2026-05", "10:00:00", "not-a-time", "2026-13-01", "2026-02-30", "2026-05-06T25:00:00", "2026-05-06T10:00:00 Europe/Paris", "2026-05-06T10:00:00z"]
+BAD += ["2026-05-06T10:0000", "2026-05-06T1000:00", "2026-05-06T10:00+05:3015", "2026-05-06T10:00+0530:15"]
 
 
 def test_parse_ts_accepts_iso_and_rejects_the_rest(spark):
