@@ -40,39 +40,43 @@ def latency_histogram(calls: DataFrame, by: Sequence[str] = (), latency: str = "
     return agg.select(*by, "count", "sum", F.inline(F.array(*rows)))
 
 
-def quantile_value(values: DataFrame, by: Sequence[str], value: str, fraction: float, digits: float = 1000.0) -> DataFrame:
+#: Bins per unit in the search for a rank, coarse ones first: milliseconds, then microseconds of the one millisecond.
+QUANTILE_BINS = (1e3, 1e6)
+
+
+def quantile_value(values: DataFrame, by: Sequence[str], value: str, fraction: float, bins: Sequence[float] = QUANTILE_BINS) -> DataFrame:
     """Exact value at rank max(floor(fraction * n), 1) per group, from distinct values with their count `cnt`.
 
-    First buckets of width 1/digits are summed up to find the one that holds the rank, then only that bucket's
-    values are ordered, so no group is sorted as a whole.
+    The bin that holds the rank is found by sums over bins, then cut into finer bins, and only the values of the last
+    one are ordered, so no group is sorted as a whole and a crowded bin is spread again. A NULL group is a group.
     """
-    key = list(by)
-    group = Window.partitionBy(*key)
+    group = Window.partitionBy("_k")
     upto = group.rowsBetween(Window.unboundedPreceding, 0)
-    binned = values.withColumn("_b", F.floor(F.col(value) * digits))
-    bins = binned.groupBy(*key, "_b").agg(F.sum("cnt").alias("cnt"))
-    rank = F.greatest(F.floor(F.sum("cnt").over(group) * F.lit(fraction)), F.lit(1))
-    bins = bins.select("*", rank.alias("_rank"), F.sum("cnt").over(upto.orderBy("_b")).alias("_upto"))
     before = F.col("_upto") - F.col("cnt")
-    hit = bins.where((F.col("_upto") >= F.col("_rank")) & (before < F.col("_rank")))
-    hit = hit.select(*key, "_b", (F.col("_rank") - before).alias("_need"))
-    inside = binned.join(hit, [*key, "_b"]).withColumn("_upto", F.sum("cnt").over(upto.orderBy(value)))
-    return inside.where((F.col("_upto") >= F.col("_need")) & (before < F.col("_need"))).select(
-        *key, F.col(value).alias("value_at_rank")
-    )
+    left = values.withColumn("_k", F.struct(*by) if by else F.struct(F.lit(1)))
+    need = left.groupBy("_k").agg(F.greatest(F.floor(F.sum("cnt") * F.lit(fraction)), F.lit(1)).alias("_need"))
+    for width in bins:
+        left = left.withColumn("_b", F.floor(F.col(value) * width))
+        counted = left.groupBy("_k", "_b").agg(F.sum("cnt").alias("cnt")).withColumn("_upto", F.sum("cnt").over(upto.orderBy("_b")))
+        hit = counted.join(need, "_k").where((F.col("_upto") >= F.col("_need")) & (before < F.col("_need")))
+        hit = hit.select("_k", "_b", (F.col("_need") - before).alias("_need"))
+        left = left.join(hit.select("_k", "_b"), ["_k", "_b"], "left_semi").drop("_b")
+        need = hit.drop("_b")
+    inside = left.withColumn("_upto", F.sum("cnt").over(upto.orderBy(value))).join(need, "_k")
+    return inside.where((F.col("_upto") >= F.col("_need")) & (before < F.col("_need"))).select(*by, F.col(value).alias("value_at_rank"))
 
 
 def latency_summary(calls: DataFrame, by: Sequence[str], latency: str = "latency_s") -> DataFrame:
     """Count, mean, p95 and rate per group; p95 is the value at rank max(floor(0.95 n), 1), not interpolated.
 
-    Equal latencies are merged before anything is ordered.
+    Equal latencies are merged before anything is ordered. A NULL group is a group like any.
     """
     key = list(by)
     present = calls.where(F.col(latency).isNotNull())
     totals = present.groupBy(*key).agg(F.count("*").alias("n"), F.avg(latency).alias("mean_s"))
     distinct = present.groupBy(*key, latency).agg(F.count("*").alias("cnt"))
-    p95 = quantile_value(distinct, key, latency, 0.95)
+    p95 = quantile_value(distinct, key, latency, 0.95).select(F.struct(*key).alias("_k"), "value_at_rank")
     rate = F.lit(1.0) / F.nullif("mean_s", F.lit(0.0))
-    return totals.join(p95, key).select(
+    return totals.withColumn("_k", F.struct(*key)).join(p95, "_k").select(
         *key, "n", "mean_s", F.col("value_at_rank").alias("p95_s"), rate.alias("rate_per_s")
     )
