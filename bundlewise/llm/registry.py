@@ -9,10 +9,12 @@ from bundlewise.llm import ngram_join as op3
 from bundlewise.llm import pages as op4
 from bundlewise.llm import paragraphs as op1
 from bundlewise.llm import toxicity as op5
+from bundlewise.llm import revisits as op2
 from bundlewise.llm import sharding as op7
 from bundlewise.llm import quality as op6
 
 QUERIES = {
+    "op2_warc_revisits": op2.op2_warc_revisits,
     "op9_suffix_array_dedup": op9.op9_suffix_array_dedup,
     "op1_substring_dedup": op1.op1_substring_dedup,
     "op3_ngram_join": op3.op3_ngram_join,
@@ -24,6 +26,7 @@ QUERIES = {
     "op10_byte_bpe": op10.op10_byte_bpe,
 }
 ORACLES = {
+    "op2_warc_revisits": op2.OP2_SQL,
     "op3_ngram_join": op3.OP3_SQL,
     "op8_decontamination": op8.OP8_SQL,
 }
