@@ -14,7 +14,7 @@ from bundlewise.llm.common import frozen
 #: Set elements on one side of a search task; larger families are searched in tiles.
 TILE = 400_000
 #: Hashes in one bucket of the search for shared ones, about; the number of buckets follows the corpus.
-BUCKET = 1_000_000
+BUCKET = 250_000
 
 
 def _bucket_rows(posted: Iterable[tuple[int, np.ndarray]], buckets: int) -> pa.Table:
