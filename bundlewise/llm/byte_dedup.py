@@ -23,7 +23,7 @@ from bundlewise.llm.suffix_arrays import common_prefixes, suffix_array
 
 LENGTH = 400
 #: Anchors in one bucket, surroundings in one shard, about; their numbers follow the corpus.
-BUCKET, SHARD = 2_000_000, 8_000
+BUCKET, SHARD = 100_000, 8_000
 #: An anchor with more distinct surroundings is too much for one shard; its windows are counted by hash instead.
 MOST_CLASSES = 20_000
 
@@ -108,10 +108,8 @@ def _deal(dks: list[bytes], texts: list[bytes | None], length: int, buckets: int
         group = np.cumsum(new) - 1
         many = np.bincount(group)[group] > 1
         edge = np.searchsorted((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
-        for b in range(buckets):
+        for b in np.flatnonzero(np.diff(edge)).tolist():
             s = slice(int(edge[b]), int(edge[b + 1]))
-            if s.start == s.stop:
-                continue
             texts_here, local = np.unique(d[s], return_inverse=True)
             out = new[s]
             values = (
@@ -127,8 +125,9 @@ def _deal(dks: list[bytes], texts: list[bytes | None], length: int, buckets: int
 def _settle(rows: pa.Table) -> pa.Table:
     """Of a bucket: covered anchors (kind 0: places by text) and classes to compare (kind 1: one place of each)."""
     read = lambda c, t: [np.frombuffer(x.as_py(), t) for x in rows.column(c)]
-    dks = [x for r in rows.column("dks").to_pylist() for x in r]
-    base = np.cumsum([0, *[len(r) for r in rows.column("dks").to_pylist()]])[:-1]
+    of_row = rows.column("dks").to_pylist()
+    dks = [x for r in of_row for x in r]
+    base = np.cumsum([0, *map(len, of_row)])[:-1]
     a, c, place = (np.concatenate(read(n, t)) for n, t in (("a", np.uint64), ("c", np.uint64), ("place", np.int32)))
     many = np.concatenate(read("many", np.int8))
     doc = np.concatenate([x + b for x, b in zip(read("doc", np.int32), base)])
@@ -219,7 +218,7 @@ def find_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", leng
     given = docs.select(doc_key(docs[doc_id], docs[text]).alias("dk"), docs[text].cast("binary").alias("t"))
     size = given.agg(F.sum(F.length("t")).alias("n")).first()["n"] or 0
     parallel = docs.sparkSession.sparkContext.defaultParallelism * 2
-    buckets = int(min(max(-(-size * 2 // (ext + 2) // BUCKET), parallel), 1 << 16))
+    buckets = int(min(max(-(-size * 2 // (ext + 2) // BUCKET), parallel), 1 << 20))
 
     def deal(batches):
         for batch in batches:
