@@ -12,11 +12,9 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bundlewise.llm.common import table, words
+from bundlewise.llm.common import stored, table, words
 
 BUCKETS = 8192
-#: At most so many trusted ids, in the order of a hash, make the target.
-MAX_TRUSTED = 20_000
 #: Log-ratios are held in millionths, so that sums are whole numbers and do not depend on their order.
 SCALE = 1_000_000
 #: A text is kept if it scores at least as high as all but this share of the trusted texts of enough words.
@@ -83,27 +81,48 @@ def ratio_score(weights: list[int]) -> Column:
     return F.when(size > 0, F.floor(total / F.greatest(size, F.lit(1)))).cast("bigint")
 
 
-def trusted_rows(docs: DataFrame, labels: DataFrame, doc_id: str, label: str, limit: int) -> DataFrame:
-    """Rows of `docs` with a trusted id; the list of ids has at most `limit` entries, so it may be broadcast."""
-    ids = labels.where((labels[label] == 1) & labels[doc_id].isNotNull()).select(labels[doc_id].alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(limit)
-    return docs.join(F.broadcast(ids), docs[doc_id] == ids["_id"], "left_semi")
+def trusted_rows(docs: DataFrame, labels: DataFrame, doc_id: str, label: str) -> DataFrame:
+    """All rows of `docs` with a trusted id, by a shuffle: the ids grow with the corpus."""
+    ids = labels.where((labels[label] == 1) & labels[doc_id].isNotNull()).select(labels[doc_id].alias("_id")).distinct()
+    return docs.join(ids.hint("merge"), docs[doc_id] == ids["_id"], "left_semi")
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", n: int = BUCKETS, limit: int = MAX_TRUSTED) -> tuple[list[int], int]:
+def low_quantile(scores: DataFrame, one_in: int) -> int | None:
+    """The least score `s` that at least one in `one_in` of the rows do not exceed; null without rows.
+
+    Exact, and no task sorts or holds the scores: counts by bins find the bin of that rank, counts by value within the
+    bin find the value. Both are summed on each task first; scores are means of log-ratios, so bins are few.
+    """
+    width = 4096
+    bins = sorted((r["b"], r["c"]) for r in scores.groupBy(F.floor(F.col("s") / width).alias("b")).agg(F.count("*").alias("c")).collect())
+    rank = -(-sum(c for _, c in bins) // one_in)
+    for b, c in bins:
+        if rank <= c:
+            inside = scores.where(F.floor(F.col("s") / width) == b).groupBy("s").agg(F.count("*").alias("c"))
+            for s, times in sorted((r["s"], r["c"]) for r in inside.collect()):
+                rank -= times
+                if rank <= 0:
+                    return int(s)
+        rank -= c
+    return None
+
+
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", n: int = BUCKETS) -> tuple[list[int], int]:
     """(log-ratio of each bucket, threshold). Without trusted texts all ratios are 0 and the threshold keeps every text.
 
-    The raw multinomial counts every text of `docs`. The threshold is a low quantile of the trusted texts' own scores.
+    The target multinomial counts every trusted text, the raw one every text of `docs`. The threshold is a low quantile
+    of the scores of all trusted texts of enough words.
     """
-    trusted = grams(trusted_rows(docs, labels, doc_id, label, limit), text, []).persist()
+    trusted = grams(stored(trusted_rows(docs, labels, doc_id, label).select(docs[text].alias("t"))), "t", [])
     target = count_buckets(trusted, n)
     if not target:
-        trusted.unpersist()
         return [0] * n, -(10**12)
     weights = log_ratios(target, count_buckets(grams(docs, text, []), n), n)
-    scored = trusted.where(F.size("h1") >= MIN_WORDS).select(ratio_score(weights).alias("s")).where("s is not null")
-    at = scored.agg(F.expr(f"percentile_disc({TAIL}) within group (order by s)").alias("q")).first()["q"]
-    trusted.unpersist()
-    return weights, -(10**12) if at is None else int(at)
+    # narrow, and held before the filter, which would else be pushed below the arrays, where each look-up computes its array anew
+    scored = trusted.select(F.when(F.size("h1") >= MIN_WORDS, ratio_score(weights)).alias("s")).persist()
+    at = low_quantile(scored.where("s is not null"), round(1 / TAIL))
+    scored.unpersist()
+    return weights, -(10**12) if at is None else at
 
 
 def judge(docs: DataFrame, weights: list[int], threshold: int, text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -160,6 +160,21 @@ def test_ratio_parts_trusted_from_raw(spark):
     assert quality.judge(docs(spark, []), none, low).count() == 0
 
 
+def test_every_trusted_text_counts(spark):
+    n = 21_000
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("x"), F.hex("id"), F.hex(F.col("id") * 7919)).alias("text"))
+    weights, _ = quality.fit(df, df.select("doc_id", F.lit(1).alias("quality")))
+    assert set(weights) == {0}  # the trusted texts are the corpus
+
+
+def test_low_quantile_is_exact(spark):
+    rng = random.Random(8)
+    for n in (0, 1, 10, 11, 400):
+        given = [round(rng.gauss(0, 5000)) for _ in range(n)]
+        got = quality.low_quantile(spark.createDataFrame([(x,) for x in given], "s bigint"), 10)
+        assert got == (sorted(given)[-(-n // 10) - 1] if n else None)
+
+
 @pytest.mark.parametrize("n, bits", [(1, 4), (2, 3), (3, 3), (4, 2)])
 def test_curve_visits_each_cell_by_single_steps(spark, n, bits):
     grid = spark.range(1 << (n * bits)).select(*[F.shiftright("id", k * bits).bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias(f"x{k}") for k in range(n)])
