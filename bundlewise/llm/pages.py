@@ -30,26 +30,58 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Elements that never hold main text; a header or footer inside the article is one too unless it holds its heading.
 CHROME = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "head", "fieldset", "option", "input", "label"}
 CHROME_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "form", "menu", "menubar"}
-CHROME_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|adbox|adsense|sponsor|sponsored|promo|promotion|banner|cookie|cookies|consent|gdpr|"
-    r"notice|notices|notification|alert|popup|modal|overlay|paywall|newsletter|subscribe|subscription|signup|login|menu|menus|nav|navbar|"
-    r"navigation|breadcrumb|breadcrumbs|sidebar|side|aside|widget|widgets|footer|foot|header|masthead|topbar|comment|comments|commentlist|"
-    r"disqus|respond|replies|reply|share|sharing|social|related|recommended|recommendations|trending|pagination|pager|toolbar|skip|hidden)(?=$|[\s_-])",
-    re.I,
+#: Words a class or id is made of if it names boilerplate; articles inside a list of this kind are its items.
+CHROME_WORDS = set(
+    "ad ads advert adverts advertisement advertising adbox adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr "
+    "notice notices notification alert popup modal overlay paywall newsletter subscribe subscription signup login menu menus nav navbar "
+    "navigation breadcrumb breadcrumbs sidebar side aside widget widgets footer foot header masthead topbar share sharing social "
+    "pagination pager toolbar skip hidden".split()
 )
+LIST_WORDS = set("comment comments commentlist disqus respond replies reply related recommended recommendations trending".split())
+#: Words beside them that do not change what is named; with any other word (has-, no-, -wrap, -open, -effects) it is not boilerplate.
+PLAIN_WORDS = set(
+    "a the site page main top bottom left right primary secondary global mobile sticky fixed google box bar list item items link links block "
+    "section area container inner form button buttons btn icon icons text title unit slot region group post posts entry article articles "
+    "stories policy message".split()
+)
+#: Classes of an element that holds the columns of a page, its own side column beside the text.
+LAYOUTS = {"layout", "wrap", "wrapper"}
 MAIN = {"article", "main"}
 MAIN_ROLES = {"main", "article"}
 
 
+def chrome_of(value: str, inside: bool) -> int:
+    """What a class or id says: 0 no boilerplate, 1 boilerplate, 2 a list whose articles are its items.
+
+    A token counts as a whole: each of its parts must be a word for boilerplate or a plain one. `inside` an article, and
+    in names of its parts, a header holds the heading.
+    """
+    tokens = value.lower().split()
+    if LAYOUTS & set(tokens):
+        return 0
+    found = 0
+    for token in tokens:
+        parts = {x for x in re.split(r"[_-]+", token) if x and not re.fullmatch(r"\d+(x\d+)?", x)}
+        said = parts & (CHROME_WORDS | LIST_WORDS)
+        if parts - said - PLAIN_WORDS:
+            continue
+        if inside or parts & {"post", "entry", "article"}:
+            said = said - {"header"}
+        if said:
+            found = max(found, 2 if said & LIST_WORDS else 1)
+    return found
+
+
 def blocks(page: str) -> list[tuple[str, bool, bool]]:
     """Text blocks of a page in order: (text, inside boilerplate markup, inside the article).
 
     Unclosed elements are closed by the end of an outer one, paragraphs by the next block.
     """
     out: list[tuple[str, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, boilerplate, article: both inherited
+    # element, boilerplate (1: by a class or id, which an article inside resets), article: both inherited
+    stack: list[tuple[str, int, bool]] = []
     buffer: list[str] = []
-    chrome = main = False
+    chrome, main = 0, False
     at, n = 0, len(page)
 
     def flush():
@@ -57,7 +89,7 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
             text = SPACES.sub(" ", entities.unescape("".join(buffer))).strip()
             buffer.clear()
             if text:
-                out.append((text, chrome, main))
+                out.append((text, chrome > 0, main))
 
     while at < n:
         m = TAG.search(page, at)
@@ -78,7 +110,7 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
                     if any(x[0] in BLOCK for x in stack[k:]):
                         flush()
                     del stack[k:]
-                    chrome, main = stack[-1][1:] if stack else (False, False)
+                    chrome, main = stack[-1][1:] if stack else (0, False)
                     break
                 if stack[k][0] in MAIN | {"body", "html", "table"} and name not in MAIN | {"body", "html", "table"} and name not in BLOCK:
                     break  # a stray inline end does not close the article
@@ -102,7 +134,7 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == "p" or stack[k][0] == name:
                         del stack[k:]
-                        chrome, main = stack[-1][1:] if stack else (False, False)
+                        chrome, main = stack[-1][1:] if stack else (0, False)
                         break
                     if stack[k][0] in BLOCK:
                         break
@@ -110,26 +142,31 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
                 k = max(i for i, x in enumerate(stack) if x[0] == "p")
                 if not any(x[0] in BLOCK for x in stack[k + 1 :]):
                     del stack[k:]
-                    chrome, main = stack[-1][1:] if stack else (False, False)
+                    chrome, main = stack[-1][1:] if stack else (0, False)
         if m[3].endswith("/") and name not in BLOCK:
             continue
-        own_main = main or name in MAIN
-        own_chrome = chrome or name in CHROME or (name == "header" and not main)
+        own_main, marked = main or name in MAIN, name in MAIN
+        own_chrome = 2 if name in CHROME or (name == "header" and not main) else 0
+        said = 0
         if m[3]:
             for a in ATTRIBUTE.finditer(m[3]):
                 key, value = a[1].lower(), a[2] or a[3] or a[4] or ""
                 if key == "role":
-                    own_main = own_main or value.lower() in MAIN_ROLES
-                    own_chrome = own_chrome or value.lower() in CHROME_ROLES
+                    marked = marked or value.lower() in MAIN_ROLES
+                    own_chrome = 2 if value.lower() in CHROME_ROLES else own_chrome
                 elif key in ("class", "id"):
-                    if name not in ("body", "html", "article", "main"):
-                        # the heading of an article stands in a header of its own
-                        said = re.sub(r"header", "", value, flags=re.I) if main else value
-                        own_chrome = own_chrome or bool(CHROME_WORDS.search(said))
+                    if name not in ("body", "html"):
+                        said = max(said, chrome_of(value, main))
                 elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
-                    own_chrome = True
+                    own_chrome = 2
                 elif key == "itemprop":
-                    own_main = own_main or value.lower() == "articlebody"
+                    marked = marked or value.lower() == "articlebody"
+        own_main = own_main or marked
+        if name in MAIN:
+            # its own class marks no article, but one that says what its container says is no main text there
+            own_chrome = max(own_chrome, 0 if chrome == 1 and not said else chrome)
+        else:
+            own_chrome = max(own_chrome, said, 0 if chrome == 1 and marked and not said else chrome)
         stack.append((name, own_chrome, own_main))
         chrome, main = own_chrome, own_main
     flush()

@@ -75,3 +75,17 @@ def test_given_pages(spark):
         want[r["page_id"]] = [x for x in (re.sub(r"\s+", " ", html.unescape(x)).strip() for x in lines) if x]
     got = {r["page_id"]: r["text"].split("\n") if r["text"] else [] for r in pages.extract(given).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["content-sidebar-wrap", "has-sidebar", "no-sidebar wide", "layout side", "comments-open", "side-effects", "with-ads"])
+def test_layout_classes_are_no_boilerplate(name):
+    for html in (f'<div class="{name}"><article><p>a</p></article></div>', f'<article><section class="{name}"><p>a</p></section></article>'):
+        assert pages.main_text(pages.blocks(html), set()) == "a"
+
+
+def test_an_article_resets_the_mark_of_its_container():
+    text = lambda html: pages.main_text(pages.blocks(html), set())
+    assert text('<div class="sidebar"><p>no</p><article><p>a</p></article><main>b</main><div role="main">c</div><p>no</p></div>') == "a\nb\nc"
+    assert text('<aside><article>no</article></aside><div class="comments"><article id="comment-1">no</article></div><article>a</article>') == "a"
+    for name in ("sidebar", "ad-300x250", "site-footer", "x cookie-notice", "widget_area", "comments", "related-posts"):
+        assert text(f'<article><p>a</p><div class="{name}"><p>no</p></div></article>') == "a"
