@@ -208,9 +208,8 @@ def shared_lines(a: list[int], b: list[int]) -> set[int]:
 
 
 def main_text(found: list[tuple[str, bool, bool]], shared: set[int]) -> str:
-    """Lines outside boilerplate markup; with a marked article its lines, else those no neighbour shares."""
-    article = any(main and not chrome for _, chrome, main in found)
-    return "\n".join(t for k, (t, chrome, main) in enumerate(found) if not chrome and (main if article else k not in shared))
+    """Lines outside boilerplate markup that stand in a marked article or that no neighbour shares."""
+    return "\n".join(t for k, (t, chrome, main) in enumerate(found) if not chrome and (main or k not in shared))
 
 
 def _neighbours(pages: DataFrame, id_: str, url: str, html: str) -> DataFrame:

@@ -89,3 +89,8 @@ def test_an_article_resets_the_mark_of_its_container():
     assert text('<aside><article>no</article></aside><div class="comments"><article id="comment-1">no</article></div><article>a</article>') == "a"
     for name in ("sidebar", "ad-300x250", "site-footer", "x cookie-notice", "widget_area", "comments", "related-posts"):
         assert text(f'<article><p>a</p><div class="{name}"><p>no</p></div></article>') == "a"
+
+
+def test_a_marked_teaser_does_not_stand_for_the_page(spark):
+    rows = [(i, f"http://h.org/n/{i}", page(i, f"<p>story {i}</p><article>card</article><p>more of {i}</p><nav>menu {i}</nav>")) for i in range(12)]
+    assert all(t == f"story {i}\ncard\nmore of {i}" for i, t in whole(spark, rows).items())
