@@ -213,11 +213,12 @@ def main_text(found: list[tuple[str, bool, bool]], shared: set[int]) -> str:
 
 
 def _neighbours(pages: DataFrame, id_: str, url: str, html: str) -> DataFrame:
-    """(row_key, shared): positions of lines each distinct page shares with the nearest page of its host.
+    """(row_key, shared): positions of lines each distinct page shares with the nearest page of another address of its host.
 
-    Pages are sorted by host and path, where the address with the longest common path is next to a page, before or
-    after it. Only hashes of lines travel; the sort deals out ranges, so a host may span many tasks, and the pages at
-    the edges of a task are handed to the next as one row each.
+    Pages are sorted by host and address (path and query), where the address with the longest common beginning is next to
+    a page, before or after it; pages of the same address are passed over, however many. Only hashes of lines travel; the
+    sort deals out ranges, so a host may span many tasks, and of each task the outermost pages of two addresses at either
+    end are handed to the others. One scan carries the page before, one over the same rows in reverse the page after.
     """
 
     def make():
@@ -229,58 +230,62 @@ def _neighbours(pages: DataFrame, id_: str, url: str, html: str) -> DataFrame:
     key = row_key(pages, id_, url, html)
     address = F.regexp_replace(F.coalesce(pages[url], F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://", "")
     host = F.lower(F.regexp_extract(address, r"^([^/?#]*)", 1))
-    path = F.regexp_extract(address, r"^[^/?#]*([^?#]*)", 1)
+    path = F.regexp_extract(address, r"^[^/?#]*([^#]*)", 1)
     lines = map_arrow(pages.select(key.alias("k"), host.alias("host"), path.alias("path"), pages[html].alias("h")), {"h": F.col("h")}, "lines array<bigint>", make, keep=["k", "host", "path"])
     narrow = lines.select("row.*", "lines").dropDuplicates(["k"])
     ranged = narrow.repartitionByRange("host", "path", "k").sortWithinPartitions("host", "path", "k")
     fixed = frozen(ranged.withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id()))
-    edge = fixed.groupBy("part").agg(F.min("place").alias("lo"), F.max("place").alias("hi"))
-    # one first and one last page of each task: as many rows as partitions
-    ends = fixed.join(F.broadcast(edge), "part").where("place = lo or place = hi").select("place", "part", "host", "path", "lines").orderBy("place")
+    spot = F.struct("place", "host", "path")
+    edge = fixed.groupBy("part").agg(F.min(spot).alias("lo"), F.max(spot).alias("hi"))
+    # where the first address of a task ends and its last one begins
+    other = lambda end: (F.col("host") != F.col(f"{end}.host")) | (F.col("path") != F.col(f"{end}.path"))
+    inner = fixed.select("part", "place", "host", "path").join(F.broadcast(edge), "part").groupBy("part").agg(
+        F.min("lo.place").alias("a"), F.min(F.when(other("lo"), F.col("place"))).alias("b"),
+        F.max(F.when(other("hi"), F.col("place"))).alias("c"), F.max("hi.place").alias("d"),
+    )
+    # at most four pages of each task: as many rows as partitions
+    ends = fixed.join(F.broadcast(inner), "part").where("place in (a, b, c, d)").select("place", "part", "host", "path", "lines").orderBy("place")
     tips = [(r["part"], r["host"], r["path"], r["lines"]) for r in ends.collect()]
 
-    def compare(batches):
-        def verdict(before, row, after):
-            _, host, path, lines = row
-            best, drop = -1, set()
-            for other in (before, after):
-                if other is None or other[1] != host or other[2] == path:
-                    continue
-                common = 0
-                for x, y in zip(path, other[2]):
-                    if x != y:
-                        break
-                    common += 1
-                hit = shared_lines(lines, other[3])
-                if common > best or common == best and len(hit) > len(drop):
-                    best, drop = common, hit
-            return row[0], sorted(drop)
-
-        before = row = None
-        first = None
-        for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("k", "host", "path", "lines", "part")]
-            keys, rows = [], []
-            for k, h, p, ls, part in zip(*cols):
-                if first is None:
-                    first = part
-                    earlier = [t for t in tips if t[0] < part]
-                    before = (None, *earlier[-1][1:]) if earlier else None
-                nxt = (k, h, p, ls)
-                if row is not None:
-                    a, b = verdict(before, row, nxt)
-                    keys.append(a)
-                    rows.append(b)
-                    before = row
-                row = nxt
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(rows, pa.list_(pa.int32()))], names=["k", "shared"])
-        if row is not None:
-            later = [t for t in tips if t[0] > first]
-            a, b = verdict(before, row, (None, *later[0][1:]) if later else None)
-            yield pa.RecordBatch.from_arrays([pa.array([a], pa.binary()), pa.array([b], pa.list_(pa.int32()))], names=["k", "shared"])
-
-    return fixed.select("k", "host", "path", "lines", "part", "place").mapInArrow(compare, "k binary, shared array<int>")
+    def nearest(row, other, best):
+        """(common beginning, shared positions) of the better partner."""
+        _, host, path, lines = row
+        if other is None or other[1] != host:
+            return best
+        common = 0
+        for x, y in zip(path, other[2]):
+            if x != y:
+                break
+            common += 1
+        hit = sorted(shared_lines(lines, other[3]))
+        return (common, hit) if common > best[0] or common == best[0] and len(hit) > len(best[1]) else best
+
+    def scan(back):
+        def run(batches):
+            held = last = None  # the page of the address passed last, and the row passed last
+            for batch in batches:
+                names = ("k", "host", "path", "lines", "part", "place", "best", "shared")
+                out: list[list] = [[], []]
+                for k, host, path, lines, part, _, best, drop in zip(*[batch.column(c).to_pylist() for c in names]):
+                    row = (k, host, path, lines)
+                    if last is None:
+                        beyond = [t for t in (tips if back else reversed(tips)) if (t[0] > part if back else t[0] < part)]
+                        held = next((t for t in beyond if t[1:3] != row[1:3]), None)
+                    elif last[1:3] != row[1:3]:
+                        held = last
+                    last = row
+                    found = nearest(row, held, (best, drop))
+                    for c, v in zip(out, found):
+                        c.append(v)
+                made = [pa.array(out[0], pa.int32()), pa.array(out[1], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names[:6]], *made], names=list(names))
+
+        return run
+
+    schema = "k binary, host string, path string, lines array<bigint>, part int, place bigint, best int, shared array<int>"
+    start = fixed.select("k", "host", "path", "lines", "part", "place", F.lit(-1).alias("best"), F.expr("cast(array() as array<int>)").alias("shared"))
+    ahead = start.mapInArrow(scan(False), schema).sortWithinPartitions(F.desc("place"))
+    return ahead.mapInArrow(scan(True), schema).select("k", "shared")
 
 
 def row_key(pages: DataFrame, id_: str, url: str, html: str):
@@ -292,7 +297,7 @@ def row_key(pages: DataFrame, id_: str, url: str, html: str):
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Main text of each page.
 
-    Each page is cut into text blocks. Pages of a host are paired by nearest URL path, their lines aligned by longest
+    Each page is cut into text blocks. Pages of a host are paired by nearest URL path and query, their lines aligned by longest
     common subsequence, and shared lines deleted. Two rules go before that verdict, because alignment alone is wrong
     there: lines of a marked article stay although a copy of the article stands under a neighbouring address, and lines
     in menus, adverts, forms and the like go although they differ from page to page.

@@ -94,3 +94,18 @@ def test_an_article_resets_the_mark_of_its_container():
 def test_a_marked_teaser_does_not_stand_for_the_page(spark):
     rows = [(i, f"http://h.org/n/{i}", page(i, f"<p>story {i}</p><article>card</article><p>more of {i}</p><nav>menu {i}</nav>")) for i in range(12)]
     assert all(t == f"story {i}\ncard\nmore of {i}" for i, t in whole(spark, rows).items())
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_pages_of_one_path_find_a_partner(spark, parts):
+    if parts > 1:  # runs of one address that fill tasks
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = [(i, f"http://q.org/view.php?id={i}", page(i, f"<p>story {i}</p>")) for i in range(9)]
+        rows += [(100 + i, "http://r.org/a", page(i, f"<p>capture {i}</p>")) for i in range(30)]
+        rows += [(200, "http://r.org/b", page(0, "<p>next</p>")), (300, "http://s.org/only", "<p>x</p>"), (301, "http://s.org/only#top", "<p>x</p>")]
+        got = whole(spark, rows)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert all(got[i] == f"story {i}" for i in range(9)) and all(got[100 + i] == f"capture {i}" for i in range(30))
+    assert got[200] == "next" and got[300] == got[301] == "x"
