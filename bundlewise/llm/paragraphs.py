@@ -14,7 +14,7 @@ from bundlewise.llm.common import frozen, map_arrow, table
 from bundlewise.llm.shingles import key_of, mix, shingle_sets, words_of
 
 SIZE, PERCENT = 5, 80
-#: Shorter paragraphs (headings, greetings, separators) are left alone.
+#: Shorter lines are compared, with `blocks`, in blocks of consecutive ones that reach it together.
 MIN_WORDS = 20
 #: Share of pairs at the threshold that the bands must bring together.
 RECALL, ROWS = 0.9995, 2
@@ -53,15 +53,51 @@ def paragraphs_of(raw: bytes | None, min_words: int) -> list[tuple[int, list[byt
     return out
 
 
+def short_blocks(raw: bytes | None, min_words: int) -> list[tuple[list[int], list[bytes]]]:
+    """(line numbers, words) of the least blocks of consecutive short lines with enough words that begin or end at a line.
+
+    Blank lines do not part a block, a line of enough words does. Blocks overlap, so a passage is found wherever the short
+    lines before it begin, and each of its lines lies in a block of the passage's own.
+    """
+    out: dict[tuple[int, int], tuple[list[int], list[bytes]]] = {}
+    run: list[tuple[int, list[bytes]]] = []
+
+    def close():
+        total = [0]
+        for _, w in run:
+            total.append(total[-1] + len(w))
+        at = 0
+        for end in range(1, len(run) + 1):
+            while total[end] - total[at] >= min_words:  # the shortest that begins at `at`
+                out[at, end] = ()
+                at += 1
+            if at and total[end] - total[at - 1] >= min_words:  # the shortest that ends here
+                out[at - 1, end] = ()
+        for a, b in out:
+            made.append(([pos for pos, _ in run[a:b]], [x for _, w in run[a:b] for x in w]))
+        out.clear()
+        run.clear()
+
+    made: list[tuple[list[int], list[bytes]]] = []
+    for pos, line in enumerate((raw or b"").split(b"\n")):
+        w = words_of(line)
+        if len(w) >= min_words:
+            close()
+        elif w:
+            run.append((pos, w))
+    close()
+    return made
+
+
 def doc_key(doc_id: Column, text: Column) -> Column:
     """128-bit identity of a row: rows with equal id and text are one document."""
     return F.unhex(F.md5(F.concat_ws("\x01", F.coalesce(doc_id.cast("string"), F.lit("")), F.coalesce(text, F.lit("")))))
 
 
-def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, size: int = SIZE, percent: int = PERCENT, recall: float = RECALL) -> DataFrame:
-    """(dk, pos, cluster, keeper, keep): each paragraph that repeats, its cluster, and whether it is the one that stays.
+def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, size: int = SIZE, percent: int = PERCENT, recall: float = RECALL, blocks: bool = False) -> DataFrame:
+    """(dk, pos, keeper, keep): each line that repeats, the document that keeps it, and whether it stays here.
 
-    A paragraph is a line of at least `min_words` words. Equal word sequences form classes; classes whose MinHash
+    A paragraph is a line of at least `min_words` words; with `blocks`, shorter lines are compared too (see `repeated_blocks`). Equal word sequences form classes; classes whose MinHash
     signatures collide in a band are joined, verified by exact Jaccard similarity of word shingles and clustered by
     components. The first paragraph of a cluster, by document id, then place, is the keeper (null ids come last).
     """
@@ -70,15 +106,17 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
 
     def split(batches):
         for batch in batches:
-            cols: list[list] = [[], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], []]
             for d, k, t in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "dk", "t")]):
-                for pos, w in paragraphs_of(t, min_words):
-                    for c, v in zip(cols, (d, k, pos, *key_of(w))):
+                found = [(pos, None, w) for pos, w in paragraphs_of(t, min_words)] + [(at[0], at, w) for at, w in (short_blocks(t, min_words) if blocks else ())]
+                for pos, at, w in found:
+                    for c, v in zip(cols, (d, k, pos, *key_of(w), at)):
                         c.append(v)
-            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "dk", "pos", "k1", "k2"])
+            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "dk", "pos", "k1", "k2", "at"])
 
-    lines = frozen(given.mapInArrow(split, "doc_id bigint, dk binary, pos int, k1 bigint, k2 bigint"))
+    every = frozen(given.mapInArrow(split, "doc_id bigint, dk binary, pos int, k1 bigint, k2 bigint, at array<int>"))
+    lines, short = every.where("at is null").drop("at"), every.where("at is not null")
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "dk", "pos")
     classes = frozen(lines.groupBy("k1", "k2").agg(F.min(place).alias("lead"), F.count("*").alias("weight")).withColumn("id", F.monotonically_increasing_id()))
 
@@ -119,23 +157,41 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
     repeated = member.select("k1", "k2", "cluster").join(several, "cluster")
     out = lines.join(repeated, ["k1", "k2"])
     stays = (F.col("dk") == F.col("keeper.dk")) & (F.col("pos") == F.col("keeper.pos"))
-    return out.select("dk", "pos", "cluster", F.col("keeper.doc_id").alias("keeper"), stays.alias("keep"))
+    out = out.select("dk", "pos", F.col("keeper.doc_id").alias("keeper"), stays.alias("keep"))
+    return out.unionByName(repeated_blocks(short)) if blocks else out
+
+
+def repeated_blocks(short: DataFrame) -> DataFrame:
+    """(dk, pos, keeper, keep): the lines of each block of short lines whose words stand elsewhere too.
+
+    Blocks overlap, so only equal ones are repeats: neighbours would be near copies of each other. The first of equal
+    blocks keeps its lines against the others, also where one of these overlaps it.
+    """
+    place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "dk", "pos", "at")
+    several = short.groupBy("k1", "k2").agg(F.min(place).alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
+    out = short.join(several, ["k1", "k2"])
+    own = F.col("dk") == F.col("keeper.dk")
+    first = own & (F.col("pos") == F.col("keeper.pos"))
+    lost = F.when(own & ~first, F.array_except("at", "keeper.at")).otherwise(F.col("at"))
+    return out.select("dk", F.explode(lost).alias("pos"), F.col("keeper.doc_id").alias("keeper"), first.alias("keep"))
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, **options) -> DataFrame:
     """Every row of `docs` with its repeated paragraphs removed but for the first of each cluster.
 
     Result: `row` (the input row, or its columns in `keep`), `text` without the removed lines, `removed` (line numbers),
-    `sources` (ids of the documents that keep them), `n_paragraphs` (lines that were compared), `n_repeated` (of those, lines that stand
+    `sources` (ids of the documents that keep them), `n_paragraphs` (lines that were compared, by themselves or in blocks), `n_repeated` (of those, lines that stand
     elsewhere too, kept or not).
 
     Null texts stay null; empty texts and lines stay as they are. Rows with equal id and text are one document and lose the
     same lines, so repeated rows do not empty each other. A null id is a document like any, kept last. An empty table
     gives an empty result. Very long texts are split within their row.
     """
-    min_words = options.get("min_words", MIN_WORDS)
+    min_words, blocks = options.get("min_words", MIN_WORDS), options.get("blocks", False)
     found = find_repeats(docs, doc_id, text, **options)
-    by_doc = found.dropDuplicates(["dk", "pos"]).groupBy("dk").agg(
+    # a short line lies in several blocks, and goes if it goes with one of them
+    by_line = found.groupBy("dk", "pos").agg(F.min("keep").alias("keep"), F.min(F.when(~F.col("keep"), F.col("keeper"))).alias("keeper"))
+    by_doc = by_line.groupBy("dk").agg(
         F.sort_array(F.collect_list(F.when(~F.col("keep"), F.col("pos")))).alias("gone"),
         F.sort_array(F.collect_set(F.when(~F.col("keep"), F.col("keeper")))).alias("from"), F.count("*").alias("n"),
     )
@@ -146,7 +202,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         def step(texts, gone):
             out, counts = [], []
             for t, g in zip(texts.to_pylist(), gone.to_pylist()):
-                counts.append(len(paragraphs_of(t.encode(), min_words)) if t else 0)
+                raw = (t or "").encode()
+                counts.append(len(paragraphs_of(raw, min_words)) + len({pos for at, _ in (short_blocks(raw, min_words) if blocks else ()) for pos in at}))
                 if g:
                     drop = set(g)
                     t = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in drop)
@@ -164,5 +221,5 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    done = remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"], blocks=True)
     return done.select("row.doc_id", "n_paragraphs", "n_repeated", F.size("removed").cast("bigint").alias("n_removed"), "removed", "sources", "text")

@@ -142,6 +142,33 @@ def test_repeats_of_odd_rows(spark):
     assert paragraphs.remove_repeats(docs(spark, [])).count() == 0
 
 
+def test_hard_wrapped_passages_are_repeats(spark):
+    new = iter(range(10**6))
+    own = lambda *sizes: [" ".join(f"u{next(new)}" for _ in range(n)) for n in sizes]
+    passage = own(12, 10, 14, 3, 11, 13)
+    first, second, third = [*own(7), *passage, *own(9)], [*own(8, 12, 25), *passage[:3], "", *passage[3:], *own(30)], [*own(15, 11, 5), *passage]
+    loop = [*["again and again"] * 12, *own(22)]
+    texts = ["\n".join(x) for x in (first, second, third, own(4, 3, 30), own(4, 3, 30), loop, own(10, 12))]
+    got = {r["row"]["doc_id"]: r for r in paragraphs.remove_repeats(docs(spark, texts).repartition(3), blocks=True).collect()}
+    assert [got[i]["removed"] for i in range(7)] == [[], [3, 4, 5, 7, 8, 9], [3, 4, 5, 6, 7, 8], [], [], list(range(7, 12)), []]
+    assert got[1]["sources"] == [0] and got[0]["n_paragraphs"] == 8 and got[0]["n_repeated"] == 6 and got[6]["n_paragraphs"] == 2
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_blocks_are_the_least_that_begin_or_end_at_a_line(seed):
+    rng = random.Random(seed)
+    sizes = [rng.choice([0, 1, 3, 7, 12, 19, 25]) for _ in range(rng.randint(0, 14))]
+    raw = "\n".join(" ".join("w" * n) for n in sizes).encode()
+    want = set()
+    for i in range(len(sizes)):
+        for j in range(i, len(sizes)):
+            block = [n for n in sizes[i : j + 1] if n]
+            if 0 < sizes[i] < 20 and 0 < sizes[j] < 20 and max(block) < 20 and sum(block) >= 20:
+                if sum(block) - sizes[i] < 20 or sum(block) - sizes[j] < 20:
+                    want.add(tuple(k for k in range(i, j + 1) if sizes[k]))
+    assert {tuple(at) for at, _ in paragraphs.short_blocks(raw, 20)} == want
+
+
 def test_bands_reach_their_recall():
     b = paragraphs.bands_for(0.9995, 2, 80)
     assert 1 - (1 - 0.8**2) ** b >= 0.9995
