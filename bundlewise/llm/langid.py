@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,15 +36,10 @@ def letters(text: str) -> list[str]:
     if not text.isascii():
         text = unicodedata.normalize("NFC", text)
     found = _RUN.findall(text.lower())
-    if text.isascii():
+    if text.isascii() or "".join(found).isalpha():
         return found
-    out: list[str] = []
-    for w in found:
-        if w.isalpha():
-            out.append(w)
-        else:  # number signs such as ² or Ⅷ are word characters but no letters
-            out += "".join(c if c.isalpha() else " " for c in w).split()
-    return out
+    # number signs such as ² or Ⅷ are word characters but no letters
+    return [part for w in found for part in "".join(c if c.isalpha() else " " for c in w).split()]
 
 
 def grams(word: str, size: int) -> list[str]:
@@ -56,57 +52,53 @@ def grams(word: str, size: int) -> list[str]:
 
 @dataclass
 class Model:
-    """Log frequencies: a row of `word_table` / `gram_table` for each known word or n-gram, a column for each language."""
+    """Log frequencies: `table` has a column for each language and a row for each known word and n-gram."""
 
     languages: list[str]
     words: dict[str, int]
-    word_table: np.ndarray
     grams: dict[str, int]
-    gram_table: np.ndarray
+    table: np.ndarray
     usual: int  # the language with the most words
 
-    def word_scores(self, word: str) -> np.ndarray | None:
-        """Log frequencies of a word in each language, or of the longest n-grams of it that are known."""
-        at = self.words.get(word)
-        if at is not None:
-            return self.word_table[at]
+    def pieces(self, word: str) -> list[int]:
+        """Rows of the longest n-grams of an unseen word that are known."""
         for size in SIZES:
             known = [i for i in map(self.grams.get, grams(word, size)) if i is not None]
             if known:
-                return self.gram_table[known].mean(axis=0)
-        return None
+                return known
+        return []
 
-    def predict(self, text: str | None, unseen: dict[str, np.ndarray | None]) -> tuple[str, float]:
-        """(language, score). Evidence grows with the root of the words counted: neighbouring words depend on one another."""
+    def predict(self, text: str | None, unseen: dict[str, list[int]]) -> tuple[str, float]:
+        """(language, score). A word counts with its log frequency, an unseen one with the mean of its n-grams.
+
+        Evidence grows with the root of the words counted: neighbouring words depend on one another. `unseen` keeps the
+        rows of unseen words for the texts to come.
+        """
         found = letters(text or "")
         if not found or not self.languages:
             return UNKNOWN, 0.0
-        known: dict[int, int] = {}
-        other: dict[str, int] = {}
-        get = self.words.get
-        for w in found:
-            at = get(w)
-            if at is None:
-                other[w] = other.get(w, 0) + 1
+        rows: list[int] = []
+        weights: list[float] = []
+        n = 0
+        for w, times in Counter(found).items():
+            at = self.words.get(w)
+            if at is not None:
+                rows.append(at)
+                weights.append(times)
             else:
-                known[at] = known.get(at, 0) + 1
-        total, n = np.zeros(len(self.languages)), 0
-        if known:
-            times = np.fromiter(known.values(), float)
-            total += times @ self.word_table[np.fromiter(known, np.int64)]
-            n += int(times.sum())
-        for w, times in other.items():
-            if w not in unseen:
-                if len(unseen) > FLUSH:
-                    unseen.clear()
-                unseen[w] = self.word_scores(w)
-            scores = unseen[w]
-            if scores is not None:
-                total += times * scores
-                n += times
+                own = unseen.get(w)
+                if own is None:
+                    if len(unseen) >= FLUSH:
+                        unseen.clear()
+                    own = unseen[w] = self.pieces(w)
+                if not own:
+                    continue
+                rows += own
+                weights += [times / len(own)] * len(own)
+            n += times
         if not n:
             return self.languages[self.usual], 1.0 / len(self.languages)
-        z = total / np.sqrt(n)
+        z = (np.array(weights) @ self.table[rows]) / np.sqrt(n)
         p = np.exp(z - z.max())
         best = int(np.argmax(z))
         return self.languages[best], float(p[best] / p.sum())
@@ -116,7 +108,7 @@ def word_counts(docs: DataFrame, lang: str, text: str, learn: Column) -> DataFra
     """(word, lang, n) over whole texts; counted in each task first, so a frequent word is one row of it."""
 
     def count(batches):
-        held: dict[str, dict[str, int]] = {}
+        held: dict[str, Counter] = {}
         size = 0
 
         def out():
@@ -126,10 +118,9 @@ def word_counts(docs: DataFrame, lang: str, text: str, learn: Column) -> DataFra
 
         for batch in batches:
             for k, t in zip(batch.column("k").to_pylist(), batch.column("t").to_pylist()):
-                own = held.setdefault(k, {})
+                own = held.setdefault(k, Counter())
                 before = len(own)
-                for w in letters(t):
-                    own[w] = own.get(w, 0) + 1
+                own.update(letters(t))
                 size += len(own) - before
                 if size > FLUSH:
                     yield out()
@@ -157,21 +148,33 @@ def _gram_counts(counted: DataFrame) -> DataFrame:
     return counted.mapInArrow(cut, "gram string, lang string, n bigint").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
 
 
-def _log_table(counted: DataFrame, key: str, languages: list[str], limit: int, groups: Column) -> tuple[dict[str, int], np.ndarray]:
-    """The most frequent keys and the log of their smoothed share of all that a language holds in the same group."""
+def _log_table(counted: DataFrame, key: str, languages: list[str], limit: int, groups: Column) -> tuple[list[str], np.ndarray]:
+    """The most frequent keys and the log of their smoothed share of all that a language holds in the same group.
+
+    Keys are cut at a frequency: steps of a percent are counted, and the lowest step that does not fit into `limit` whole
+    is left out with all below it. So no more than `limit` keys are sent, and none is chosen among equals.
+    """
     limit = max(1, min(limit, MAX_CELLS // max(len(languages), 1)))
-    kept = counted.groupBy(key).agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"), F.first(groups).alias("g"))
-    rows = kept.where(F.col("n") >= MIN_COUNT).orderBy(F.desc("n"), key).limit(limit).collect()
+    step = F.floor(F.log("n") * 100).cast("bigint")
+    whole = counted.groupBy(key).agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"), F.first(groups).alias("g"))
+    whole = whole.where(F.col("n") >= MIN_COUNT).withColumn("step", step)
+    bar, room = 0, limit
+    for r in whole.groupBy("step").agg(F.count("*").alias("keys")).orderBy(F.desc("step")).collect():
+        if r["keys"] > room:
+            bar = r["step"] + 1
+            break
+        room -= r["keys"]
+    by = F.array(*[F.coalesce(F.try_element_at("by", F.lit(k)), F.lit(0)) for k in languages]) if languages else F.expr("cast(array() as array<bigint>)")
+    rows = whole.where(F.col("step") >= bar).select(F.col(key).alias("key"), "g", by.alias("own")).toArrow().sort_by("key")
     totals = {(r["g"], r["lang"]): r["n"] for r in counted.groupBy(groups.alias("g"), "lang").agg(F.sum("n").alias("n")).collect()}
-    kinds = {r["g"] for r in rows}
-    sizes = {g: sum(r["g"] == g for r in rows) for g in kinds}
-    base = {g: np.array([totals.get((g, k), 0) for k in languages], float) for g in kinds}
-    table_ = np.zeros((len(rows), len(languages)), np.float32)
-    for i, r in enumerate(rows):
-        own = np.array([r["by"].get(k, 0) for k in languages], float)
+    keys, group = rows.column("key").to_pylist(), rows.column("g").to_numpy()
+    own = rows.column("own").combine_chunks().flatten().to_numpy().reshape(len(keys), len(languages)).astype(float) if keys else np.zeros((0, len(languages)))
+    for g in set(group.tolist()):
+        inside = group == g
         # half an occurrence for each key and language: a word that one language lacks is not impossible there
-        table_[i] = np.log((own + 0.5) / (base[r["g"]] + 0.5 * (sizes[r["g"]] + 1)))
-    return {r[key]: i for i, r in enumerate(rows)}, table_
+        base = np.array([totals.get((g, k), 0) for k in languages]) + 0.5 * (inside.sum() + 1)
+        own[inside] = np.log((own[inside] + 0.5) / base)
+    return keys, own.astype(np.float32)
 
 
 def learn(
@@ -180,20 +183,24 @@ def learn(
     """Count the words and n-grams of all eligible whole texts and keep the most frequent ones.
 
     `eligible` is a condition on `docs`; null: not learned from. Null languages and texts are no examples. Counts cover all
-    texts; only the model (at most `max_words` and `max_grams` rows, the most frequent, ties by their spelling) reaches the
-    driver. Without examples the model has no language.
+    texts; only the model (at most `max_words` and `max_grams` rows, the most frequent) reaches the driver. Without examples
+    the model has no language.
     """
     counted = word_counts(docs, lang, text, F.lit(True) if eligible is None else eligible).persist()
+    short = counted.where(F.length("word") <= MAX_LETTERS)
+    pieces = _gram_counts(short).persist()
     try:
         per = counted.groupBy("lang").agg(F.sum("n").alias("n")).orderBy("lang").collect()
         languages = [r["lang"] for r in per]
-        short = counted.where(F.length("word") <= MAX_LETTERS)
         words, word_table = _log_table(short, "word", languages, max_words, F.lit(0))
-        pieces = _gram_counts(short)
         known, gram_table = _log_table(pieces, "gram", languages, max_grams, F.length("gram"))
     finally:
+        pieces.unpersist()
         counted.unpersist()
-    return Model(languages, words, word_table, known, gram_table, int(np.argmax([r["n"] for r in per])) if per else 0)
+    return Model(
+        languages, {w: i for i, w in enumerate(words)}, {g: len(words) + i for i, g in enumerate(known)},
+        np.vstack([word_table, gram_table]), int(np.argmax([r["n"] for r in per])) if per else 0,
+    )
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -88,8 +88,8 @@ def test_unseen_words_back_off_to_shorter_grams(spark):
     model = langid.learn(corpus(spark))
     word = "koraminvenna"  # no such word, but its longest n-grams
     assert word not in model.words and any(g in model.grams for g in langid.grams(word, 5))
-    assert not any(g in model.grams for g in langid.grams("zkoz", 4)) and model.word_scores("zkoz") is not None
-    assert model.word_scores("中") is None
+    assert not any(g in model.grams for g in langid.grams("zkoz", 4)) and model.pieces("zkoz")
+    assert model.pieces("中") == []
     assert model.predict(word, {})[0] == "aa"
 
 
@@ -122,14 +122,16 @@ def test_held_out_rows_teach_nothing(spark):
     held = df.where(langid.fold_of(F.col("doc_id")) == 2)
     poisoned = df.where(langid.fold_of(F.col("doc_id")) != 2).union(held.withColumn("lang", F.lit("zz")).withColumn("text", F.lit("poison")))
     again = langid.learn(poisoned, eligible=langid.fold_of(F.col("doc_id")) != 2)
-    assert known.languages == again.languages and known.words == again.words and np.array_equal(known.word_table, again.word_table)
+    assert known.languages == again.languages and known.words == again.words and np.array_equal(known.table, again.table)
     got = langid.identify(held, known).select("row.lang", "lang_pred").collect()
     assert len(got) > 60 and sum(r["lang"] == r["lang_pred"] for r in got) == len(got)
 
 
 def test_model_size_is_bounded(spark):
+    whole = langid.learn(corpus(spark))
     model = langid.learn(corpus(spark), max_words=7, max_grams=9)
-    assert len(model.words) == 7 and len(model.grams) == 9 and model.word_table.shape == (7, 3)
+    assert 0 < len(model.words) <= 7 and 0 < len(model.grams) <= 9 and len(model.table) == len(model.words) + len(model.grams)
+    assert set(model.words) < set(whole.words)
 
 
 def test_query_on_held_out_rows(spark):
