@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bundlewise import schemas
 from bundlewise.functions.responses import (
     CATEGORIES,
     CONFIDENCES,
@@ -27,12 +28,13 @@ from bundlewise.operators.bundles import assign_bundles, bundle_heads
 from bundlewise.operators.hooks import embed_texts, missing_texts
 from bundlewise.operators.prompts import render_prompts
 from bundlewise.plans import fixtures as X
-from bundlewise.plans.triage import analyzed_bundles, default_prompts, run_batch, stub_analyzer
+from bundlewise.plans.triage import analyzed_bundles, default_prompts, run_batch, run_job, stub_analyzer
 from bundlewise.sources import logs as L
 from bundlewise.sources import stores as S
+from bundlewise.sources.commits import CommittedTables
 from bundlewise.streaming.aggregates import counter_stream, session_stream, spend_stream
-from bundlewise.streaming.bundler import bundle_stream
 from bundlewise.streaming.ingest import accepted, decoded_stream
+from bundlewise.streaming.micro import EVENT, PROCESSING, StreamBundler, TriageStream, run_available
 from bundlewise.streaming.run import DRAIN_KEY, run_and_drain, run_folder, run_to_end
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -430,12 +432,60 @@ def _drained(spark: SparkSession, sf: str, stream: DataFrame, build, margin_us:
     return out.where(F.col(key) != DRAIN_KEY) if key in out.columns else out
 
 
+STREAM_BUNDLE = ["trace_id", "first_us", "last_us", "first_seq", "last_seq", "n_logs", "reason"]
+
+
+def _bundled(spark: SparkSession, sf: str, mode: str) -> DataFrame:
+    folder = run_folder(spark, "bundles")
+    target = StreamBundler(spark, f"{folder}/tables", mode=mode, idle_seconds=IDLE_SECONDS, batch_max=BATCH_MAX, clock=lambda: 0.0)
+    run_available(decoded_stream(X.messages_of(X.table_stream(spark, sf, "events"))), target, f"{folder}/checkpoint")
+    return target.bundles().select(*STREAM_BUNDLE, F.md5("log_text").alias("text_hash"))
+
+
 def stream_bundles(spark: SparkSession, sf: str) -> DataFrame:
-    build = lambda logs: bundle_stream(logs, IDLE_SECONDS, BATCH_MAX)
-    out = _drained(spark, sf, _stream_logs(spark, sf), build, 4 * IDLE_SECONDS * 1_000_000, "trace_id")
-    return out.select(
-        "trace_id", "first_us", "last_us", "first_seq", "last_seq", "n_logs", "reason", F.md5("log_text").alias("text_hash")
-    )
+    return _bundled(spark, sf, EVENT)
+
+
+def stream_bundles_arrival(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows in the order of arrival (one micro-batch, so the offset), under a clock that stands still: count, then drain."""
+    return _bundled(spark, sf, PROCESSING)
+
+
+def _fixed_time() -> Column:
+    return F.lit("2026-05-06 10:00:00").cast("timestamp")
+
+
+def stream_triage(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages to the batch job's tables in one streaming job; the newest analysis of each trace and its raw log rows."""
+    folder = run_folder(spark, "stream-triage")
+    target = TriageStream(
+        spark, f"{folder}/tables", default_prompts(spark), stub_analyzer,
+        created_at=_fixed_time(), idle_seconds=IDLE_SECONDS, batch_max=BATCH_MAX,
+    )
+    run_available(decoded_stream(X.messages_of(X.table_stream(spark, sf, "events"))), target, f"{folder}/checkpoint")
+    stored = target.analyses().groupBy("trace_id").agg(
+        F.count("*").alias("n_analyses"), F.sum(F.regexp_extract("root_cause", "^([0-9]+) of", 1).cast("bigint")).alias("n_errors"),
+    )
+    raw = target.raw_logs().groupBy("trace_id").agg(F.count("*").alias("n_raw"))
+    newest = S.latest_analysis(target.analyses()).select("trace_id", "model", "prompt_version", iso_utc(F.col("created_at")).alias("created_at"))
+    return stored.join(raw, "trace_id").join(newest, "trace_id")
+
+
+def stream_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """What the streaming job refused, read from its committed table."""
+    folder = run_folder(spark, "stream-rejects")
+    target = StreamBundler(spark, f"{folder}/tables", idle_seconds=IDLE_SECONDS, batch_max=BATCH_MAX)
+    run_available(decoded_stream(X.messages_of(X.table_stream(spark, sf, "events"))), target, f"{folder}/checkpoint", drain=False)
+    return target.rejected().groupBy("reject_reason", "partition").agg(F.count("*").alias("n"), F.sum("offset").alias("offsets"))
+
+
+def job_spend(spark: SparkSession, sf: str) -> DataFrame:
+    """Spend of the batch job's own calls, from the tokens it stored; the job runs twice and counts once."""
+    tables = CommittedTables(spark, run_folder(spark, "job"))
+    for _ in range(2):
+        run_job(X.logs(spark, sf), default_prompts(spark), stub_analyzer, tables, "all", created_at=_fixed_time())
+    spend = G.daily_spend(tables.read("calls", schemas.CALL))
+    return spend.select("day", _e8("spent").alias("spent_e8"), "n_calls")
 
 
 def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
@@ -466,6 +516,7 @@ def queries() -> dict[str, Query]:
         safe_offsets, safe_offsets_for_trace, triage_counters, latency_histogram, latency_summary, cosine_pairs,
         embed_missing, primary_run, score_keywords, score_embedding, case_scores, run_agreement, eval_report,
         compare_versions, stream_ingest, stream_bundles, stream_sessions, stream_daily_spend, stream_counters,
+        stream_bundles_arrival, stream_triage, stream_rejects, job_spend,
     ]
     out: dict[str, Query] = {f.__name__: f for f in fns}
     out["assign_bundles"] = assign_bundles_query

@@ -152,6 +152,10 @@ ENRICHED = f"""enriched as (
   select doc_id, version, {NO_FIELDS} from answers where kind=0 or bad)"""
 
 
+# what the default prompt v3 puts around the text of a bundle, for a window of 60 s
+JOB_PROMPT = "Window 60s:\n\nKeys: category, root_cause, evidence"
+
+
 def oracle_sql() -> dict[str, str]:
     day = "strftime(ts,'%Y-%m-%d')"
     return {
@@ -300,6 +304,20 @@ def oracle_sql() -> dict[str, str]:
             select trace_id, min(us) as first_us, max(us) as last_us, arg_min(seq, (us, seq)) as first_seq, arg_max(seq, (us, seq)) as last_seq,
               count(*) as n_logs, case when count(*)>=2 then 'batch_full' else 'idle' end as reason,
               md5(string_agg({LINE}, chr(10) order by us, seq)) as text_hash from placed group by trace_id, session, bundle""",
+        "stream_bundles_arrival": f"""with {LOGS}, {STREAMED},
+            placed as (select *, (row_number() over (partition by trace_id order by seq)-1)//2 as bundle from streamed)
+            select trace_id, min(us) as first_us, max(us) as last_us, min(seq) as first_seq, max(seq) as last_seq,
+              count(*) as n_logs, case when count(*)>=2 then 'batch_full' else 'idle' end as reason,
+              md5(string_agg({LINE}, chr(10) order by seq)) as text_hash from placed group by trace_id, bundle""",
+        "stream_triage": f"""with {LOGS}, {STREAMED}, {BUNDLES.format(src='streamed')},
+            b as (select trace_id, count(*) as n, count(*) filter (where level='ERROR') as n_err from placed group by trace_id, session, bundle)
+            select trace_id, count(*) as n_analyses, cast(sum(n_err) as bigint) as n_errors, cast(sum(n) as bigint) as n_raw, 'stub' as model,
+              'v3' as prompt_version, '2026-05-06T10:00:00.000000Z' as created_at from b group by 1""",
+        "stream_rejects": f"""with {LOGS}, r as (select cast(user_id%8 as int) as partition, seq, case when {BROKEN} then 'not a json object'
+            when trace_id is null then 'missing trace_id' when ts_text='not-a-time' then 'unreadable timestamp' end as reject_reason from logs)
+            select reject_reason, partition, count(*) as n, cast(sum(seq) as bigint) as offsets from r where reject_reason is not null group by 1,2""",
+        "job_spend": f"""with {LOGS}, {TEXTS}, c as (select length(log_text)+{len(JOB_PROMPT)} as pt, n_err as ct from texts)
+            select '2026-05-06' as day, cast(sum(pt*250+ct*1000) as bigint) as spent_e8, count(*) as n_calls from c""",
         "stream_sessions": f"""with {LOGS}, {STREAMED}, {BUNDLES.format(src='streamed')}
             select trace_id, min(us) as first_us, max(us) as last_us, count(*) as n_logs from placed group by trace_id, session""",
         "stream_daily_spend": f"with {CALLS} select day, cast(sum(cost_e8) as bigint) as spent_e8, count(*) as n_calls from costed group by 1",

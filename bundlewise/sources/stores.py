@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bundlewise import schemas
-from bundlewise.functions.timestamps import iso_utc, month_key
+from bundlewise.functions.responses import evidence_json
+from bundlewise.functions.timestamps import iso_utc, month_key, utc_day
+from bundlewise.sources.files import folders, remove
 
 
 def _by_partition(rows: DataFrame, column: str) -> DataFrame:
@@ -27,6 +29,50 @@ def read_raw_logs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.RAW_LOG).option("basePath", path).parquet(path)
 
 
+def stored_answer(answered: DataFrame, run: str, key: str) -> DataFrame:
+    """Answered bundles with their typed fields and `created_at` as rows of the analyses table.
+
+    The run is part of the ids, so that an analysis repeated later is another row. `uid` has 128 bits; `id`, 64 bits of the
+    same key, is what readers of one trace see, and `uid` settles rows in which it is equal by chance.
+    """
+    ident = [F.lit(run), F.col("trace_id"), F.col(key)]
+    return answered.select(
+        F.xxhash64(*ident).alias("id"),
+        "trace_id",
+        F.lit(0).alias("part"),
+        "log_text",
+        F.col("raw_text").alias("analysis"),
+        "model",
+        "prompt_version",
+        "category",
+        "root_cause",
+        "next_step",
+        evidence_json(F.col("evidence")).alias("evidence"),
+        "confidence",
+        "created_at",
+        F.md5(F.to_json(F.struct(*[x.alias(f"k{i}") for i, x in enumerate(ident)]))).alias("uid"),
+    )
+
+
+def call_rows(answered: DataFrame, key: str) -> DataFrame:
+    """The analyzer's calls with the tokens they used, as `daily_spend` and the latency statistics read them."""
+    return answered.select(
+        F.col(key).cast("string").alias("call_id"),
+        "trace_id",
+        F.col("created_at").alias("ts"),
+        F.unix_micros("created_at").alias("us"),
+        "model",
+        "prompt_version",
+        "prompt_tokens",
+        "completion_tokens",
+        "latency_s",
+        "attempts",
+        F.when(F.col("error").isNull(), "ok").otherwise("error").alias("status"),
+        "error",
+        utc_day(F.col("created_at")).alias("day"),
+    )
+
+
 def analysis_rows(analyses: DataFrame, created_at: str = "created_at") -> DataFrame:
     """Adds the month the table is partitioned by."""
     return analyses.withColumn("created_month", month_key(F.col(created_at)))
@@ -63,13 +109,34 @@ def drop_old_months(spark: SparkSession, table: str, month: str) -> list[str]:
     return old
 
 
+def drop_old_months_of_path(spark: SparkSession, path: str, month: str) -> list[str]:
+    """Delete the folders of all months before `month` of a path table (also within the runs of committed tables).
+
+    No row is read and no other month is touched. Returns the deleted months.
+    """
+    gone: set[str] = set()
+    places = [path] + [f"{path}/{r}/{a}" for r in folders(spark, path) if r.startswith("run=") for a in folders(spark, f"{path}/{r}")]
+    for place in places:
+        for name in folders(spark, place):
+            column, _, value = name.partition("=")
+            if column == "created_month" and value < month and remove(spark, f"{place}/{name}"):
+                gone.add(value)
+    return sorted(gone)
+
+
+def replace_months(rows: DataFrame, path: str) -> None:
+    """Rewrite the months that occur in `rows` and leave all others as they are, e.g. after removing repeats."""
+    laid = _by_partition(analysis_rows(rows.drop("created_month")), "created_month")
+    laid.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("created_month").parquet(path)
+
+
 def latest_analysis(analyses: DataFrame) -> DataFrame:
-    """Newest analysis per trace; equal times are settled by the higher id.
+    """Newest analysis per trace; equal times are settled by the higher id, equal ids by the wider `uid` where there is one.
 
     Only (trace, time, id) is aggregated, combined before the shuffle, so a trace analysed very often does not pile up
     anywhere; the wide rows are then looked up. A row stored twice under one id counts once.
     """
-    stamp = F.struct("created_at", "id")
+    stamp = F.struct("created_at", "id", *[c for c in ("uid",) if c in analyses.columns])
     newest = analyses.groupBy(F.struct("trace_id").alias("_k")).agg(F.max(stamp).alias("_at"))
     keyed = analyses.withColumn("_k", F.struct("trace_id")).withColumn("_at", stamp)
     return keyed.join(newest, ["_k", "_at"], "left_semi").dropDuplicates(["_k", "_at"]).drop("_k", "_at")
