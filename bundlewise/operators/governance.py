@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bundlewise.functions.rounding import round_exact
 from bundlewise.functions.timestamps import utc_day
+from bundlewise.operators.admission import rate_limit_admission as rate_limit_admission
 from bundlewise.operators.ordered import Cells, run_positions, running_sums
 
 # fixed values: USD per 1,000 prompt / completion tokens, and the price of any other model
@@ -122,87 +120,6 @@ def trailing_hits(hits: DataFrame, key: str, window_us: int, cells: Cells | None
     return out
 
 
-def _walk(limit: int, window_us: int, inclusive: bool):
-    """Greedy admission over rows sorted by (key, segment, time); memory is the last `limit` admitted times."""
-    side = "left" if inclusive else "right"
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current: tuple | None = None
-        held: deque[int] = deque()
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            at = pdf["at"].to_numpy()
-            allowed = np.zeros(len(at), dtype=bool)
-            oldest = np.full(len(at), -1, dtype="int64")
-            change = (pdf["key"] != pdf["key"].shift()) | (pdf["run_id"] != pdf["run_id"].shift())
-            edges = [*np.flatnonzero(change.to_numpy()), len(at)]
-            for start, stop in zip(edges[:-1], edges[1:]):
-                group = (pdf["key"].iloc[start], pdf["run_id"].iloc[start])
-                if group != current:
-                    current, held = group, deque()
-                i = start
-                while i < stop:
-                    if len(held) < limit:
-                        allowed[i] = True
-                        held.append(int(at[i]))
-                        i += 1
-                        continue
-                    # every hit up to the expiry of the oldest admitted one is refused in one step
-                    free = i + int(np.searchsorted(at[i:stop], held[0] + window_us, side=side))
-                    oldest[i:free] = held[0]
-                    if free < stop:
-                        held.popleft()
-                    i = free
-            yield pd.DataFrame(
-                {"key": pdf["key"], "seq": pdf["seq"], "us": pdf["us"], "allowed": allowed, "at": at, "oldest": oldest}
-            )
-
-    return scan
-
-
-def rate_limit_admission(
-    hits: DataFrame,
-    key: str,
-    limit: int,
-    window_us: int,
-    inclusive_expiry: bool = False,
-    cells: Cells | None = None,
-) -> DataFrame:
-    """Sliding-window admission where refused hits do not count: `key, seq, us, allowed, retry_after_s, retry_header`.
-
-    A hit exactly one window old still counts, unless `inclusive_expiry` (then times are also cut to milliseconds).
-    Each decision depends on the earlier ones, so this is a scan, not a window function. A silence longer than
-    the window empties the state; there the key is cut into segments which are scanned by different tasks. Inside
-    a segment rows stream through in sorted order and only admitted hits cost a step.
-    """
-    if limit < 1:
-        raise ValueError("limit must be at least 1")
-    at = F.expr("us - pmod(us, 1000L)") if inclusive_expiry else F.col("us")
-    width = window_us - window_us % 1000 if inclusive_expiry else window_us
-    rows = hits.select(F.col(key).alias("key"), "seq", "us")
-    gap = width + 1000 if inclusive_expiry else width + 1
-    runs = run_positions(rows, ["key"], gap_us=gap, cells=cells).select("key", "run_id", "seq", "us", at.alias("at"))
-    key_type = runs.schema["key"].dataType.simpleString()
-    decided = (
-        runs.repartition("key", "run_id")
-        .sortWithinPartitions("key", "run_id", "us", "seq")
-        .mapInPandas(
-            _walk(limit, width, inclusive_expiry),
-            f"key {key_type}, seq bigint, us bigint, allowed boolean, at bigint, oldest bigint",
-        )
-    )
-    wait = F.when(F.col("allowed"), 0.0).otherwise(F.greatest((width - (F.col("at") - F.col("oldest"))) / 1e6, F.lit(0.0)))
-    return decided.select(
-        F.col("key").alias(key),
-        "seq",
-        "us",
-        "allowed",
-        wait.alias("retry_after_s"),
-        F.when(~F.col("allowed"), F.floor(wait).cast("bigint") + 1).alias("retry_header"),
-    )
-
-
 def failure_incidents(
     calls: DataFrame,
     keys: Sequence[str],

@@ -156,6 +156,20 @@ ENRICHED = f"""enriched as (
 JOB_PROMPT = "Window 60s:\n\nKeys: category, root_cause, evidence"
 
 
+def _admission(key: str, limit: int) -> str:
+    """Hit by hit: the list of admitted instants of the last day decides."""
+    live = "list_filter(f.q, lambda x: x >= h.us-86400000000)"
+    return f"""with recursive h as (select {key} as k, {US} as us, event_id, row_number() over (partition by {key} order by ts,event_id) as rn from events),
+            f as (select k,us,event_id,rn,true as allowed,[us] as q, cast(0 as bigint) as retry_us from h where rn=1
+              union all
+              select h.k,h.us,h.event_id,h.rn, len({live})<{limit},
+                case when len({live})<{limit} then list_append({live}, h.us) else {live} end,
+                case when len({live})<{limit} then 0 else 86400000000-(h.us-{live}[1]) end
+              from f join h on h.k=f.k and h.rn=f.rn+1)
+            select k as key, event_id as seq, allowed, cast(retry_us as bigint) as retry_us,
+              case when not allowed then cast(retry_us//1000000+1 as bigint) end as retry_header from f"""
+
+
 def oracle_sql() -> dict[str, str]:
     day = "strftime(ts,'%Y-%m-%d')"
     return {
@@ -224,18 +238,8 @@ def oracle_sql() -> dict[str, str]:
             coalesce(sum(cost_e8) over (partition by day order by us, call_id rows between unbounded preceding and 1 preceding),0) < 200000000 as allowed from costed""",
         "trailing_hits": f"""select distinct user_id as key, {US} as us,
             count(*) over (partition by user_id order by {US} range between 86400000000 preceding and current row) as hits from events""",
-        "rate_limit_admission": f"""with recursive h as (select user_id as k, {US} as us, event_id, row_number() over (partition by user_id order by ts,event_id) as rn from events),
-            f as (select k,us,event_id,rn,true as allowed,[us] as q, cast(0 as bigint) as retry_us from h where rn=1
-              union all
-              select h.k,h.us,h.event_id,h.rn, len(list_filter(f.q, lambda x: x >= h.us-86400000000))<3,
-                case when len(list_filter(f.q, lambda x: x >= h.us-86400000000))<3
-                  then list_append(list_filter(f.q, lambda x: x >= h.us-86400000000), h.us)
-                  else list_filter(f.q, lambda x: x >= h.us-86400000000) end,
-                case when len(list_filter(f.q, lambda x: x >= h.us-86400000000))<3 then 0
-                  else 86400000000-(h.us-list_filter(f.q, lambda x: x >= h.us-86400000000)[1]) end
-              from f join h on h.k=f.k and h.rn=f.rn+1)
-            select k as key, event_id as seq, allowed, cast(retry_us as bigint) as retry_us,
-              case when not allowed then cast(retry_us//1000000+1 as bigint) end as retry_header from f""",
+        "rate_limit_admission": _admission("user_id", 3),
+        "rate_limit_busy_keys": _admission("user_id % 3", 40),
         "failure_incidents": f"""with {CALLS}, attempts as (select service as k, call_id as seq, us, status='ok' as ok from calls), {STREAKS},
             grouped as (select k, wins, count(*) as n_failures, min(us) as first_failure_us, max(case when streak=3 then us end) as opened_us
               from streaks where not ok group by 1,2 having count(*)>=3),
