@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bundlewise.operators.ordered import Cells, choose_cells, run_positions
+from bundlewise.operators.ordered import WHOLE_ROWS, Cells, choose_cells, run_positions
 from bundlewise.session import cut_lineage
 
 CELL_ROWS = 250_000
@@ -182,7 +182,7 @@ def rate_limit_admission(
     width = window_us - window_us % 1000 if inclusive_expiry else window_us
     rows = hits.select(F.col(key).alias("key"), "seq", "us")
     gap = width + 1000 if inclusive_expiry else width + 1
-    cells = cells or choose_cells(rows, ["key"])
+    cells = cells or choose_cells(rows, ["key"], whole=WHOLE_ROWS)
     runs = run_positions(rows, ["key"], gap_us=gap, cells=cells).select("key", "run_id", "run_pos", "seq", "us", at.alias("at"))
     kinds = dict(runs.dtypes)
     decided = f"key {kinds['key']}, seq {kinds['seq']}, us bigint, allowed boolean, at bigint, oldest bigint"

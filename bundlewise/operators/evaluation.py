@@ -4,22 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bundlewise.functions.rounding import round_exact
 from bundlewise.functions.scoring import DELTA_THRESHOLD, PASS_SCORE, blended_score, cosine, keyword_scores, unit
 
-# runs of a case whose vectors are added up in one step
 
-
-def primary_run(runs: DataFrame) -> DataFrame:
-    """Per case the first run's answer and the error that counts.
+def primary_run(runs: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """Per case the first run's answer, with the columns `also`, and the error that counts.
 
     Runs: `case_id, run_idx, version, text, category, err, latency_s`. The error is the earliest of any run, and only where the
     first run has no text.
     """
-    first = F.min_by(F.struct("version", "text", "category", "latency_s"), F.col("run_idx"))
+    first = F.min_by(F.struct("version", "text", "category", "latency_s", *also), F.col("run_idx"))
     error = F.min_by(F.col("err"), F.when(F.col("err").isNotNull(), F.col("run_idx")))
     agg = runs.groupBy("case_id").agg(first.alias("first"), error.alias("first_err"), F.count("*").alias("n_runs"))
     return agg.select(
@@ -52,14 +52,16 @@ def attach_vectors(rows: DataFrame, cache: DataFrame, text: str, name: str) -> D
 def case_scores(cases: DataFrame, mode: str = "both") -> DataFrame:
     """Scored cases from rows with the answer, its error, the gold text, both vectors and the keyword lists.
 
-    No embedding score is given to a case that failed, nor in keyword mode.
+    No embedding score is given to a case that failed, nor in keyword mode, nor where a column `embedding_error` says that
+    a text could not be embedded: `both` then counts the keywords alone.
     """
     scored = score_keywords(cases.withColumn("text", F.coalesce("text", F.lit(""))))
     if mode == "keyword":
         emb = F.lit(None).cast("double")
     else:
         value = round_exact(embedding_score(F.col("text"), F.col("gold"), F.col("text_vector"), F.col("gold_vector")), 3)
-        emb = F.when(F.col("error").isNull(), value)
+        whole = F.col("embedding_error").isNull() if "embedding_error" in cases.columns else F.lit(True)
+        emb = F.when(F.col("error").isNull() & whole, value)
     scored = scored.withColumn("embedding_score", emb)
     scored = scored.withColumn("case_score", blended_score(mode, F.col("keyword_score"), F.col("embedding_score")))
     return scored.withColumn("passed", F.col("case_score") >= PASS_SCORE)
@@ -73,20 +75,29 @@ def run_agreement(runs: DataFrame, by: Sequence[str] = ("case_id",)) -> DataFram
     is NULL. Each row is a run, whatever its `run_idx`.
 
     No pair is ever formed. With unit vectors u the sum over pairs is (|sum u|^2 - sum |u|^2) / 2, and equal
-    categories are counted by n(n-1)/2 per category, so the work is linear. Vectors are added up axis by axis before
-    the shuffle, so a case with very many runs is summed by many tasks. Vectors of different length count as cosine 0:
-    they fall in different sums.
+    categories are counted by n(n-1)/2 per category, so the work is linear. The runs are read once and shrink to one row
+    per case, vector length and category in each task, whose vectors are added up there; a case with very many runs is
+    summed by many tasks. Vectors of different length count as cosine 0: they fall in different sums.
     """
     spoken = F.coalesce(F.col("text"), F.lit("")) != ""
-    case = F.struct(*by).alias("_case")
+    counted = F.coalesce(spoken & (F.size("vector") > 0), F.lit(False))
     square = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)
-    basis = runs.where(spoken & (F.size("vector") > 0)).select(case, F.size("vector").alias("dim"), unit(F.col("vector")).alias("u"))
-    axes = basis.select("_case", "dim", square(F.col("u")).alias("own"), F.posexplode("u").alias("axis", "x"))
-    sums = axes.groupBy("_case", "dim", "axis").agg(F.sum("x").alias("x"), F.sum(F.when(F.col("axis") == 0, F.col("own"))).alias("own"))
-    cos = sums.groupBy("_case").agg(((F.sum(F.col("x") * F.col("x")) - F.sum("own")) / 2).alias("cos_sum"))
+    each = runs.select(
+        F.struct(*by).alias("_case"),
+        F.when(counted, F.size("vector")).alias("dim"),
+        "category",
+        spoken.cast("int").alias("spoken"),
+        # the runs that have no vector to count share a sum that is not read
+        F.when(counted, unit(F.col("vector"))).otherwise(F.array(F.lit(0.0))).alias("u"),
+    )
+    added = each.groupBy("_case", "dim", "category").agg(
+        F.count("*").alias("n"), F.sum("spoken").alias("spoken"), Summarizer.sum(array_to_vector(F.col("u"))).alias("v"), F.sum(square(F.col("u"))).alias("own")
+    )
+    sums = added.where("dim is not null").groupBy("_case", "dim").agg(Summarizer.sum(F.col("v")).alias("v"), F.sum("own").alias("own"))
+    cos = sums.groupBy("_case").agg((F.sum(square(vector_to_array(F.col("v"))) - F.col("own")) / 2).alias("cos_sum"))
 
-    totals = runs.groupBy(case).agg(F.count("*").alias("n_runs"), F.count_if(spoken).alias("m"))
-    kinds = runs.where("category is not null").groupBy(case, "category").agg(F.count("*").alias("k"))
+    totals = added.groupBy("_case").agg(F.sum("n").alias("n_runs"), F.sum("spoken").alias("m"))
+    kinds = added.where("category is not null").groupBy("_case", "category").agg(F.sum("n").alias("k"))
     kinds = kinds.groupBy("_case").agg(F.sum(F.col("k") * (F.col("k") - 1) / 2).alias("same"), F.sum("k").alias("named"))
     pairs = lambda c: F.col(c) * (F.col(c) - 1) / 2
     joined = totals.join(cos, "_case", "left").join(kinds, "_case", "left")

@@ -15,12 +15,19 @@ def _le(bound: float) -> str:
     return str(bound)
 
 
-def counters(parts: Mapping[str, tuple[DataFrame, Column]], day: str = "day") -> DataFrame:
-    """Counts per day, metric and label from several event frames: name -> (frame with `day`, label)."""
+def counters(parts: Mapping[str, tuple[DataFrame, Column] | tuple[DataFrame, Column, Column]], day: str = "day") -> DataFrame:
+    """Counts per day, metric and label from several event frames: name -> (frame with `day`, label[, condition]).
+
+    Counters given over the same frame are counted in one pass: each row brings the names of the counters it adds to.
+    """
+    frames: dict[int, tuple[DataFrame, list[Column]]] = {}
+    for name, (df, label, *condition) in parts.items():
+        entry = F.struct(F.lit(name).alias("metric"), label.alias("label"))
+        frames.setdefault(id(df), (df, []))[1].append(F.when(condition[0], entry) if condition else entry)
     out: DataFrame | None = None
-    for name, (df, label) in parts.items():
-        one = df.groupBy(F.col(day).alias("day"), label.alias("label")).agg(F.count("*").alias("n"))
-        one = one.select("day", F.lit(name).alias("metric"), "label", "n")
+    for df, entries in frames.values():
+        named = df.select(F.col(day).alias("day"), F.inline(F.filter(F.array(*entries), lambda e: e.isNotNull())))
+        one = named.groupBy("day", "metric", "label").agg(F.count("*").alias("n")).select("day", "metric", "label", "n")
         out = one if out is None else out.unionByName(one)
     if out is None:
         raise ValueError("no counters given")

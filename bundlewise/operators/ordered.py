@@ -23,6 +23,11 @@ HOUR = 60 * MINUTE
 DAY = 24 * HOUR
 
 MAX_CELL_ROWS = 1_000_000
+#: Where no key has more rows than this, each key is one cell: nothing is carried from cell to cell.
+WHOLE_ROWS = 131_072
+WHOLE = 1 << 62
+#: Counts that are kept are held as literal rows up to this number, beyond it in a checkpoint.
+MAX_LITERAL = 5_000
 TIE_BLOCK = 1 << 20
 
 
@@ -41,9 +46,15 @@ class Cells:
 
     def tag(self, df: DataFrame, us: str = "us", tie: str = "seq") -> DataFrame:
         block = floor_bucket(tie, self.tie_block) if self.tie_block else F.lit(0).cast("bigint")
+        if self.whole:
+            return df.select("*", F.lit(0).cast("bigint").alias("_c"), block.alias("_q")).where(F.col(us).isNotNull())
         # the joins on cells imply the filter; stated here, all readers of the tagged rows share one shuffle
         return df.select("*", floor_bucket(us, self.width).alias("_c"), block.alias("_q")).where("_c is not null")
 
+    @property
+    def whole(self) -> bool:
+        return self.width == WHOLE
+
     @property
     def parents(self) -> tuple[int, ...]:
         """Coarser widths, in cells, so that the scan over summaries is itself bounded by the calendar."""
@@ -65,18 +76,36 @@ def _coarser(counts: DataFrame, keys: Sequence[str], ratio: int, maxes: Sequence
 
 
 def choose_cells(
-    df: DataFrame, keys: Sequence[str], us: str = "us", max_rows: int = MAX_CELL_ROWS, keep_counts: bool = False
+    df: DataFrame, keys: Sequence[str], us: str = "us", max_rows: int = MAX_CELL_ROWS, keep_counts: bool = False, whole: int = 0
 ) -> Cells:
     """The widest cell whose fullest instance holds at most `max_rows`, from counts over (keys, us).
 
+    Where no key has more than `whole` rows in all, each key is one cell.
+
     Counts per day settle most inputs. Otherwise counts per second are rolled up. All counts use map-side
-    combine, so a hot key never meets in one task, and one row reaches the driver. `keep_counts` checkpoints
-    the counts, which saves later scans of the input where they are few (few keys).
+    combine, so a hot key never meets in one task; one row reaches the driver, or with `keep_counts` up to
+    `MAX_LITERAL` rows of counts. `keep_counts` keeps them (more of them in a checkpoint), which saves later scans of the
+    input where they are few (few keys).
     """
     keep = cut_lineage if keep_counts else lambda counts: counts
-    days = keep(_counts(df, keys, floor_bucket(us, DAY)))
-    day = days.agg(F.max("n").alias("most"), F.sum("n").alias("rows")).first()
+    days = _counts(df, keys, floor_bucket(us, DAY))
+    if keep_counts:
+        few = days.limit(MAX_LITERAL + 1).collect()
+        if len(few) <= MAX_LITERAL:
+            per_key: dict[tuple, int] = {}
+            for r in few:
+                key = tuple(r[k] for k in keys)
+                per_key[key] = per_key.get(key, 0) + r["n"]
+            if whole and max(per_key.values(), default=0) <= min(whole, max_rows):
+                return Cells(WHOLE, 0, sum(per_key.values()))
+            if max(r["n"] for r in few) <= max_rows:
+                return Cells(DAY, 0, sum(per_key.values()), df.sparkSession.createDataFrame(few, days.schema))
+    days = keep(days)
+    per_key = days.groupBy(*keys).agg(F.max("n").alias("most"), F.sum("n").alias("n"))
+    day = per_key.agg(F.max("most").alias("most"), F.max("n").alias("key"), F.sum("n").alias("rows")).first()
     rows = day["rows"] or 0
+    if whole and (day["key"] or 0) <= min(whole, max_rows):
+        return Cells(WHOLE, 0, rows)
     if (day["most"] or 0) <= max_rows:
         return Cells(DAY, 0, rows, days if keep_counts else None)
     seconds = keep(_counts(df, keys, floor_bucket(us, SECOND)))
@@ -161,12 +190,15 @@ def running_sums(
     Rows without an instant are left out, see `without_instant`.
     `totals`, the sums per (keys, _c, _q), may be given where they are known already.
     """
-    cells = cells or choose_cells(df, keys, us)
+    cells = cells or choose_cells(df, keys, us, whole=WHOLE_ROWS)
     if totals is not None:
         totals = _with_key(totals, keys)[0]
     keyed, keys = _with_key(df, keys)
     tagged = cells.tag(keyed, us, tie)
     cell = [*keys, "_c", "_q"]
+    if cells.whole:
+        upto = Window.partitionBy(*cell).orderBy(us, tie).rowsBetween(Window.unboundedPreceding, 0)
+        return tagged.select(*df.columns, *[F.sum(e).over(upto).alias(n) for n, e in sums.items()])
     if totals is None:
         totals = tagged.groupBy(*cell).agg(*[F.sum(e).alias(n) for n, e in sums.items()])
     carried = carry_in(totals, keys, cells.parents, sums=list(sums)).select(*cell, *[f"in_{n}" for n in sums])
@@ -192,7 +224,7 @@ def run_positions(
     before the first restart form run 0. A NULL key is a key like any; rows without an instant are left out, see
     `without_instant`.
     """
-    cells = cells or choose_cells(df, keys, us)
+    cells = cells or choose_cells(df, keys, us, whole=WHOLE_ROWS)
     keyed, keys = _with_key(df, keys)
     cell = [*keys, "_c", "_q"]
     flag = F.coalesce(restart, F.lit(False)) if restart is not None else F.lit(False)
@@ -202,6 +234,15 @@ def run_positions(
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     local = tagged.withColumn("_i", F.row_number().over(order)).withColumn("_prev", F.lag(us).over(order))
     wide = (F.col(us) - F.col("_prev") >= gap_us) if gap_us is not None else F.lit(False)
+    if cells.whole:
+        opens = F.when(F.col("_i") == 1, flag | F.lit(gap_us is not None)).otherwise(flag | F.coalesce(wide, F.lit(False)))
+        local = local.withColumn("_cut", opens)
+        start = F.coalesce(F.max(F.when(F.col("_cut"), F.col("_i"))).over(upto), F.lit(1))
+        return local.select(
+            *df.columns,
+            F.sum(F.col("_cut").cast("bigint")).over(upto).alias("run_id"),
+            (F.col("_i") - start + 1).cast("bigint").alias("run_pos"),
+        )
     # the first row of a cell is settled later, from the cell before it
     local = local.withColumn("_cut", (F.col("_i") > 1) & (flag | F.coalesce(wide, F.lit(False))))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from bundlewise.functions.responses import enrich
 from bundlewise.operators import evaluation as E
 from bundlewise.operators.correlate import bundle_text, correlatable
-from bundlewise.operators.hooks import Analyzer, analyze_bundles, embed_missing
+from bundlewise.operators.hooks import Analyzer, analyze_bundles, embed_results, missing_texts
 from bundlewise.operators.prompts import render_prompts
 from bundlewise.session import cut_lineage
 
@@ -78,17 +78,24 @@ def run_eval(
         texts = answers.select("text").unionByName(gold.select(F.col("gold").alias("text")))
         if cache is None:
             cache = cases.sparkSession.createDataFrame([], "model string, text string, vector array<double>")
-        new, _ = embed_missing(texts, cache, model, make_embedder)
-        new = cut_lineage(new)
-        known = cache.where(F.col("model") == model).unionByName(new)
+        made = cut_lineage(embed_results(missing_texts(texts, cache, model), make_embedder))
+        new = made.where("error is null").drop("error")
+        known = cache.where(F.col("model") == model).select("model", "text", "vector").unionByName(new)
+        lost = made.where("error is not null").select("text", F.col("error").alias("embedding_error"))
         answers = E.attach_vectors(answers, known, "text", "vector")
         gold = E.attach_vectors(gold, known, "gold", "gold_vector")
     else:
         answers = answers.withColumn("vector", F.lit(None).cast("array<double>"))
         gold = gold.withColumn("gold_vector", F.lit(None).cast("array<double>"))
 
-    first = answers.where("run_idx = 0").select("case_id", "trace_id", F.col("vector").alias("text_vector"))
-    scored = E.case_scores(E.primary_run(answers).join(first, "case_id").join(gold, "case_id"), scorer)
+    first = E.primary_run(answers, also=["trace_id", "vector"]).withColumnRenamed("vector", "text_vector")
+    judged = first.join(gold, "case_id")
+    if needs_vectors:
+        # a text that could not be embedded costs its cases the embedding score, not the job
+        judged = judged.join(lost, "text", "left").withColumnRenamed("embedding_error", "_own")
+        judged = judged.join(lost.withColumnRenamed("text", "gold"), "gold", "left")
+        judged = judged.withColumn("embedding_error", F.coalesce("_own", "embedding_error")).drop("_own")
+    scored = E.case_scores(judged, scorer)
     scored = scored.drop("text_vector", "gold_vector")
     if runs > 1:
         scored = scored.join(E.run_agreement(answers).drop("n_runs"), "case_id", "left")

@@ -152,6 +152,9 @@ ENRICHED = f"""enriched as (
   select doc_id, version, {NO_FIELDS} from answers where kind=0 or bad)"""
 
 
+EMBED_MISSING = f"""with {RUNS} select distinct md5(text) as text_hash, length(text) as n_chars, length(text)-length(replace(text,'a','')) as n_a
+            from runs where text<>'' and text not in (select gold from gold)"""
+
 # what the default prompt v3 puts around the text of a bundle, for a window of 60 s
 JOB_PROMPT = "Window 60s:\n\nKeys: category, root_cause, evidence"
 
@@ -270,8 +273,8 @@ def oracle_sql() -> dict[str, str]:
             select service, n, round(m,6) as mean_s, latency_s as p95_s, round(1.0::double/m,6) as rate_per_s from r
             where rn=greatest(cast(floor(n*0.95::double) as bigint),1)""",
         "cosine_pairs": f"""select a.vec_id, round({_cos('a.embedding', 'b.embedding')},6) as cos from embeddings a left join embeddings b on b.vec_id=a.vec_id+1""",
-        "embed_missing": f"""with {RUNS} select distinct md5(text) as text_hash, length(text) as n_chars, length(text)-length(replace(text,'a','')) as n_a
-            from runs where text<>'' and text not in (select gold from gold)""",
+        "embed_missing": EMBED_MISSING,
+        "embed_missing_bucketed": EMBED_MISSING,
         "primary_run": f"with {RUNS} select case_id, n_runs, version, md5(text) as text_hash, category, latency_s, error from prime",
         "score_keywords": f"""with {RUNS}, {FIRST}, {_scored('first_answer')}
             select case_id, {_r('hit', 3)} as keyword_hit, {_r('clean', 3)} as anti_clean, keyword_score,

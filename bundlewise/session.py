@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -62,3 +66,30 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows survive executor loss and later branches do not recompute them."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder for the tables that `store` writes meanwhile; it is removed at the end, so results must be written by then."""
+    folder = f"{checkpoint_root(spark)}/scratch-{uuid.uuid4().hex}"
+    before = _scratch.set(folder)
+    try:
+        yield folder
+    finally:
+        _scratch.reset(before)
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def store(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the shared folder, or in the `scratch` folder around the call.
+
+    Like `cut_lineage`, but compressed and read by column: for wide rows of which several narrow scans follow.
+    """
+    spark = df.sparkSession
+    path = f"{_scratch.get() or checkpoint_root(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

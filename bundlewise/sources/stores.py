@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from bundlewise import schemas
 from bundlewise.functions.responses import evidence_json
 from bundlewise.functions.timestamps import iso_utc, month_key, utc_day
+from bundlewise.operators.hooks import text_key
 from bundlewise.sources.files import folders, remove
 
 
@@ -160,6 +161,14 @@ def append_embedding_cache(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+def append_embedding_table(rows: DataFrame, table: str, buckets: int = 200, path: str | None = None) -> None:
+    """Append vectors to a catalog table bucketed by the key of (model, text), so that looking texts up moves no vector."""
+    keyed = rows.select("model", "text", "vector").withColumn("text_key", text_key(F.col("model"), F.col("text")))
+    # rows of a bucket meet in one task, so an append adds one file to each bucket
+    writer = keyed.repartition(buckets, "text_key").write.mode("append").format("parquet").bucketBy(buckets, "text_key").sortBy("text_key")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+
+
 def read_eval_cases(spark: SparkSession, path: str, case_id: str | None = None) -> DataFrame:
     """Evaluation cases, optionally only one; an unknown id is an error, as is an empty set of cases."""
     cases = spark.read.schema(schemas.EVAL_CASE).option("multiLine", "true").json(path)

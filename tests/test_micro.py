@@ -41,7 +41,7 @@ def test_bundles_do_not_depend_on_the_cut_into_batches(spark, splits):
 
 def test_a_busy_trace_is_cut_into_cells(spark, monkeypatch):
     """With cells of ten rows one trace of a batch is ranked by many tasks; the bundles are the same."""
-    monkeypatch.setattr(ordered.choose_cells, "__defaults__", ("us", 10, False))
+    monkeypatch.setattr(ordered.choose_cells, "__defaults__", ("us", 10, False, 0))
     messages = [_message(i, "hot", BASE + i * SECOND // 4) for i in range(150)]
     feed = Feed()
     target = StreamBundler(spark, f"{feed.folder}/tables", idle_seconds=IDLE, batch_max=7)

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from bundlewise.operators.ordered import DAY, HOUR, MINUTE, SECOND, Cells, choose_cells, run_positions, running_sums
+from bundlewise.operators.ordered import DAY, HOUR, MINUTE, SECOND, WHOLE, Cells, choose_cells, run_positions, running_sums
 
 LAYOUTS = [Cells(DAY), Cells(HOUR), Cells(MINUTE), Cells(SECOND), Cells(1, 4)]
 
@@ -76,3 +76,23 @@ def test_no_window_group_exceeds_the_bound_for_a_single_hot_instant(spark):
     assert tagged.groupBy("key", "_c", "_q").count().agg(F.max("count")).first()[0] <= 256
     out = running_sums(rows, ["key"], {"n": F.lit(1)}, cells)
     assert out.where("n <> seq + 1").count() == 0 and out.count() == 4000
+
+
+@pytest.mark.parametrize("keys", [[], ["key"]])
+def test_small_keys_are_one_cell_with_the_same_results(spark, keys):
+    """Scans over keys that are one cell each equal the scans in many cells."""
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", None]), rng.randrange(0, 40) * 500_000, i, rng.random() < 0.2) for i in range(300)] + [("a", None, 999, True)]
+    df = spark.createDataFrame(rows, "key string, us bigint, seq bigint, flag boolean").repartition(5)
+    assert choose_cells(df, keys, whole=301).whole and choose_cells(df, keys, keep_counts=True, whole=301).whole
+    assert not choose_cells(df, keys, whole=50).whole and not choose_cells(df, keys, keep_counts=True, whole=50).whole
+    whole, cut = Cells(WHOLE), Cells(SECOND)
+    for make in (
+        lambda c: running_sums(df, keys, {"s": F.col("seq"), "n": F.lit(1)}, c),
+        lambda c: run_positions(df, keys, gap_us=1_500_000, cells=c),
+        lambda c: run_positions(df, keys, restart="flag", cells=c),
+        lambda c: run_positions(df, keys, gap_us=2_000_000, restart="flag", cells=c),
+    ):
+        a, b = make(whole), make(cut)
+        assert a.dtypes == b.dtypes and a.count() == 300
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
