@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bundlewise.llm import linking
+from bundlewise.llm import linking, passages
 from bundlewise.llm.common import frozen, map_arrow, table
 from bundlewise.llm.shingles import key_of, mix, shingle_sets, words_of
 
@@ -181,12 +181,14 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Result: `row` (the input row, or its columns in `keep`), `text` without the removed lines, `removed` (line numbers),
     `sources` (ids of the documents that keep them), `n_paragraphs` (lines that were compared, by themselves or in blocks), `n_repeated` (of those, lines that stand
-    elsewhere too, kept or not).
+    elsewhere too, kept or not). With `repeated_passages`, passages are found in whole texts wherever their lines break (see
+    `passages`), and the words of all but the first of them go too; `n_words` counts those outside removed lines.
 
     Null texts stay null; empty texts and lines stay as they are. Rows with equal id and text are one document and lose the
     same lines, so repeated rows do not empty each other. A null id is a document like any, kept last. An empty table
     gives an empty result. Very long texts are split within their row.
     """
+    repeated_passages = options.pop("repeated_passages", False)
     min_words, blocks = options.get("min_words", MIN_WORDS), options.get("blocks", False)
     found = find_repeats(docs, doc_id, text, **options)
     # a short line lies in several blocks, and goes if it goes with one of them
@@ -196,30 +198,47 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         F.sort_array(F.collect_set(F.when(~F.col("keep"), F.col("keeper")))).alias("from"), F.count("*").alias("n"),
     )
     row = F.struct(*[docs[c] for c in (docs.columns if keep is None else keep)]).alias("row")
-    joined = docs.select(row, doc_key(docs[doc_id], docs[text]).alias("dk"), docs[text].alias("t")).join(by_doc, "dk", "left")
+    key = doc_key(docs[doc_id], docs[text])
+    joined = docs.select(row, key.alias("dk"), docs[text].alias("t")).join(by_doc, "dk", "left")
+    if repeated_passages:
+        given = docs.select(key.alias("dk"), passages.order_of(docs[doc_id], key).alias("ord"), docs[text].cast("binary").alias("t"))
+        elsewhere = passages.foreign_windows(given.where("t is not null"))
+        known = given.select("dk", "ord").dropDuplicates(["dk"]).join(elsewhere, "ord").select("dk", "elsewhere")
+        joined = joined.join(known, "dk", "left")
+    else:
+        joined = joined.withColumn("elsewhere", F.lit(None).cast("array<bigint>"))
 
     def make():
-        def step(texts, gone):
-            out, counts = [], []
-            for t, g in zip(texts.to_pylist(), gone.to_pylist()):
+        def step(texts, gone, elsewhere):
+            out, counts, n_words = [], [], []
+            for t, g, e in zip(texts.to_pylist(), gone.to_pylist(), elsewhere.to_pylist()):
                 raw = (t or "").encode()
                 counts.append(len(paragraphs_of(raw, min_words)) + len({pos for at, _ in (short_blocks(raw, min_words) if blocks else ()) for pos in at}))
-                if g:
-                    drop = set(g)
+                drop, lost = set(g or ()), 0
+                words = passages.repeated_words(words_of(raw), set(e or ())) if repeated_passages else None
+                if words is not None and words.any():
+                    of = np.repeat(*zip(*[(k, len(x.split())) for k, x in enumerate(raw.split(b"\n"))]))
+                    lost = int((words & ~np.isin(of, list(drop))).sum())
+                if lost:
+                    t = passages.without_words(raw, words, drop).decode()
+                elif drop:
                     t = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in drop)
                 out.append(t)
-            return out, counts
+                n_words.append(lost)
+            return out, counts, n_words
 
         return step
 
-    done = map_arrow(joined, {"t": F.col("t"), "g": F.col("gone")}, "text string, n_paragraphs bigint", make, keep=["row", "gone", "from", "n"])
+    inputs = {"t": F.col("t"), "g": F.col("gone"), "e": F.col("elsewhere")}
+    done = map_arrow(joined, inputs, "text string, n_paragraphs bigint, n_words bigint", make, keep=["row", "gone", "from", "n"])
     none = lambda c, kind: F.coalesce(F.col(c), F.expr(f"cast(array() as array<{kind}>)"))
     return done.select(
         F.col("row.row").alias("row"), "text", none("row.gone", "int").alias("removed"), none("row.from", "bigint").alias("sources"),
-        "n_paragraphs", F.coalesce("row.n", F.lit(0)).cast("bigint").alias("n_repeated"),
+        "n_paragraphs", F.coalesce("row.n", F.lit(0)).cast("bigint").alias("n_repeated"), "n_words",
     )
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"], blocks=True)
-    return done.select("row.doc_id", "n_paragraphs", "n_repeated", F.size("removed").cast("bigint").alias("n_removed"), "removed", "sources", "text")
+    done = remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"], repeated_passages=True)
+    removed = F.size("removed").cast("bigint")
+    return done.select("row.doc_id", "n_paragraphs", "n_repeated", removed.alias("n_removed"), F.col("n_words").alias("n_words_removed"), "removed", "sources", "text")

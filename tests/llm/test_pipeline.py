@@ -6,6 +6,7 @@ from bundlewise.llm.common import table
 
 from .helpers import SF, groups, shingles, similar, words
 from .test_linking import brute_repeats
+from .test_passages import brute_passages, plain_text
 from .test_texts import brute_leaks, library
 
 
@@ -16,8 +17,9 @@ def test_pipeline_equals_its_plain_version(spark):
     sets = [shingles(words(r["text"])) for r in rows]
     root = groups(len(rows), [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if similar(sets[i], sets[j])])
     rows = [r for k, r in enumerate(rows) if root[k] == k]
-    for r, gone in zip(rows, brute_repeats([r["text"] for r in rows])):
-        r["text"] = "\n".join(x for k, x in enumerate(r["text"].split("\n")) if k not in gone)
+    texts = [r["text"] for r in rows]
+    for r, lines, gone in zip(rows, brute_repeats(texts), brute_passages(texts)):
+        r["text"] = plain_text(r["text"], lines, gone)
     items = [r["text"] for r in table(spark, SF, "benchmark").collect()]
     rows = [r for r, (_, hit, _) in zip(rows, brute_leaks([r["text"] for r in rows], items)) if not hit]
     tool = library()
