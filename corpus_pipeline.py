@@ -32,9 +32,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Paragraphs that repeat are removed but for the first of each cluster (operator 1); rows stay, n_chars follows."""
+    """Paragraphs and passages that repeat are removed but for the first of each (operator 1); rows stay, n_chars follows."""
     ready(spark)
-    done = paragraphs.remove_repeats(docs, blocks=True).select("row", F.col("text").alias("_kept"))
+    done = paragraphs.remove_repeats(docs, repeated_passages=True).select("row", F.col("text").alias("_kept"))
     new = {"text": F.col("_kept"), "n_chars": F.coalesce(F.char_length("_kept").cast("bigint"), F.col("row.n_chars"))}
     return done.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns])
 
