@@ -1,6 +1,6 @@
 """Passages that repeat across documents wherever their lines break: content-defined windows of words.
 
-Every text is one sequence of words. Of all windows of `WINDOW` words those with the least hash among `SPREAD` neighbours
+Every text is one sequence of words. Of all windows of `WINDOW` words those with the least hash of `SPREAD` neighbours
 are taken, which depends on the words alone. So two texts that share WINDOW + SPREAD - 1 consecutive words share a taken
 window, embedded or wrapped as they may be, and taken windows of a shared passage overlap: together they cover it but for
 its ends. Windows are met by 128-bit equality; a lightly edited passage is found between its edits.
@@ -13,30 +13,52 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bundlewise.llm.shingles import Rolling, key_of, words_of
+from bundlewise.llm.shingles import Rolling, mix, words_of
 
 WINDOW, SPREAD = 25, 20
 _LATE = 9223372036854775807
 _ROOM = 1 << 60
+_SECOND = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
-def taken(words: list[bytes], window: int = WINDOW, spread: int = SPREAD) -> np.ndarray:
-    """First words of the taken windows, rising; none for a text of fewer words than a window."""
+class _Other(Rolling):
+    """The same with another number for each byte: the second half of a key."""
+
+    def __init__(self, raw: bytes):
+        n = len(raw)
+        self._grow(n)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_SECOND[np.frombuffer(raw, np.uint8)] * self._power[:n], out=self.sums[1:])
+
+
+def _slide(x: np.ndarray, size: int, least) -> np.ndarray:
+    """Least (or greatest) of every `size` neighbours, by doubling."""
+    have = 1
+    while have * 2 <= size:
+        x = least(x[:-have], x[have:])
+        have *= 2
+    return least(x[: len(x) - (size - have)], x[size - have :]) if have < size else x
+
+
+def windows(words: list[bytes], window: int = WINDOW, spread: int = SPREAD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first words of the taken windows, rising; both halves of their keys); none for a text shorter than a window.
+
+    A window is taken if none of some `spread` neighbours, itself among them, has a smaller hash.
+    """
     n = len(words) - window + 1
     if n <= 0:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
-    hashes = Rolling(b" ".join(words)).spans(ends[:n] - sizes[:n], ends[window - 1 :])
-    if n <= spread:
-        return np.array([int(np.argmin(hashes))])
-    least = np.lib.stride_tricks.sliding_window_view(hashes, spread).argmin(axis=1)
-    return np.unique(least + np.arange(len(least)))
-
-
-def windows(words: list[bytes], window: int = WINDOW, spread: int = SPREAD) -> list[tuple[int, tuple[int, int]]]:
-    """(first word, 128-bit key) of the taken windows."""
-    return [(p, key_of(words[p : p + window])) for p in taken(words, window, spread).tolist()]
+    starts = ends[:n] - sizes[:n]
+    ends = ends[window - 1 :]
+    joined = b" ".join(words)
+    hashes = Rolling(joined).spans(starts, ends)
+    reach = min(spread, n)
+    lows = _slide(hashes, reach, np.minimum)
+    edge = np.zeros(reach - 1, np.uint64)
+    at = np.flatnonzero(_slide(np.concatenate([edge, lows, edge]), reach, np.maximum) == hashes)
+    return at, hashes[at].view(np.int64), _Other(joined).spans(starts[at], ends[at]).view(np.int64)
 
 
 def order_of(doc_id: Column, dk: Column) -> Column:
@@ -54,9 +76,15 @@ def foreign_windows(given: DataFrame, text: str = "t", window: int = WINDOW, spr
 
     def post(batches):
         for batch in batches:
-            found = [sorted({k for _, k in windows(words_of(t), window, spread)}) for t in batch.column("t").to_pylist()]
-            keys = pa.array([[{"k1": a, "k2": b} for a, b in ks] for ks in found], pa.list_(pa.struct([("k1", pa.int64()), ("k2", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([batch.column("ord"), keys], names=["ord", "keys"])
+            first, second, sizes = [], [], [0]
+            for t in batch.column("t").to_pylist():
+                _, k1, k2 = windows(words_of(t), window, spread)
+                _, once = np.unique(k1, return_index=True)
+                first.append(k1[once])
+                second.append(k2[once])
+                sizes.append(sizes[-1] + len(once))
+            flat = pa.StructArray.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (first, second)], ["k1", "k2"])
+            yield pa.RecordBatch.from_arrays([batch.column("ord"), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat)], names=["ord", "keys"])
 
     posted = given.select("ord", F.col(text).alias("t")).mapInArrow(post, "ord decimal(38,0), keys array<struct<k1: bigint, k2: bigint>>")
     posted = posted.select("ord", F.inline("keys"))
@@ -65,12 +93,18 @@ def foreign_windows(given: DataFrame, text: str = "t", window: int = WINDOW, spr
     return met.groupBy("ord").agg(F.collect_set("k1").alias("elsewhere"))
 
 
-def repeated_words(words: list[bytes], elsewhere: set[int], window: int = WINDOW, spread: int = SPREAD) -> np.ndarray:
-    """Which words lie in a window that an earlier document has, or that stands earlier in this one (all of it but the first)."""
+def repeated_words(words: list[bytes], elsewhere: set[int], window: int = WINDOW, spread: int = SPREAD) -> np.ndarray | None:
+    """Which words lie in a window that an earlier document has, or that stands earlier in this one (all of it but the first).
+
+    None where no window repeats.
+    """
+    at, k1, _ = windows(words, window, spread)
+    if not elsewhere and len(np.unique(k1)) == len(k1):
+        return None
     gone = np.zeros(len(words), bool)
-    seen: dict[tuple[int, int], int] = {}
-    for p, key in windows(words, window, spread):
-        if key[0] in elsewhere:
+    seen: dict[int, int] = {}
+    for p, key in zip(at.tolist(), k1.tolist()):
+        if key in elsewhere:
             gone[p : p + window] = True
         elif key in seen:
             gone[max(p, seen[key] + window) : p + window] = True
