@@ -213,7 +213,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             out, counts, n_words = [], [], []
             for t, g, e in zip(texts.to_pylist(), gone.to_pylist(), elsewhere.to_pylist()):
                 raw = (t or "").encode()
-                counts.append(len(paragraphs_of(raw, min_words)) + len({pos for at, _ in (short_blocks(raw, min_words) if blocks else ()) for pos in at}))
+                counts.append(sum(len(x.split()) >= min_words for x in raw.split(b"\n")) + len({pos for at, _ in (short_blocks(raw, min_words) if blocks else ()) for pos in at}))
                 drop, lost = set(g or ()), 0
                 words = passages.repeated_words(words_of(raw), set(e or ())) if repeated_passages else None
                 if words is not None and words.any():

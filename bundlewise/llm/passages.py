@@ -40,10 +40,10 @@ def _slide(x: np.ndarray, size: int, least) -> np.ndarray:
     return least(x[: len(x) - (size - have)], x[size - have :]) if have < size else x
 
 
-def windows(words: list[bytes], window: int = WINDOW, spread: int = SPREAD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(words: list[bytes], window: int = WINDOW, spread: int = SPREAD, both: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     """(first words of the taken windows, rising; both halves of their keys); none for a text shorter than a window.
 
-    A window is taken if none of some `spread` neighbours, itself among them, has a smaller hash.
+    Without `both` the second half is not computed. A window is taken if none of some `spread` neighbours, itself among them, has a smaller hash.
     """
     n = len(words) - window + 1
     if n <= 0:
@@ -58,7 +58,7 @@ def windows(words: list[bytes], window: int = WINDOW, spread: int = SPREAD) -> t
     lows = _slide(hashes, reach, np.minimum)
     edge = np.zeros(reach - 1, np.uint64)
     at = np.flatnonzero(_slide(np.concatenate([edge, lows, edge]), reach, np.maximum) == hashes)
-    return at, hashes[at].view(np.int64), _Other(joined).spans(starts[at], ends[at]).view(np.int64)
+    return at, hashes[at].view(np.int64), _Other(joined).spans(starts[at], ends[at]).view(np.int64) if both else None
 
 
 def order_of(doc_id: Column, dk: Column) -> Column:
@@ -98,7 +98,7 @@ def repeated_words(words: list[bytes], elsewhere: set[int], window: int = WINDOW
 
     None where no window repeats.
     """
-    at, k1, _ = windows(words, window, spread)
+    at, k1, _ = windows(words, window, spread, both=False)
     if not elsewhere and len(np.unique(k1)) == len(k1):
         return None
     gone = np.zeros(len(words), bool)
