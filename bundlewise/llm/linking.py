@@ -10,11 +10,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bundlewise.llm.common import frozen
+from bundlewise.llm.shingles import mix
 
 #: Set elements on one side of a search task; larger families are searched in tiles.
 TILE = 400_000
 #: Hashes in one bucket of the search for shared ones, about; the number of buckets follows the corpus.
 BUCKET = 250_000
+#: Entries a bucket's findings are summed from in one task, about; destinations follow the corpus too.
+ENTRIES, MOST_DESTINATIONS = 2_000_000, 1 << 16
+
+
+def destinations(total: int, least: int) -> int:
+    return max(min(-(-total // ENTRIES), MOST_DESTINATIONS), least)
+
+
+def by_destination(key: np.ndarray, n: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order of `key` by destination, and (destination, from, to) of those that get some."""
+    at = (mix(key.astype(np.int64).view(np.uint64)) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
+    order = np.argsort(at, kind="stable")
+    edge = np.searchsorted(at[order], np.arange(n + 1, dtype=np.uint64)).tolist()
+    return order, [(d, edge[d], edge[d + 1]) for d in range(n) if edge[d] < edge[d + 1]]
 
 
 def _bucket_rows(posted: Iterable[tuple[int, np.ndarray]], buckets: int) -> pa.Table:
@@ -58,13 +73,18 @@ _BUCKET_COLUMNS = [("bucket", pa.int32()), *[(c, pa.binary()) for c in ("singles
 _BUCKET_DDL = "bucket int, singles binary, owners binary, multi binary, local binary, times binary"
 
 
-def _count_bucket(rows: pa.Table, least: int) -> pa.Table:
-    """(kind, key, n): shared hashes by owner (kind 0), and hashes with at least `least` entries (kind 1)."""
+def _joined(rows: pa.Table, c: str, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(x.as_py() for x in rows.column(c)), kind)
+
+
+_COUNTED = [("dest", pa.int32()), *[(c, pa.binary()) for c in ("keys", "counts", "often", "times")]]
+_COUNTED_DDL = "dest int, keys binary, counts binary, often binary, times binary"
 
-    def joined(c: str, kind) -> np.ndarray:
-        return np.frombuffer(b"".join(x.as_py() for x in rows.column(c)), kind)
 
-    single, owner, multi = joined("singles", np.uint64), joined("owners", np.int64), joined("multi", np.uint64)
+def _count_bucket(rows: pa.Table, least: int, dests: int) -> pa.Table:
+    """(dest, keys, counts, often, times), packed, a row per destination: shared hashes by owner, and hashes with at least
+    `least` entries."""
+    single, owner, multi = _joined(rows, "singles", np.uint64), _joined(rows, "owners", np.int64), _joined(rows, "multi", np.uint64)
     order = np.lexsort((owner, single))
     single, owner = single[order], owner[order]
     # an owner met in several batches (exact copies) is one
@@ -74,32 +94,51 @@ def _count_bucket(rows: pa.Table, least: int) -> pa.Table:
     several = np.unique(multi)
     values, group, times = np.unique(single, return_inverse=True, return_counts=True)
     shared = (times > 1) | np.isin(values, several)
-    keys = [owner[shared[group]], joined("local", np.int64)]
-    weights = np.concatenate([np.ones(len(keys[0]), np.int64), joined("times", np.int64)])
-    key, at = np.unique(np.concatenate(keys), return_inverse=True)
-    count = np.bincount(at, weights=weights, minlength=len(key)).astype(np.int64)
-    every, times = np.unique(np.concatenate([joined("singles", np.uint64), np.repeat(multi, 2)]), return_counts=True)
-    often = times >= least
-    return pa.table({
-        "kind": pa.array(np.concatenate([np.zeros(len(key), np.int32), np.ones(int(often.sum()), np.int32)])),
-        "key": pa.array(np.concatenate([key, every[often].view(np.int64)])),
-        "n": pa.array(np.concatenate([count, times[often].astype(np.int64)])),
-    })
+    keys = [owner[shared[group]], _joined(rows, "local", np.int64)]
+    weights = np.concatenate([np.ones(len(keys[0]), np.int64), _joined(rows, "times", np.int64)])
+    key, count = _summed(np.concatenate(keys), weights)
+    every, times = np.unique(np.concatenate([_joined(rows, "singles", np.uint64), np.repeat(multi, 2)]), return_counts=True)
+    often, times = every[times >= least], times[times >= least].astype(np.int64)
+    packed: dict[int, list[bytes]] = {}
+    for first, (k, v) in ((0, (key, count)), (2, (often.view(np.int64), times))):
+        order, parts = by_destination(k, dests)
+        k, v = k[order], v[order]
+        for d, a, z in parts:
+            packed.setdefault(d, [b""] * 4)[first : first + 2] = [k[a:z].tobytes(), v[a:z].tobytes()]
+    columns = [list(packed), *[[x[c] for x in packed.values()] for c in range(4)]]
+    return pa.table({c: pa.array(x, t) for x, (c, t) in zip(columns, _COUNTED)})
+
+
+def _summed(key: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    key, at = np.unique(key, return_inverse=True)
+    return key, np.bincount(at, weights=weight, minlength=len(key)).astype(np.int64)
+
+
+def _sum_destination(rows: pa.Table) -> pa.Table:
+    """(kind, key, n): shared hashes by owner (kind 0), and hashes with many entries (kind 1)."""
+    key, count = _summed(_joined(rows, "keys", np.int64), _joined(rows, "counts", np.int64))
+    often, times = _joined(rows, "often", np.int64), _joined(rows, "times", np.int64)
+    kind = np.repeat(np.array([0, 1], np.int32), [len(key), len(often)])
+    return pa.table({"kind": kind, "key": np.concatenate([key, often]), "n": np.concatenate([count, times])})
 
 
 def shared_keys(given: DataFrame, post: Callable[[list], Iterable[tuple[int, np.ndarray]]], total: int, least: int) -> DataFrame:
-    """Find the hashes that more than one owner posts: (kind, key, n) as `_count_bucket` gives them.
+    """Find the hashes that more than one owner posts: (kind, key, n) as `_sum_destination` gives them, keys distinct.
 
     `given` has one column; `post` yields (owner, distinct hashes) from the values of a batch. About `total` hashes are
-    posted, which sets the number of buckets. The shuffle carries packed hashes and owners, 16 bytes each.
+    posted, which sets the number of buckets. The first shuffle carries packed hashes and owners, 16 bytes each. An owner's
+    hashes scatter over the buckets, so what a bucket finds goes out packed too, a row per destination, and is summed there.
     """
-    buckets = max(min(-(-total // BUCKET), 1 << 20), given.sparkSession.sparkContext.defaultParallelism * 2)
+    parallel = given.sparkSession.sparkContext.defaultParallelism * 2
+    buckets = max(min(-(-total // BUCKET), 1 << 20), parallel)
+    dests = destinations(total, parallel)
 
     def deal(batches):
         for batch in batches:
             yield from _bucket_rows(post(batch.column(0).to_pylist()), buckets).to_batches()
 
-    return given.mapInArrow(deal, _BUCKET_DDL).groupBy("bucket").applyInArrow(lambda t: _count_bucket(t, least), "kind int, key bigint, n bigint")
+    counted = given.mapInArrow(deal, _BUCKET_DDL).groupBy("bucket").applyInArrow(lambda t: _count_bucket(t, least, dests), _COUNTED_DDL)
+    return counted.groupBy("dest").applyInArrow(_sum_destination, "kind int, key bigint, n bigint")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

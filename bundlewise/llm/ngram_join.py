@@ -32,7 +32,8 @@ def expected(n: int, percent: int) -> int:
 
 
 def describe(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
-    """(doc_id, key, k1, n_shingles): the 128-bit key of the word sequence, its first half, and the size of the shingle set."""
+    """(doc_id, x, key, k1, n_shingles): a hash of the text, the 128-bit key of the word sequence, its first half, and the size of
+    the shingle set."""
 
     def make():
         def step(texts):
@@ -44,7 +45,9 @@ def describe(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
         return step
 
     given = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].cast("binary").alias("t"))
-    return map_arrow(given, {"t": given["t"]}, "key binary, k1 bigint, n_shingles bigint", make, keep=["doc_id"]).select("row.doc_id", "key", "k1", "n_shingles")
+    given = given.withColumn("x", F.xxhash64("t"))
+    done = map_arrow(given, {"t": given["t"]}, "key binary, k1 bigint, n_shingles bigint", make, keep=["doc_id", "x"])
+    return done.select("row.doc_id", "row.x", "key", "k1", "n_shingles")
 
 
 def candidates(docs: DataFrame, text: str, total: int, size: int, percent: int) -> DataFrame:
@@ -66,7 +69,8 @@ def rare_first(sets: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame
     their own come first, then rare ones, then frequent ones: few sets meet by chance, in a common passage, say.
     """
     total = sets.agg(F.sum("size").alias("n")).first()["n"] or 0
-    buckets = max(min(-(-total // linking.BUCKET), 1 << 20), sets.sparkSession.sparkContext.defaultParallelism * 2)
+    parallel = sets.sparkSession.sparkContext.defaultParallelism * 2
+    buckets, dests = max(min(-(-total // linking.BUCKET), 1 << 20), parallel), linking.destinations(total, parallel)
     packed = "bucket int, hs binary, ids binary"
 
     def deal(batches):
@@ -87,50 +91,54 @@ def rare_first(sets: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame
                 names=["bucket", "hs", "ids"],
             )
 
-    def owners(rows: pa.Table) -> pa.Table:
-        h = np.frombuffer(b"".join(x.as_py() for x in rows.column("hs")), np.uint64)
-        ids = np.frombuffer(b"".join(x.as_py() for x in rows.column("ids")), np.int64)
+    def read(rows: pa.Table, *kinds) -> list[np.ndarray]:
+        return [np.frombuffer(b"".join(x.as_py() for x in rows.column(c)), t) for c, t in kinds]
+
+    def shared(rows: pa.Table) -> pa.Table:
+        """What a bucket knows of its shared shingles, a row per destination of their owners."""
+        h, ids = read(rows, ("hs", np.uint64), ("ids", np.int64))
         _, group, times = np.unique(h, return_inverse=True, return_counts=True)
-        times = times[group]
+        times = times[group].astype(np.int32)
         h, ids, times = h[times > 1], ids[times > 1], times[times > 1]
-        order = np.argsort(ids, kind="stable")
-        h, ids, times = h[order], ids[order], times[order].astype(np.int32)
+        order, parts = linking.by_destination(ids, dests)
+        h, ids, times = h[order], ids[order], times[order]
+        columns = [[d for d, _, _ in parts], *[[x[a:z].tobytes() for _, a, z in parts] for x in (h, ids, times)]]
+        return pa.table({c: pa.array(x, t) for c, x, t in zip(("dest", "hs", "ids", "times"), columns, (pa.int32(), *[pa.binary()] * 3))})
+
+    def owners(rows: pa.Table) -> pa.Table:
+        """The shared shingles of each set, rare ones first."""
+        h, ids, times = read(rows, ("hs", np.int64), ("ids", np.int64), ("times", np.int32))
+        order = np.lexsort((h, times, ids))
+        h, ids = h[order], ids[order]
         cut = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else np.zeros(0, np.int64)
         ends = np.append(cut[1:], len(ids)).tolist()
-        cut = cut.tolist()
-        return pa.table({
-            "id": pa.array(ids[cut], pa.int64()),
-            "hs": pa.array([h[x:y].tobytes() for x, y in zip(cut, ends)], pa.binary()),
-            "times": pa.array([times[x:y].tobytes() for x, y in zip(cut, ends)], pa.binary()),
-        })
+        return pa.table({"id": pa.array(ids[cut], pa.int64()), "hs": pa.array([h[x:y].tobytes() for x, y in zip(cut.tolist(), ends)], pa.binary())})
 
-    shared = sets.select("id", "elements").mapInArrow(deal, packed).groupBy("bucket").applyInArrow(owners, "id bigint, hs binary, times binary")
-    # of one set: a row from each bucket at most
-    known = shared.groupBy("id").agg(F.collect_list(F.struct("hs", "times")).alias("shared"))
+    found = sets.select("id", "elements").mapInArrow(deal, packed).groupBy("bucket").applyInArrow(shared, "dest int, hs binary, ids binary, times binary")
+    known = found.groupBy("dest").applyInArrow(owners, "id bigint, hs binary")
 
     def make():
         def step(sizes, often, shared):
             out = []
-            for n, last, rows in zip(sizes.to_pylist(), often.to_pylist(), shared.to_pylist()):
-                h = np.frombuffer(b"".join(r["hs"] for r in rows or ()), np.int64)
-                times = np.frombuffer(b"".join(r["times"] for r in rows or ()), np.int32)
+            for n, last, packed in zip(sizes.to_pylist(), often.to_pylist(), shared.to_pylist()):
+                h = np.frombuffer(packed or b"", np.int64)
                 need = -(-n * percent // 100)
                 alone = n - len(h) - len(last)
-                lead = np.concatenate([h[np.lexsort((h, times))], np.array(last, np.int64)])
+                lead = np.concatenate([h, np.array(last, np.int64)])
                 out.append(lead[: max(n - need + 1 - alone, 0)])
             return (pa.array(out, pa.list_(pa.int64())),)
 
         return step
 
     asked = sets.select("id", "size", "often").join(known, "id", "left")
-    leads = map_arrow(asked, {"n": F.col("size"), "o": F.col("often"), "s": F.col("shared")}, "lead array<bigint>", make, keep=["id"])
+    leads = map_arrow(asked, {"n": F.col("size"), "o": F.col("often"), "s": F.col("hs")}, "lead array<bigint>", make, keep=["id"])
     return frozen(leads.select(F.explode("lead").alias("h"), F.col("row.id").alias("id")))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id, n_links (documents linked directly).
 
-    1. Equal word sequences are one class, held by its least doc_id; only classes are compared.
+    1. Equal word sequences are one class with an id of its own; only classes are compared.
     2. Candidates: each class posts the shingles of its prefix (least hashes first). A class with a partner is sure to
        share a known number of them; the others, nearly all of a normal corpus, are done. Packed prefixes are all that
        is shuffled, and a shingle that is everywhere costs one entry per batch of texts.
@@ -140,20 +148,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Nulls: a null text has no words, its set is empty and it is linked with nothing; a null doc_id has a null
     component_id and is not linked. Texts without words link with nothing, not with each other. Repeated rows are links
-    of one another. An empty table gives an empty result.
+    of one another, rows of one id with different texts are documents of their own. An empty table gives an empty result.
     """
     about = frozen(describe(docs, doc_id, text, size))
-    classes = about.where("n_shingles > 0 and doc_id is not null").groupBy("key", "k1").agg(F.min("doc_id").alias("id"), F.count("*").alias("weight"), F.max("n_shingles").alias("size"))
-    classes = frozen(classes)
+    lead = [F.min("doc_id").alias("lead"), F.min_by("x", "doc_id").alias("x")]
+    classes = about.where("n_shingles > 0 and doc_id is not null").groupBy("key", "k1").agg(*lead, F.count("*").alias("weight"), F.max("n_shingles").alias("size"))
+    classes = frozen(classes.withColumn("id", F.monotonically_increasing_id()))
     total = about.agg(F.sum((F.col("n_shingles") * (100 - percent) / 100 + F.col("n_shingles") / 10 + 1).cast("bigint")).alias("s")).first()["s"] or 0
-    counted = frozen(candidates(docs, text, total, size, percent).groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    counted = frozen(candidates(docs, text, total, size, percent))
     smallest = F.ceil(F.col("size") * percent / 100)
     sure = F.greatest(F.lit(1), F.floor(smallest / 10))
     shared = counted.where("kind = 0").select(F.col("key").alias("k1"), F.col("n").alias("shared"))
-    chosen = classes.join(shared, "k1").where(F.col("shared") >= sure).select("id", "key", "weight")
+    chosen = classes.join(shared, "k1").where(F.col("shared") >= sure).select("id", "lead", "x", "key", "weight")
     frequent = np.sort(np.array([r["key"] for r in counted.where("kind = 1").select("key").collect()], np.int64).view(np.uint64))  # at most 1 / FREQUENT
 
-    given = docs.select(docs[doc_id].cast("bigint").alias("id"), docs[text].cast("binary").alias("t"))
+    given = docs.select(docs[doc_id].cast("bigint").alias("lead"), docs[text].cast("binary").alias("t")).withColumn("x", F.xxhash64("t"))
 
     def make():
         def step(texts):
@@ -163,12 +172,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
         return step
 
-    # one text of each class; the join has dealt the rows out by id, so this shuffles nothing
+    # one text of each class; the join has dealt the rows out by its columns, so this shuffles nothing
     sequence = F.unhex(F.md5(F.concat_ws(" ", words(lower_ascii(F.col("t").cast("string"))))))
-    taken = given.join(chosen, "id").where(sequence == F.col("key")).dropDuplicates(["id"])
+    taken = given.join(chosen, ["lead", "x"]).where(sequence == F.col("key")).dropDuplicates(["lead", "x", "id"])
     sets = frozen(map_arrow(taken, {"t": F.col("t")}, "size bigint, elements binary, often array<bigint>", make, keep=["id", "weight"]).select("row.id", "row.weight", "size", "elements", "often"))
     linked = linking.link(sets.drop("often"), rare_first(sets, frequent, percent), percent)
-    known = classes.join(linked, "id", "left").select("key", F.coalesce("root", "id").alias("component_id"), "weight", F.coalesce("n_links", F.lit(0)).alias("n"))
+    member = classes.join(linked, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    least = member.groupBy("root").agg(F.min("lead").alias("component_id"))
+    known = member.join(least, "root").select("key", "component_id", "weight", F.coalesce("n_links", F.lit(0)).alias("n"))
     out = about.join(known, "key", "left")
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
     return out.select(

@@ -127,7 +127,7 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
 
     # copies of a class post alike, so its number of band entries is bounded by classes, not paragraphs
     total = (classes.count() or 0) * bands
-    shared = linking.shared_keys(given.select("t"), post, total, 1 << 62).where("kind = 0").select(F.col("key").alias("k1")).distinct()
+    shared = linking.shared_keys(given.select("t"), post, total, 1 << 62).where("kind = 0").select(F.col("key").alias("k1"))
     wanted = classes.join(shared, "k1", "left_semi").select("lead.dk", F.struct(F.col("lead.pos").alias("pos"), "id", "weight").alias("p"))
     # paragraphs of one document only: as many as it has lines
     wanted = wanted.groupBy("dk").agg(F.collect_list("p").alias("ps"))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from bundlewise.llm import linking, ngram_join, paragraphs
@@ -85,6 +86,48 @@ def test_join_of_odd_rows(spark):
     assert ngram_join.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_join_where_ids_have_several_texts(spark):
+    # every row is a document: a link must not hang on which row of an id is met first
+    rng = random.Random(23)
+    texts = near_texts(rng, 90)
+    ids = [rng.randrange(12) for _ in texts]
+    sizes, root, n_links = brute_join(texts)
+    least = {r: min(i for i, x in zip(ids, root) if x == r) for r in root}
+    want = sorted(zip(ids, sizes, [least[r] for r in root], n_links))
+    got = ngram_join.near_duplicates(docs(spark, texts, ids=ids).repartition(4)).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in got) == want
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_what_buckets_find_is_summed_by_destination(seed):
+    rng = random.Random(seed)
+    posted = [[(rng.randrange(40), np.unique(np.array([rng.randrange(300) << 55 for _ in range(rng.randrange(12))], np.uint64))) for _ in range(15)] for _ in range(4)]
+    own = {}
+    for batch in posted:
+        for k, s in batch:
+            own.setdefault(k, s)  # an owner posts the same hashes wherever it is met
+    posted = [[(k, own[k]) for k, _ in batch] for batch in posted]
+    buckets, dests, least = rng.choice([1, 7]), rng.choice([1, 5]), 2
+    by_bucket = {}
+    for batch in posted:
+        for row in linking._bucket_rows(batch, buckets).to_pylist():
+            by_bucket.setdefault(row["bucket"], []).append(row)
+    by_dest = {}
+    for rows in by_bucket.values():
+        found = linking._count_bucket(pa.Table.from_pylist(rows, pa.schema(linking._BUCKET_COLUMNS)), least, dests).to_pylist()
+        assert len(found) <= dests
+        for row in found:
+            by_dest.setdefault(row["dest"], []).append(row)
+    got = [x for rows in by_dest.values() for x in linking._sum_destination(pa.Table.from_pylist(rows, pa.schema(linking._COUNTED))).to_pylist()]
+    every = [h for k in own for h in own[k].tolist()]
+    several = {h for h in every if every.count(h) > 1}
+    counts = {x["key"]: x["n"] for x in got if x["kind"] == 0}
+    assert len(counts) == sum(x["kind"] == 0 for x in got)
+    for k, s in own.items():
+        assert counts.get(k, 0) >= len(several & set(s.tolist()))  # more only where a text occurs in several batches
+    assert several <= {x["key"] % 2**64 for x in got if x["kind"] == 1}
+
+
 def test_prefixes_are_long_enough():
     for n in range(1, 400):
         for m in range(-(-n * 4 // 5), n * 5 // 4 + 1):
