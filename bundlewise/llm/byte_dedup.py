@@ -26,6 +26,8 @@ LENGTH = 400
 BUCKET, SHARD = 100_000, 8_000
 #: An anchor with more distinct surroundings is too much for one shard; its windows are counted by hash instead.
 MOST_CLASSES = 20_000
+#: Tasks the shards are dealt over, at most; beyond it a task takes several shards in turn.
+MOST_TASKS = 20_000
 
 
 def inner_size(length: int) -> int:
@@ -245,6 +247,8 @@ def find_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", leng
     shards = int(max(-(-asked.count() // shard), 1))
     around = frozen(around)
     near = around.where(F.col("n") <= most_classes).withColumn("shard", F.pmod(F.xxhash64("a"), F.lit(shards)))
+    # a shard is work for a task, few bytes though it has
+    near = near.repartition(min(shards, MOST_TASKS), "shard")
     spans = near.groupBy("shard").applyInArrow(lambda t: _shard(t, length), "dk binary, lo array<bigint>, hi array<bigint>")
     wide = around.where(F.col("n") > most_classes)
     if not wide.isEmpty():
@@ -344,4 +348,5 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(
         "row.doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("bigint").alias("n_removed"),
         F.floor(F.size("spans") / 2).cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("text"),
     )

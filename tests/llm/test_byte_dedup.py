@@ -95,3 +95,17 @@ def test_odd_rows(spark):
     long = "".join(chr(97 + k * k % 23) for k in range(900)) + "z" * 50
     twice = byte_dedup.remove_repeated_bytes(docs(spark, [long, long, "other"], ids=[None, None, 1])).collect()
     assert sorted(len(r["kept"]) for r in twice) == [0, 0, 5]
+
+
+def test_the_query_shows_the_text_it_hashes(spark):
+    import hashlib
+
+    rows = byte_dedup.op9_suffix_array_dedup(spark, SF).collect()
+    given = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    spans = dict(enumerate(brute([given[k].decode() for k in sorted(given)], 400)))
+    for k, r in zip(sorted(given), sorted(rows, key=lambda r: r["doc_id"])):
+        kept, at = spans[sorted(given).index(k)]
+        assert (r["n_removed"], r["n_spans"]) == (len(given[k]) - len(kept), len(at) // 2)
+        assert r["kept_sha256"] == hashlib.sha256(kept).hexdigest()
+        if not at:
+            assert r["text"].encode() == kept
