@@ -20,6 +20,7 @@ TAG = re.compile(
 )
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|itemprop|aria-hidden|aria-label)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 SPACES = re.compile(r"\s+")
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 RAW = {"script", "style", "noscript", "template", "iframe", "svg", "textarea", "title", "noframes", "math", "canvas", "object"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = set(
@@ -44,24 +45,40 @@ PLAIN_WORDS = set(
     "section area container inner form button buttons btn icon icons text title unit slot region group post posts entry article articles "
     "stories policy message".split()
 )
+#: What follows the name of such a list where it names the list itself, whatever comes after.
+LIST_PARTS = {"area", "list", "thread", "section", "feed", "container", "block"}
+#: First and last words of a token that say something of the page, not what the element is.
+STATE_FIRST = set("has have no not with without is allow allows enable show hide category tag type format status".split())
+STATE_LAST = set("open closed wrap enabled disabled off on allowed count number effects".split())
 #: Classes of an element that holds the columns of a page, its own side column beside the text.
 LAYOUTS = {"layout", "wrap", "wrapper"}
 MAIN = {"article", "main"}
 MAIN_ROLES = {"main", "article"}
 
 
+def names_list(parts: list[str]) -> bool:
+    if not parts or parts[0] in STATE_FIRST or parts[-1] in STATE_LAST:
+        return False
+    return parts[-1] in LIST_WORDS or (parts[0] in LIST_WORDS and len(parts) > 1 and parts[1] in LIST_PARTS)
+
+
 def chrome_of(value: str, inside: bool) -> int:
     """What a class or id says: 0 no boilerplate, 1 boilerplate, 2 a list whose articles are its items.
 
-    A token counts as a whole: each of its parts must be a word for boilerplate or a plain one. `inside` an article, and
-    in names of its parts, a header holds the heading.
+    A token counts as a whole: each of its parts must be a word for boilerplate or a plain one. Only lists (of comments,
+    say) are named by the last word, whatever stands before it, or by the first and a word for a list. `inside` an
+    article, and in names of its parts, a header holds the heading.
     """
-    tokens = value.lower().split()
+    tokens = CAMEL.sub("-", value).lower().split()
     if LAYOUTS & set(tokens):
         return 0
     found = 0
     for token in tokens:
-        parts = {x for x in re.split(r"[_-]+", token) if x and not re.fullmatch(r"\d+(x\d+)?", x)}
+        named = [x for x in re.split(r"[_-]+", token) if x and not re.fullmatch(r"\d+(x\d+)?", x)]
+        if names_list(named):
+            found = 2
+            continue
+        parts = set(named)
         said = parts & (CHROME_WORDS | LIST_WORDS)
         if parts - said - PLAIN_WORDS:
             continue
@@ -161,6 +178,7 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
                     own_chrome = 2
                 elif key == "itemprop":
                     marked = marked or value.lower() == "articlebody"
+                    own_chrome = 2 if value.lower() in ("comment", "comments") else own_chrome
         own_main = own_main or marked
         if name in MAIN:
             # its own class marks no article, but one that says what its container says is no main text there

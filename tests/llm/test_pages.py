@@ -109,3 +109,28 @@ def test_pages_of_one_path_find_a_partner(spark, parts):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert all(got[i] == f"story {i}" for i in range(9)) and all(got[100 + i] == f"capture {i}" for i in range(30))
     assert got[200] == "next" and got[300] == got[301] == "x"
+
+
+COMMENT_LISTS = (
+    "reader-comments user-comments wp-block-comments disqus_thread comments-area comment-list commentlist fb-comments post-comments "
+    "article__comments readerComments comments-section comment-thread story-related entry-replies comments_area_outer my-comments-2 "
+    "site-recommended comment-respond user_reply"
+)
+
+
+@pytest.mark.parametrize("name", COMMENT_LISTS.split())
+def test_reader_comments_go_by_whatever_name(name):
+    for html in (f'<article><p>a</p></article><section class="{name}"><p>no</p></section>', f'<article><p>a</p><div id="{name}"><article>no</article></div></article>'):
+        assert pages.main_text(pages.blocks(html), set()) == "a"
+    assert pages.main_text(pages.blocks('<article><p>a</p><div itemprop="comment"><p>no</p></div></article>'), set()) == "a"
+
+
+NO_LISTS = (
+    "has-comments no-comments with-related category-recommended tag-trending comments-open comments-closed allow-comments "
+    "commentary comments-count type-reply related-work comment-on-law trending-now-style not-trending"
+)
+
+
+@pytest.mark.parametrize("name", NO_LISTS.split())
+def test_what_only_mentions_comments_stays(name):
+    assert pages.main_text(pages.blocks(f'<article class="{name}"><p>a</p><div class="{name}"><p>b</p></div></article>'), set()) == "a\nb"
