@@ -197,9 +197,12 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         F.sort_array(F.collect_list(F.when(~F.col("keep"), F.col("pos")))).alias("gone"),
         F.sort_array(F.collect_set(F.when(~F.col("keep"), F.col("keeper")))).alias("from"), F.count("*").alias("n"),
     )
-    row = F.struct(*[docs[c] for c in (docs.columns if keep is None else keep)]).alias("row")
+    columns = docs.columns if keep is None else keep
+    row = F.struct(*[docs[c] for c in columns]).alias("row")
     key = doc_key(docs[doc_id], docs[text])
-    joined = docs.select(row, key.alias("dk"), docs[text].alias("t")).join(by_doc, "dk", "left")
+    # a row that holds the text is shuffled with it, once
+    beside = [] if text in columns else [docs[text].alias("t")]
+    joined = docs.select(row, key.alias("dk"), *beside).join(by_doc, "dk", "left")
     if repeated_passages:
         given = docs.select(key.alias("dk"), passages.order_of(docs[doc_id], key).alias("ord"), docs[text].cast("binary").alias("t"))
         elsewhere = passages.foreign_windows(given.where("t is not null"))
@@ -229,7 +232,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
         return step
 
-    inputs = {"t": F.col("t"), "g": F.col("gone"), "e": F.col("elsewhere")}
+    inputs = {"t": F.col("t") if beside else F.col("row").getField(text), "g": F.col("gone"), "e": F.col("elsewhere")}
     done = map_arrow(joined, inputs, "text string, n_paragraphs bigint, n_words bigint", make, keep=["row", "gone", "from", "n"])
     none = lambda c, kind: F.coalesce(F.col(c), F.expr(f"cast(array() as array<{kind}>)"))
     return done.select(
