@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bundlewise.llm import linking, passages
-from bundlewise.llm.common import frozen, map_arrow, table
+from bundlewise.llm.common import map_arrow, stored, table
 from bundlewise.llm.shingles import key_of, mix, shingle_sets, words_of
 
 SIZE, PERCENT = 5, 80
@@ -115,10 +115,10 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
             kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "dk", "pos", "k1", "k2", "at"])
 
-    every = frozen(given.mapInArrow(split, "doc_id bigint, dk binary, pos int, k1 bigint, k2 bigint, at array<int>"))
+    every = stored(given.mapInArrow(split, "doc_id bigint, dk binary, pos int, k1 bigint, k2 bigint, at array<int>"))
     lines, short = every.where("at is null").drop("at"), every.where("at is not null")
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "dk", "pos")
-    classes = frozen(lines.groupBy("k1", "k2").agg(F.min(place).alias("lead"), F.count("*").alias("weight")).withColumn("id", F.monotonically_increasing_id()))
+    classes = stored(lines.groupBy("k1", "k2").agg(F.min(place).alias("lead"), F.count("*").alias("weight")).withColumn("id", F.monotonically_increasing_id()))
 
     def post(texts: list[bytes | None]):
         w = [x for t in texts for _, x in paragraphs_of(t, min_words)]
@@ -150,7 +150,7 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
             )
 
     found = given.select("dk", "t").join(wanted, "dk").select("t", "ps").mapInArrow(sets_of, "id bigint, weight bigint, size bigint, elements binary, lead array<bigint>")
-    sets = frozen(found.dropDuplicates(["id"]))
+    sets = stored(found.dropDuplicates(["id"]))
     linked = linking.link(sets.drop("lead"), sets.select(F.explode("lead").alias("h"), "id"), percent)
     member = classes.join(linked.select("id", "root"), "id", "left").withColumn("cluster", F.coalesce("root", "id"))
     several = member.groupBy("cluster").agg(F.min("lead").alias("keeper"), F.sum("weight").alias("n")).where("n > 1").drop("n")
@@ -204,9 +204,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     beside = [] if text in columns else [docs[text].alias("t")]
     joined = docs.select(row, key.alias("dk"), *beside).join(by_doc, "dk", "left")
     if repeated_passages:
-        given = docs.select(key.alias("dk"), passages.order_of(docs[doc_id], key).alias("ord"), docs[text].cast("binary").alias("t"))
+        given = docs.select(key.alias("dk"), *passages.order_of(docs[doc_id], key), docs[text].cast("binary").alias("t"))
         elsewhere = passages.foreign_windows(given.where("t is not null"))
-        known = given.select("dk", "ord").dropDuplicates(["dk"]).join(elsewhere, "ord").select("dk", "elsewhere")
+        known = given.select("dk", "d", "h").dropDuplicates(["dk"]).join(elsewhere, ["d", "h"]).select("dk", "elsewhere")
         joined = joined.join(known, "dk", "left")
     else:
         joined = joined.withColumn("elsewhere", F.lit(None).cast("array<bigint>"))

@@ -13,11 +13,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bundlewise.llm.linking import BUCKET, destinations
 from bundlewise.llm.shingles import Rolling, mix, words_of
 
 WINDOW, SPREAD = 25, 20
 _LATE = 9223372036854775807
-_ROOM = 1 << 60
+#: Bytes of text for each taken window, about, which sets the number of buckets; windows a task gathers before it deals them.
+BYTES_A_WINDOW, GATHER = 60, 1 << 19
 _SECOND = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
@@ -61,36 +63,111 @@ def windows(words: list[bytes], window: int = WINDOW, spread: int = SPREAD, both
     return at, hashes[at].view(np.int64), _Other(joined).spans(starts[at], ends[at]).view(np.int64) if both else None
 
 
-def order_of(doc_id: Column, dk: Column) -> Column:
-    """A number per document: by id, null last, then by its identity `dk`."""
-    number = F.coalesce(doc_id.cast("bigint"), F.lit(_LATE)).cast("decimal(19,0)") * F.lit(_ROOM).cast("decimal(19,0)")
-    return (number + F.pmod(F.xxhash64(dk), F.lit(_ROOM)).cast("decimal(19,0)")).cast("decimal(38,0)")
+def order_of(doc_id: Column, dk: Column) -> list[Column]:
+    """Two numbers that order the documents: `d`, the id, null last, and `h`, from its identity `dk`."""
+    return [F.coalesce(doc_id.cast("bigint"), F.lit(_LATE)).alias("d"), F.xxhash64(dk).alias("h")]
+
+
+_POSTED = [("bucket", pa.int32()), *[(c, pa.binary()) for c in ("k1", "k2", "d", "h", "own")]]
+_POSTED_DDL = "bucket int, k1 binary, k2 binary, d binary, h binary, own binary"
+_FOUND = [("dest", pa.int32()), *[(c, pa.binary()) for c in ("d", "h", "k1")]]
+_FOUND_DDL = "dest int, d binary, h binary, k1 binary"
+
+
+def _led(k1: np.ndarray, k2: np.ndarray, d: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by key, then document, and which places in it hold a key whose first document is another one."""
+    order = np.lexsort((h, d, k2, k1))
+    k1, k2, d, h = k1[order], k2[order], d[order], h[order]
+    if not len(order):
+        return order, np.zeros(0, bool)
+    first = np.concatenate(([True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])))
+    lead = np.flatnonzero(first)[np.cumsum(first) - 1]
+    return order, (d != d[lead]) | (h != h[lead])
+
+
+def _packed(parts: np.ndarray, n: int, columns: list[np.ndarray]) -> dict[int, list[bytes]]:
+    """The columns' values by part (0 to n - 1), as bytes."""
+    order = np.argsort(parts, kind="stable")
+    columns = [c[order] for c in columns]
+    edge = np.searchsorted(parts[order], np.arange(n + 1)).tolist() if len(parts) else [0] * (n + 1)
+    return {p: [c[edge[p] : edge[p + 1]].tobytes() for c in columns] for p in np.unique(parts).tolist()}
+
+
+def _scaled(x: np.ndarray, n: int) -> np.ndarray:
+    """Hashes as parts 0 to n - 1."""
+    return ((x.view(np.uint64) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
+def _post(k1: np.ndarray, k2: np.ndarray, d: np.ndarray, h: np.ndarray, buckets: int) -> pa.Table:
+    """Window keys by bucket. Of a key that several documents here have, all but the first know already that it is
+    another's: these go out as found (own = 0), spread by document, so that a busy window costs its bucket one entry."""
+    order, found = _led(k1, k2, d, h)
+    k1, k2, d, h = k1[order], k2[order], d[order], h[order]
+    # a document met twice posts once
+    new = np.concatenate(([True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]) | (d[1:] != d[:-1]) | (h[1:] != h[:-1]))) if len(k1) else np.zeros(0, bool)
+    k1, k2, d, h, found = k1[new], k2[new], d[new], h[new], found[new]
+    at = np.where(found, _scaled(mix(h.view(np.uint64) ^ k1.view(np.uint64)), buckets), _scaled(mix(k1.view(np.uint64)), buckets))
+    rows = _packed(at, buckets, [k1, k2, d, h, (~found).astype(np.int8)])
+    columns = [list(rows), *[[x[c] for x in rows.values()] for c in range(5)]]
+    return pa.table({c: pa.array(x, t) for x, (c, t) in zip(columns, _POSTED)})
+
+
+def _flat(rows: pa.Table, c: str, kind=np.int64) -> np.ndarray:
+    return np.frombuffer(b"".join(x.as_py() for x in rows.column(c)), kind)
+
+
+def _meet(rows: pa.Table, dests: int) -> pa.Table:
+    """(dest, d, h, k1), packed: documents and those of their keys that an earlier document has."""
+    k1, k2, d, h, own = (*[_flat(rows, c) for c in ("k1", "k2", "d", "h")], _flat(rows, "own", np.int8).astype(bool))
+    order, met = _led(k1[own], k2[own], d[own], h[own])
+    d, h, k1 = (np.concatenate([x[own][order][met], x[~own]]) for x in (d, h, k1))
+    made = _packed(_scaled(mix(h.view(np.uint64) ^ mix(d.view(np.uint64))), dests), dests, [d, h, k1])
+    columns = [list(made), *[[x[c] for x in made.values()] for c in range(3)]]
+    return pa.table({c: pa.array(x, t) for x, (c, t) in zip(columns, _FOUND)})
+
+
+def _by_document(rows: pa.Table) -> pa.Table:
+    d, h, k1 = (_flat(rows, c) for c in ("d", "h", "k1"))
+    order = np.lexsort((k1, h, d))
+    d, h, k1 = d[order], h[order], k1[order]
+    other = (d[1:] != d[:-1]) | (h[1:] != h[:-1])
+    new = np.concatenate(([True], other | (k1[1:] != k1[:-1])))
+    first = np.flatnonzero(np.concatenate(([True], other))[new])
+    d, h, k1 = d[new], h[new], k1[new]
+    keys = pa.ListArray.from_arrays(pa.array(np.append(first, len(k1)), pa.int32()), pa.array(k1, pa.int64()))
+    return pa.table({"d": d[first], "h": h[first], "elsewhere": keys})
 
 
 def foreign_windows(given: DataFrame, text: str = "t", window: int = WINDOW, spread: int = SPREAD) -> DataFrame:
-    """(ord, elsewhere): for each document number the first key halves of its windows that an earlier document has.
+    """(d, h, elsewhere): for each document the distinct first key halves of its windows that an earlier document has.
 
-    `given` has `ord` and a binary text. A window is kept by the least document number; minima are combined before the
-    shuffle, so a passage that everybody has is one row of each task, and the join on a busy window may be split.
+    `given` has the numbers of `order_of` and a binary text. A window belongs to the first document in that order. Keys and
+    documents travel packed, 32 bytes a window, to buckets of keys; what is found there goes packed to ranges of documents.
     """
+    size = given.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    parallel = given.sparkSession.sparkContext.defaultParallelism * 2
+    total = size // BYTES_A_WINDOW
+    buckets = max(min(-(-total // BUCKET), 1 << 20), parallel)
+    dests = destinations(total, parallel)
 
     def post(batches):
+        held: list[tuple[np.ndarray, ...]] = []
+        n = 0
         for batch in batches:
-            first, second, sizes = [], [], [0]
-            for t in batch.column("t").to_pylist():
+            for d, h, t in zip(*[batch.column(c).to_pylist() for c in ("d", "h", "t")]):
                 _, k1, k2 = windows(words_of(t), window, spread)
-                _, once = np.unique(k1, return_index=True)
-                first.append(k1[once])
-                second.append(k2[once])
-                sizes.append(sizes[-1] + len(once))
-            flat = pa.StructArray.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (first, second)], ["k1", "k2"])
-            yield pa.RecordBatch.from_arrays([batch.column("ord"), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat)], names=["ord", "keys"])
-
-    posted = given.select("ord", F.col(text).alias("t")).mapInArrow(post, "ord decimal(38,0), keys array<struct<k1: bigint, k2: bigint>>")
-    posted = posted.select("ord", F.inline("keys"))
-    several = posted.groupBy("k1", "k2").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("first < last").drop("last")
-    met = posted.join(several, ["k1", "k2"]).where("ord > first")
-    return met.groupBy("ord").agg(F.collect_set("k1").alias("elsewhere"))
+                if len(k1):
+                    held.append((k1, k2, np.full(len(k1), d, np.int64), np.full(len(k1), h, np.int64)))
+                    n += len(k1)
+                if n >= GATHER:
+                    yield from _post(*[np.concatenate(x) for x in zip(*held)], buckets).to_batches()
+                    held, n = [], 0
+        if held:
+            yield from _post(*[np.concatenate(x) for x in zip(*held)], buckets).to_batches()
+
+    posted = given.select("d", "h", F.col(text).alias("t")).mapInArrow(post, _POSTED_DDL)
+    met = posted.groupBy("bucket").applyInArrow(lambda t: _meet(t, dests), _FOUND_DDL)
+    return met.groupBy("dest").applyInArrow(_by_document, "d bigint, h bigint, elsewhere array<bigint>")
 
 
 def repeated_words(words: list[bytes], elsewhere: set[int], window: int = WINDOW, spread: int = SPREAD) -> np.ndarray | None:
