@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bundlewise.llm.common import frozen, table
+from bundlewise.llm.common import frozen, stored, table
 
 SHARDS = 40
 #: Cells per dimension are 2**BITS; the cuts between them are quantiles.
@@ -17,25 +17,47 @@ BITS = 4
 ROW_BYTES = 16
 
 
+def is_text(kind: str) -> bool:
+    return kind in ("string", "binary") or kind.startswith(("varchar", "char"))
+
+
 def ordinal(value: Column, kind: str) -> Column:
-    """A number that keeps the order of a value; strings by their first seven bytes, null first."""
-    if kind in ("string", "binary") or kind.startswith(("varchar", "char")):
-        digits = F.rpad(F.hex(F.substring(value.cast("binary"), 1, 7)), 14, "0")
-        return F.coalesce(F.conv(digits, 16, 10).cast("double"), F.lit(-1.0))
+    """A value that keeps its order in a comparison with cuts: strings stay as they are, all else is a number, null first."""
+    if is_text(kind):
+        return value.cast("binary")
     if kind in ("date", "timestamp", "timestamp_ntz"):
         value = F.unix_micros(value.cast("timestamp"))
     return F.coalesce(value.cast("double"), F.lit(-1.7e308))
 
 
-def cuts(df: DataFrame, columns: list[str], bits: int) -> list[list[float]]:
+def number_cuts(df: DataFrame, columns: list[str], bits: int) -> dict[str, list[float]]:
     """Quantiles of each column that cut it into at most 2**bits cells; one row of sketches reaches the driver."""
     shares = [k / 2**bits for k in range(1, 2**bits)]
     row = df.agg(*[F.percentile_approx(c, shares, 10_000).alias(c) for c in columns]).first()
-    return [sorted(set(row[c] or [])) for c in columns]
+    return {c: sorted(set(row[c] or [])) for c in columns}
+
+
+def text_cuts(df: DataFrame, column: str, bits: int) -> list[bytes]:
+    """The same for whole strings: the distinct values at the quantiles of the rows, null counted below all.
+
+    Distinct values are counted, dealt out in sorted ranges and given the rows up to them: a running sum within a range,
+    and the sum of earlier ranges from one small row per range. So values that begin alike are told apart, however long.
+    """
+    counted = df.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
+    ranges = frozen(counted.repartitionByRange("v").withColumn("_id", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_id", 33))
+    sizes = ranges.groupBy("_part").agg(F.sum("n").alias("_n"))
+    total = sizes.agg(F.sum("_n")).first()[0] or 0
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))  # a row per range
+    upto = F.col("_start") + F.sum("n").over(Window.partitionBy("_part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    reached = ranges.join(F.broadcast(starts), "_part").select("v", upto.alias("upto"))
+    shares = [-(-total * k // 2**bits) for k in range(1, 2**bits)]
+    row = reached.agg(*[F.min(F.when(F.col("upto") >= least, F.coalesce("v", F.lit(b"")))).alias(f"c{k}") for k, least in enumerate(shares)]).first()
+    return sorted({bytes(x) for x in row if x is not None})
 
 
-def cell(value: Column, at: list[float]) -> Column:
-    """How many cuts lie below a value."""
+def cell(value: Column, at: list) -> Column:
+    """How many cuts lie below a value; none below null."""
     return F.size(F.filter(F.array(*[F.lit(x) for x in at]), lambda c: c < value)) if at else F.lit(0)
 
 
@@ -114,9 +136,11 @@ def assign(docs: DataFrame, dimensions: list[str], text: str = "text", doc_id: s
     )
     names = [f"d{k}" for k in range(len(dimensions))]
     lead = narrow.groupBy("g").agg(F.min(F.struct(*names)).alias("m"), F.first("size").cast("double").alias("bytes"), F.count("*").alias("n"))
-    lead = lead.select("g", *[F.col(f"m.{c}").alias(c) for c in names], "bytes")
-    edges = cuts(lead, [*names, "bytes"], bits)
-    place = hilbert_index([cell(F.col(c), e) for c, e in zip([*names, "bytes"], edges)], bits)
+    # read for the cuts of each dimension and for the places
+    lead = stored(lead.select("g", *[F.col(f"m.{c}").alias(c) for c in names], "bytes"))
+    texts = [c for c, d in zip(names, dimensions) if is_text(kinds[d])]
+    edges = number_cuts(lead, [c for c in [*names, "bytes"] if c not in texts], bits) | {c: text_cuts(lead, c, bits) for c in texts}
+    place = hilbert_index([cell(F.col(c), edges[c]) for c in [*names, "bytes"]], bits)
     keyed = narrow.drop(*names).join(lead.select("g", place.alias("hilbert")), "g")
     rows, n = ranked(keyed, ["hilbert", "g", "doc_id"])
     low, extra = divmod(n, shards)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from bundlewise.llm import byte_bpe, decontaminate, quality, sharding
 
-from .helpers import SF, crowded, docs, odd_texts
+from .helpers import DOC, SF, crowded, docs, odd_texts
 
 LETTERS = "[^\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 
@@ -202,6 +202,26 @@ def test_shards_are_equal_runs(spark, n):
     assert sum(a != b for a, b in zip(order, order[1:])) == max(len(set(order)) - 1, 0)
 
 
+@pytest.mark.parametrize("n", [0, 1, 7, 300])
+def test_string_cuts_are_values_at_quantiles(spark, n):
+    rng = random.Random(n)
+    # a third of the rows hold one value, some none; all begin alike, some are long
+    values = [rng.choice(["https://hot", None, f"https://{rng.randrange(40):03d}", "https://" + "y" * 5_000 + str(rng.randrange(3))]) for _ in range(n)]
+    df = spark.createDataFrame([(v,) for v in values], "v string").select(F.col("v").cast("binary").alias("v")).repartition(5)
+    order = sorted((v or "").encode() for v in values)
+    want = {order[-(-n * k // 8) - 1] for k in range(1, 8)} if n else set()
+    assert sharding.text_cuts(df, "v", 3) == sorted(want)
+
+
+def test_sources_that_begin_alike_are_told_apart(spark):
+    long = "word " * 200_000
+    rows = [(i, f"text {i}" if i else long, "en", f"common_crawl_{2000 + i % 16}", 0) for i in range(320)]
+    got = sharding.assign(spark.createDataFrame(rows, DOC).repartition(4), ["source"], shards=16).collect()
+    spread = {s: {r["doc_id"] % 16 for r in got if r["shard"] == s} for s in range(16)}
+    assert {r["doc_id"]: r["size"] for r in got}[0] == len(long) + 16
+    assert sum(map(len, spread.values())) < 16 * 6  # of 16 sources, few to a shard
+
+
 def test_files_prune_by_metadata(spark, tmp_path):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     placed = sharding.assign(df, ["lang", "source"], shards=8)
