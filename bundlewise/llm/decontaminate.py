@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bundlewise.llm.common import map_arrow, table
+from bundlewise.llm.common import map_arrow, stored, table
 
 WINDOW = 10
 #: Characters of item text in one automaton; larger benchmarks are scanned in blocks of about this size.
@@ -89,16 +91,14 @@ def _union(a: list[int], b: list[int]) -> list[int]:
     return out
 
 
-def item_blocks(items: DataFrame, item_id: str, text: str, block_chars: int) -> list[list[tuple[str, bytes]]]:
-    """The items in blocks of bounded size; each block is fetched by itself and holds about `block_chars`."""
+def item_blocks(items: DataFrame, item_id: str, text: str, block_chars: int) -> Iterator[tuple[bool, list[tuple[str, bytes]]]]:
+    """(whether another follows, items) of each block of about `block_chars`; a block is fetched when it is asked for."""
     given = items.select(items[item_id].cast("string").alias("i"), items[text].cast("binary").alias("t")).where("i is not null and t is not null")
     total = given.agg(F.sum(F.length("t")).alias("n")).first()["n"] or 0
     n = -(-total // block_chars) or 1
-    blocks = []
     for k in range(n):
         part = given.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) if n > 1 else given
-        blocks.append([(r["i"], bytes(r["t"])) for r in part.collect()])
-    return blocks
+        yield k < n - 1, [(r["i"], bytes(r["t"])) for r in part.collect()]
 
 
 def find_leaks(
@@ -109,14 +109,15 @@ def find_leaks(
 
     Result: `row` (the input row, or its columns in `keep`), `n_words`, `word_spans` and `byte_spans` (flat, half-open,
     merged), `items` (sorted ids). No shuffle: texts stream once past an automaton per block of items. One block suits
-    all but huge benchmarks; a block is the only thing broadcast, and its size is bounded by `block_chars`.
+    all but huge benchmarks; a block is the only thing broadcast, and its size is bounded by `block_chars`. With several
+    blocks what one has found is written to the shared folder before the next is fetched, so that driver and tasks hold
+    one block at a time, however large the benchmark is.
 
     Nulls: a null text has no words; a null item text or id gives no window. Empty text: no words. An empty items table
     marks nothing. Repeated rows are each marked; repeated items count once per distinct id.
     """
-    blocks = item_blocks(items, item_id, item_text, block_chars)
     out = None
-    for block in blocks:
+    for more, block in item_blocks(items, item_id, item_text, block_chars):
         carried = {"spans": "spans", "items": "items"} if out is not None else {}
 
         def make(block=block):
@@ -142,12 +143,13 @@ def find_leaks(
         schema = "n_words bigint, spans array<int>, items array<string>, places array<int>"
         if out is None:
             # the text travels beside the row only while blocks remain
-            more = len(blocks) > 1
             source = docs.select(F.struct(*[docs[c] for c in (docs.columns if keep is None else keep)]).alias("row"), docs[text].cast("binary").alias("t"))
             out = map_arrow(source, {"t0": source["t"]}, schema, make, keep=["row", "t"] if more else ["row"])
         else:
             out = map_arrow(out, {"t0": out["row.t"], **{k: out[v] for k, v in carried.items()}}, schema, make, keep=["row"])
             out = out.withColumn("row", F.col("row.row"))
+        if more:
+            out = stored(out)
     return out.select(F.col("row.row").alias("row"), "n_words", F.col("spans").alias("word_spans"), F.col("places").alias("byte_spans"), "items")
 
 
