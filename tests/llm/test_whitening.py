@@ -125,6 +125,20 @@ def test_small_values_keep_their_digits():
     assert math.isclose(float(sum(Fraction(float(x)) ** 2 for x in got)), float(trace), rel_tol=1e-13)
 
 
+@pytest.mark.parametrize("spread", [1e-4, 1e-6, 1e-10, 0.0], ids=str)
+def test_close_values_are_found(spread):
+    """Values that agree in many digits, with and without larger ones: transforms alone found none of them."""
+    rng = np.random.default_rng(7)
+    for large in ([], [5.0, 4.0, 3.0]):
+        s = np.sort(np.r_[large, 1.0 + spread * rng.standard_normal(64 - len(large))])[::-1]
+        u, w = (np.linalg.qr(rng.standard_normal((64, 64)))[0] for _ in range(2))
+        r = np.linalg.qr((u * s) @ w, mode="r")
+        squares, v = bidiagonal.principal(r, 16)
+        assert np.abs(squares / s**2 - 1).max() < 1e-13
+        y = (r @ v) / np.sqrt(squares[:16])
+        assert np.abs(y.T @ y - np.eye(16)).max() < 1e-10
+
+
 def test_query_covers_all_rows(spark):
     got = whitening.op12_embedding_whitening(spark, SF)
     rows = [(r["vec_id"], list(r["embedding"])) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
