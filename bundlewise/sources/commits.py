@@ -48,8 +48,14 @@ class CommittedTables:
     def path(self, table: str, run: str, attempt: str) -> str:
         return f"{self.root}/{table}/run={run}/attempt={attempt}"
 
-    def write(self, rows: DataFrame, table: str, run: str, attempt: str, by: str | None = None) -> None:
-        """Rows of one attempt, optionally in partitions; not visible before the commit."""
+    def write(self, rows: DataFrame, table: str, run: str, attempt: str, by: str | None = None, in_order: Mapping[str, str] | None = None) -> None:
+        """Rows of one attempt, optionally in partitions; not visible before the commit.
+
+        With `in_order`, writer options, they are written by the tasks that make them, see `stores.write_analyses`.
+        """
+        if in_order is not None:
+            rows.write.mode("overwrite").options(**in_order).partitionBy(*[by] if by else []).parquet(self.path(table, run, attempt))
+            return
         if by is None:
             rows.write.mode("overwrite").parquet(self.path(table, run, attempt))
             return

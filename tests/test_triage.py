@@ -209,3 +209,24 @@ def test_a_cluster_names_its_shared_folder(spark):
     named = _Cluster("hdfs:///shared")
     assert checkpoint_root(named) == "hdfs:///shared" == named.folder
     assert checkpoint_root(spark)
+
+
+def test_texts_of_a_job_pass_through_no_shuffle(spark, tmp_path):
+    """Text tables are written where the texts are made, compressed over long windows; a time per row keeps the old layout."""
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    from bundlewise.plans.triage import _one_time
+
+    rows = [(i, f"t{i % 7}", f"2026-05-06T10:00:{i % 60:02d}Z", "INFO", f"m{i}") for i in range(50)]
+    logs = spark.createDataFrame(rows, "seq bigint, trace_id string, timestamp string, level string, message string")
+    folder = str(tmp_path)
+    run_batch(logs, default_prompts(spark), stub_analyzer, f"{folder}/raw", f"{folder}/analyses", created_at=F.to_timestamp(F.lit("2026-05-06")))
+    files = list(Path(f"{folder}/analyses").rglob("*.parquet"))
+    assert files and {f.parent.name for f in files} == {"created_month=2026-05"}
+    for f in files:
+        group = pq.ParquetFile(f).metadata.row_group(0)
+        assert {group.column(i).compression for i in range(group.num_columns)} == {"ZSTD"}
+    assert read_analyses(spark, f"{folder}/analyses").select("trace_id").distinct().count() == 7
+    assert _one_time(spark, None) and _one_time(spark, F.current_timestamp()) and not _one_time(spark, F.col("at"))
