@@ -11,8 +11,8 @@ from bundlewise.sources.logs import decode, validate
 
 def decoded_stream(messages: DataFrame) -> DataFrame:
     """Messages with decoded fields, event time `ts`, ordinal `seq` and `reject_reason`."""
-    records = validate(decode(messages))
-    return records.withColumn("ts", parse_ts(F.col("timestamp"))).withColumn("seq", F.col("offset"))
+    records = decode(messages).withColumn("ts", parse_ts(F.col("timestamp")))
+    return validate(records, F.col("ts")).withColumn("seq", F.col("offset"))
 
 
 def accepted(decoded: DataFrame) -> DataFrame:

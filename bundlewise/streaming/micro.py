@@ -27,6 +27,7 @@ from bundlewise.operators.governance import MAX_BUNDLE_RETRIES
 from bundlewise.operators.hooks import Analyzer, analyze_bundles
 from bundlewise.operators.ordered import run_positions
 from bundlewise.operators.prompts import render_prompts
+from bundlewise.session import empty
 from bundlewise.sources.commits import Commit, CommittedTables
 from bundlewise.sources.files import remove
 from bundlewise.sources.logs import raw_log_rows
@@ -156,7 +157,7 @@ class StreamBundler:
 
     def _state(self, table: str, schema: str) -> DataFrame:
         if self._last is None or table not in self._last.tables:
-            return self.spark.createDataFrame([], schema)
+            return empty(self.spark, schema)
         return self.tables.read_attempt(schema, table, self._last.run, self._last.attempt)
 
     def _staged(self, rows: DataFrame, table: str, step: _Step, staged: list[str]) -> DataFrame:
@@ -172,7 +173,7 @@ class StreamBundler:
 
     def _store_logs(self, arrived: DataFrame, good: Column, late: Column, step: _Step) -> None:
         try:
-            self._write(raw_log_rows(arrived.where(good)), "raw_logs", step, "day")
+            self._write(raw_log_rows(arrived.where(good), F.col("ts")), "raw_logs", step, "day")
         except (PySparkException, Py4JJavaError):
             step.counters["raw_logs_failed"] = 1
             log.exception("raw logs of %s not saved; going on", step.run)
@@ -192,10 +193,7 @@ class StreamBundler:
         idle = F.lit(step.closing) if now is None or step.closing else F.lit(now) - F.element_at("items", -1)["at"] >= self.idle_us
         # a shorter bundle that another of its trace follows is idle by this rule too: the rows between are due
         reason = F.when(n >= self.batch_max, "batch_full").when(idle, "idle")
-        groups = self._staged(groups.select("trace_id", "items", reason.alias("reason")), "_groups", step, staged)
-        left = groups.where("reason is null").select("trace_id", F.inline("items")).select(*_names(CARRIED))
-        self._write(left.unionByName(rows.where(~due).select(*_names(CARRIED))), "_carried", step)
-        closed = groups.where("reason is not null").select(
+        groups = groups.select(
             F.concat(F.lit(f"{step.run}-"), F.monotonically_increasing_id().cast("string")).alias("bundle_id"),
             "trace_id",
             F.array_min("items.us").alias("first_us"),
@@ -203,11 +201,14 @@ class StreamBundler:
             F.col("items")[0]["seq"].alias("first_seq"),
             F.element_at("items", -1)["seq"].alias("last_seq"),
             F.size("items").cast("bigint").alias("n_logs"),
-            "reason",
+            reason.alias("reason"),
             F.array_join("items.line", "\n").alias("log_text"),
             "items",
         )
-        self._handle(closed, step, staged)
+        groups = self._staged(groups, "_groups", step, staged)
+        left = groups.where("reason is null").select("trace_id", F.inline("items")).select(*_names(CARRIED))
+        self._write(left.unionByName(rows.where(~due).select(*_names(CARRIED))), "_carried", step)
+        self._handle(groups.where("reason is not null"), step, staged)
 
     def _handle(self, closed: DataFrame, step: _Step, staged: list[str]) -> None:
         self._write(closed.drop("items"), "bundles", step)
@@ -255,8 +256,8 @@ class TriageStream(StreamBundler):
         self.created_at = F.current_timestamp() if created_at is None else created_at
 
     def _handle(self, closed: DataFrame, step: _Step, staged: list[str]) -> None:
+        # both sides are stored tables, so a bundle keeps its id however often it is read
         todo = closed.withColumn("retries", F.lit(0)).unionByName(self._state("_waiting", WAITING))
-        todo = self._staged(todo, "_todo", step, staged)
         asked, _ = render_prompts(todo.drop("items"), self.prompts, self.window_seconds, self.version)
         # written once: the analyzer is called once per bundle, whatever reads its answers
         answered = self._staged(analyze_bundles(asked, self.make_analyzer, pause=self.pause, parallelism=self.parallelism), "_answered", step, staged)

@@ -190,3 +190,17 @@ def test_an_empty_batch_is_committed(spark):
     target(_batch(spark, []), 0)
     target.drain()
     assert target.analyses().count() == 0 and target.tables.last("stream").batch_id == 0
+
+
+def test_a_bundle_is_staged_once_and_a_timestamp_parsed_once(spark, monkeypatch):
+    feed, staged = Feed(), []
+    stage = StreamBundler._staged
+    monkeypatch.setattr(StreamBundler, "_staged", lambda self, rows, table, *a: (staged.append(table), stage(self, rows, table, *a))[1])
+    target = _triage(spark, feed.folder, analyzer=stub_analyzer)
+    batch = _batch(spark, [_message(i, f"t{i % 2}", BASE + i * SECOND) for i in range(5)])
+    target(batch, 0)
+    assert staged == ["_arrived", "_groups", "_answered"]
+    target.drain()
+    assert sorted((r.trace_id, r.log_text.count("\n") + 1) for r in target.analyses().collect()) == [("t0", 1), ("t0", 2), ("t1", 2)]
+    # the shape check of the usual form stands in the plan once
+    assert batch._jdf.queryExecution().optimizedPlan().toString().count(r"^\d{4}-\d{2}-\d{2}([T ]") == 1

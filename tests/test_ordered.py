@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from bundlewise.operators import ordered
 from bundlewise.operators.ordered import DAY, HOUR, MINUTE, SECOND, WHOLE, Cells, choose_cells, run_positions, running_sums
 
 LAYOUTS = [Cells(DAY), Cells(HOUR), Cells(MINUTE), Cells(SECOND), Cells(1, 4)]
@@ -96,3 +97,20 @@ def test_small_keys_are_one_cell_with_the_same_results(spark, keys):
         a, b = make(whole), make(cut)
         assert a.dtypes == b.dtypes and a.count() == 300
         assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
+def test_grouping_runs_of_whole_keys_needs_no_second_shuffle(spark):
+    df = spark.createDataFrame([(k, us, us) for k in ("a", None) for us in (0, 5, 20)], "k string, us bigint, seq bigint")
+    placed = run_positions(df, ["k"], gap_us=10, cells=Cells(WHOLE))
+    runs = placed.groupBy("k", "run_id").agg(F.count("*").alias("n"))
+    plan = runs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert sorted((str(r.k), r.run_id, r.n) for r in runs.collect()) == [("None", 1, 2), ("None", 2, 1), ("a", 1, 2), ("a", 2, 1)]
+
+
+def test_small_keys_are_settled_by_the_rows_per_key(spark, monkeypatch):
+    df = spark.createDataFrame([(k, us) for k in "ab" for us in (0, 5 * DAY, None)], "k string, us bigint")
+    monkeypatch.setattr(ordered, "_counts", None)  # counts per day and second are not needed
+    assert choose_cells(df, ["k"], whole=3) == Cells(WHOLE, 0, 6)
+    with pytest.raises(TypeError):
+        choose_cells(df, ["k"], whole=2)
