@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -187,13 +187,14 @@ def families(postings: DataFrame) -> DataFrame:
     return components(postings.join(lead, "h").where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct())
 
 
-def search(sets: list[np.ndarray], side: np.ndarray | None = None, percent: int = 80) -> list[tuple[int, np.ndarray]]:
+def search(sets: list[np.ndarray], side: np.ndarray | None = None, percent: int = 80) -> Iterator[tuple[int, np.ndarray]]:
     """Pairs of sets with 100 * intersection >= percent * union, as (i, partners after i); by T-occurrence search.
 
     With `side`, which splits the sets in two, only pairs across are wanted. Sets are taken by size: the partners
     of one set are no smaller than it and have at least T elements in common with it. Of its inverted lists the L longest
     are set aside. The short ones are merged, and only sets that occur T - L times in them can reach T; the long lists are
-    probed for those by binary search (DivideSkip).
+    probed for those by binary search (DivideSkip). Partners are handed over set by set, as all pairs of a large family
+    are too many to hold.
     """
     n = len(sets)
     size = np.fromiter(map(len, sets), np.int64, n)
@@ -208,7 +209,6 @@ def search(sets: list[np.ndarray], side: np.ndarray | None = None, percent: int
     posting = owner[by]
     bounds = np.concatenate(([0], np.cumsum(np.bincount(token)))) if len(token) else np.zeros(1, np.int64)
     starts = np.concatenate(([0], np.cumsum(size)))
-    found: list[tuple[int, np.ndarray]] = []
     for q in range(n):
         m = int(size[q])
         upto = int(np.searchsorted(size, m * 100 // percent, "right"))  # larger sets have too large a union
@@ -245,8 +245,7 @@ def search(sets: list[np.ndarray], side: np.ndarray | None = None, percent: int
             count = count + (long[np.minimum(spot, len(long) - 1)] == near)
         near = near[(100 + percent) * count >= percent * (m + size[near])]
         if len(near):
-            found.append((int(order[q]), order[near]))
-    return found
+            yield int(order[q]), order[near]
 
 
 def _tile(batch: pa.Table, percent: int) -> pa.Table:

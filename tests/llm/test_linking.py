@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,23 @@ def test_search_finds_every_pair_once(seed):
     assert sorted(got) == want
 
 
+@pytest.mark.parametrize("across", [False, True])
+def test_a_task_does_not_hold_the_pairs_of_a_large_family(across):
+    n = 3000  # each links with each: 4.5 million pairs, 36 MB of partners
+    parts = [k % 2 if across else 0 for k in range(n)]
+    sets = [np.sort(np.append(np.arange(1, 18, dtype=np.uint64), np.uint64(1000 + k))).tobytes() for k in range(n)]
+    tile = pa.table({"id": list(range(n)), "weight": [1] * n, "elements": pa.array(sets, pa.binary()), "i": [0] * n, "j": [int(across)] * n, "side": parts})
+    tracemalloc.start()
+    try:
+        got = linking._tile(tile, 80)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert set(got.column("root").to_pylist()) == {0}
+    assert got.column("n_links").to_pylist() == [n // 2 if across else n - 1] * n
+    assert peak < 16 << 20
+
+
 def test_components_of_chains_stars_and_loops(spark):
     rng = random.Random(5)
     pairs = [(i, i + 1) for i in range(100, 140)] + [(7, k) for k in range(200, 260)] + [(3, 3), (1, 2), (2, 1)]
