@@ -230,3 +230,11 @@ def test_texts_of_a_job_pass_through_no_shuffle(spark, tmp_path):
         assert {group.column(i).compression for i in range(group.num_columns)} == {"ZSTD"}
     assert read_analyses(spark, f"{folder}/analyses").select("trace_id").distinct().count() == 7
     assert _one_time(spark, None) and _one_time(spark, F.current_timestamp()) and not _one_time(spark, F.col("at"))
+
+
+def test_tables_are_zstd_unless_a_codec_is_named(spark):
+    from bundlewise.session import prepare
+
+    codec, fresh, named = "spark.sql.parquet.compression.codec", spark.newSession(), spark.newSession()
+    named.conf.set(codec, "gzip")
+    assert (prepare(fresh).conf.get(codec), prepare(named).conf.get(codec)) == ("zstd", "gzip")
