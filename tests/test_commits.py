@@ -97,6 +97,22 @@ def test_a_bundle_in_many_parts_is_refused_once(spark):
     assert [(r.trace_id, r.n_logs, r.log_text) for r in done] == [("t", 20_000, None)]
 
 
+def test_texts_of_a_job_are_not_sorted_to_be_written(spark, tables, make_logs, monkeypatch):
+    """One time for all rows is one month: the stored answers need no sort by it, which would spill their texts."""
+    plans, write = {}, CommittedTables.write
+
+    def spy(self, rows, table, *a, **k):
+        plans[table] = rows._jdf.queryExecution().optimizedPlan().toString()
+        write(self, rows, table, *a, **k)
+
+    monkeypatch.setattr(CommittedTables, "write", spy)
+    at = F.lit("2026-05-06 10:00:00").cast("timestamp")
+    run_job(make_logs(ROWS), default_prompts(spark), stub_analyzer, tables, "day-6", created_at=at)
+    assert "2026-05 AS created_month" in plans["analyses"]
+    stored = tables.read("analyses", schemas.ANALYSIS)
+    assert {(r.created_month, r.at) for r in stored.select("created_month", stored.created_at.cast("string").alias("at")).collect()} == {("2026-05", "2026-05-06 10:00:00")}
+
+
 def _analyses(spark, months):
     rows = [(i, f"t{i}", m) for i, m in enumerate(months)]
     df = spark.createDataFrame(rows, "id bigint, trace_id string, m string")

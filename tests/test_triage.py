@@ -238,3 +238,20 @@ def test_tables_are_zstd_unless_a_codec_is_named(spark):
     codec, fresh, named = "spark.sql.parquet.compression.codec", spark.newSession(), spark.newSession()
     named.conf.set(codec, "gzip")
     assert (prepare(fresh).conf.get(codec), prepare(named).conf.get(codec)) == ("zstd", "gzip")
+
+
+def test_batches_of_long_texts_are_bounded_by_bytes(spark):
+    """Ten thousand long prompts are not one batch in a task's memory."""
+    from bundlewise.operators.hooks import BATCH_BYTES, analyze_bundles
+
+    fresh, bytes_key = spark.newSession(), "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def analyzer():
+        return lambda system, user, version: {"raw_text": str(len(user)), "model": "m"}
+
+    prompts = fresh.range(60).selectExpr("id", "'v' as version", "'s' as system", "repeat('x', 300000) as user_message")
+    assert [r.raw_text for r in analyze_bundles(prompts, analyzer).collect()] == ["300000"] * 60
+    assert fresh.conf.get(bytes_key) == str(BATCH_BYTES)
+    fresh.conf.set(bytes_key, "1000000")
+    analyze_bundles(prompts, analyzer)
+    assert fresh.conf.get(bytes_key) == "1000000"
