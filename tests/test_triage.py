@@ -240,6 +240,14 @@ def test_tables_are_zstd_unless_a_codec_is_named(spark):
     assert (prepare(fresh).conf.get(codec), prepare(named).conf.get(codec)) == ("zstd", "gzip")
 
 
+def test_bloom_filters_are_no_larger_than_their_traces_need(spark, tmp_path, make_logs):
+    from pathlib import Path
+
+    run_batch(make_logs(ROWS), default_prompts(spark), stub_analyzer, f"{tmp_path}/raw", f"{tmp_path}/analyses")
+    files = list(Path(f"{tmp_path}/analyses").rglob("*.parquet"))
+    assert files and max(f.stat().st_size for f in files) < 300_000
+
+
 def test_batches_of_long_texts_are_bounded_by_bytes(spark):
     """Ten thousand long prompts are not one batch in a task's memory."""
     from bundlewise.operators.hooks import BATCH_BYTES, analyze_bundles
